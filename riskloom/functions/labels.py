@@ -68,10 +68,8 @@ def bin_edges(bins: int) -> list[float]:
 
 
 def sigmoid(margin: Column) -> Column:
-    """Logistic function that never exponentiates a positive number."""
-    small = F.exp(-F.abs(margin))
-    return F.when(margin >= 0, 1.0 / (1.0 + small)).otherwise(small / (1.0 + small))
-
+    """Logistic function; a hugely negative margin gives exp() = infinity and the score 0."""
+    return 1.0 / (1.0 + F.exp(-margin))
 
 
 def sign_word(total: Column, positive: str, negative: str, zero: str) -> Column:

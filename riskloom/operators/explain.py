@@ -231,14 +231,13 @@ def median_drivers(df: DataFrame, score, medians: Mapping[str, float],
 
     ``score`` maps a DataFrame with the feature columns to the same rows plus ``risk_score``.
     """
-    named = df
+    moved = df.withColumnRenamed("risk_score", "_base").withColumns({f"_raw_{f}": F.col(f) for f in features})
     for f in features:
-        moved = named.withColumn("_keep", F.col(f)).withColumn(f, F.lit(float(medians[f])))
-        named = (
-            score(moved.withColumnRenamed("risk_score", "_base"))
-            .withColumnRenamed("risk_score", f"_moved_{f}").withColumnRenamed("_base", "risk_score")
-            .withColumn(f, F.col("_keep")).drop("_keep")
+        moved = (
+            score(moved.withColumn(f, F.lit(float(medians[f]))))
+            .withColumnRenamed("risk_score", f"_moved_{f}").withColumn(f, F.col(f"_raw_{f}"))
         )
+    named = moved.withColumnRenamed("_base", "risk_score").drop(*[f"_raw_{f}" for f in features])
     entries = [driver(f, F.col(f), F.col(f), F.col("risk_score") - F.col(f"_moved_{f}"))
                for f in features]
     return named.withColumns({

@@ -70,11 +70,12 @@ def guidance_columns(drivers: Column, max_insights: int = MAX_INSIGHTS,
 def build_insights(samples: DataFrame, max_insights: int = MAX_INSIGHTS,
                    registry=REGISTRY) -> DataFrame:
     """One row per sample with its reason, action, counts and nested insights."""
+    label = (F.col("predicted_label") if "predicted_label" in samples.columns
+             else predicted(F.col("risk_score"), F.col("decision_threshold")))
     return samples.select(
         sample_id(F.col("project"), F.col("file_path"), F.col("snapshot_date")).alias("sample_id"),
         *SAMPLE_KEYS, "risk_score",
-        predicted(F.col("risk_score"), F.col("decision_threshold")).alias("predicted_label"),
-        "true_label",
+        label.alias("predicted_label"), "true_label",
         *[c.alias(n) for n, c in
           guidance_columns(F.col("drivers"), max_insights, registry).items()])
 

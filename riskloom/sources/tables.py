@@ -96,7 +96,7 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(WITHIN_MODE).alias("evaluation_mode"),
             F.lit("predict_proba").alias("score_method"),
             F.lit(0.45).alias("decision_threshold"), *MODEL_FEATURES)
-        return linear_drivers(rows, LINEAR_MODEL).drop(*MODEL_FEATURES)
+        return linear_drivers(rows, LINEAR_MODEL)
 
     return stage_once(spark, f"scored {sf_dir}", build)
 
@@ -105,3 +105,53 @@ def history_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.operators.snapshots import observation_ends, prepare_history
 
     return observation_ends(prepare_history(history_table(spark, sf_dir)))
+
+
+def commit_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history folded into commit records; files whose number ends in 7 become Kotlin."""
+    path = F.regexp_replace("file_path", r"7\.java$", "7.kt")
+    return history_table(spark, sf_dir).groupBy(
+        "repository", "commit_hash", "author_name", "author_email", "commit_date", "commit_message"
+    ).agg(F.map_from_entries(F.collect_list(F.struct(path, F.struct(
+        F.col("lines_added").alias("insertions"),
+        F.when(F.col("lines_deleted") > 2, F.col("lines_deleted")).alias("deletions"))))).alias("files"))
+
+
+def damaged_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as text with faults planted by commit number, for the quality rules."""
+    rows = history_table(spark, sf_dir).withColumn("_n", F.col("commit_hash").cast("long"))
+    n = F.col("_n")
+    damaged = rows.withColumns({
+        "author_name": F.when(n % 97 == 0, "  ").otherwise(F.col("author_name")),
+        "commit_date": F.when(n % 89 == 0, "not a date").otherwise(F.date_format("commit_date", "yyyy-MM-dd")),
+        "file_path": F.when(n % 83 == 0, F.regexp_replace("file_path", "java$", "txt")).otherwise(F.col("file_path")),
+        "lines_added": F.when(n % 79 == 0, "1.5").when(n % 73 == 0, "-1").otherwise(F.col("lines_added").cast("string")),
+        "lines_deleted": F.col("lines_deleted").cast("string")})
+    return damaged.unionByName(damaged.where(n % 71 == 0)).drop("_n")
+
+
+def damaged_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots with faults planted by their own values."""
+    rows = feature_table(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in MODEL_FEATURES})
+    age, churn = F.col("file_age_days"), F.col("code_churn")
+    return rows.withColumns({
+        "repository": F.when(age % 53 == 4, " ").otherwise(F.col("repository")),
+        "snapshot_date": F.when(age % 47 != 3, F.col("snapshot_date")),
+        "lines_added": F.when(churn % 43 == 2, F.lit(float("nan"))).otherwise(F.col("lines_added")),
+        "lines_deleted": F.when(churn % 41 == 1, F.lit(-1.0)).otherwise(F.col("lines_deleted")),
+        TARGET: F.when(churn % 37 == 5, F.lit(2)).otherwise(F.col(TARGET))})
+
+
+def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deterministic scores per test snapshot under the names of the baselines."""
+    from functools import reduce
+
+    rows = scored_table(spark, sf_dir)
+    scores = {
+        "dummy": F.lit(0.05),
+        "logistic_regression": F.col("risk_score"),
+        "random_forest": F.lit(1.0) / (F.lit(1.0) + F.col("days_since_last_change").cast("double") / F.lit(120.0)),
+    }
+    return reduce(DataFrame.unionByName, [
+        rows.select("project", F.lit(name).alias("model"), "true_label", score.alias("risk_score"))
+        for name, score in scores.items()])
