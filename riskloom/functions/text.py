@@ -56,12 +56,12 @@ def developer_identity(email: Column, name: Column) -> Column:
 def utc_timestamp(text: Column) -> Column:
     """Timestamp of an ISO text; texts without an offset are read as UTC, bad texts are null."""
     trimmed = strip(text)
-    zoned = (
-        F.when(trimmed.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.concat(trimmed, F.lit("T00:00:00Z")))
-        .when(trimmed.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$"), trimmed)
-        .otherwise(F.concat(trimmed, F.lit("Z")))
-    )
-    return F.try_to_timestamp(zoned)
+    # Calendar days, the common case, are read as days and need no zone.
+    return F.when(
+        trimmed.rlike(r"^\d{4}-\d{2}-\d{2}$"),
+        F.timestamp_micros(F.unix_date(trimmed.try_cast("date")).cast("long") * 86_400_000_000),
+    ).when(trimmed.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$"), trimmed.try_cast("timestamp")).otherwise(
+        F.concat(trimmed, F.lit("Z")).try_cast("timestamp"))
 
 
 def utc_day(column: Column, data_type: T.DataType) -> Column:

@@ -9,7 +9,7 @@ from riskloom.functions.labels import attention_level, ratio_or_zero
 from riskloom.functions.registry import REGISTRY, supported
 from riskloom.functions.text import blank, sample_id
 from riskloom.operators.explain import strongest, total_magnitude
-from riskloom.operators.guidance import guidance_columns
+from riskloom.operators.guidance import with_guidance
 from riskloom.operators.intelligence import (
     hotspots, monthly_trend, normalize, project_summary, risk_concentration, signal_profile,
     trend_direction,
@@ -71,10 +71,9 @@ def dominant_signal(drivers: Column, registry=REGISTRY) -> Column:
 
 def sample_evidence(samples: DataFrame, registry=REGISTRY) -> DataFrame:
     """One row per (project, file, date): dominant driver and first guidance of that key."""
-    texts = guidance_columns(F.col("drivers"), registry=registry)
     total = total_magnitude(F.col("drivers"))
     d = F.col("_dominant")
-    rows = normalize(samples).withColumn("_dominant", dominant_signal(F.col("drivers"), registry)).select(
+    rows = with_guidance(normalize(samples), registry).withColumn("_dominant", dominant_signal(F.col("drivers"), registry)).select(
         "project", F.col("file_path").alias("identifier"),
         blank(F.col("snapshot_date")).alias("snapshot_date"),
         sample_id(F.col("project"), F.col("file_path"), F.col("snapshot_date")).alias("_sample"),
@@ -83,7 +82,7 @@ def sample_evidence(samples: DataFrame, registry=REGISTRY) -> DataFrame:
             d["contribution"].alias("contribution"),
             ratio_or_zero(F.abs(d["contribution"]), total).alias("normalized_contribution"),
             "explanation_method", "contribution_space")).alias("dominant"),
-        texts["primary_risk_reason"].alias("_reason"), texts["recommended_action"].alias("_action"))
+        F.col("primary_risk_reason").alias("_reason"), F.col("recommended_action").alias("_action"))
     by_strength = F.when(F.col("dominant").isNotNull(), F.struct(
         -F.abs("dominant.contribution"), F.col("dominant.feature"), -F.col("dominant.contribution")))
     return rows.where((F.col("identifier") != "") & (F.col("snapshot_date") != "")).groupBy(*SAMPLE).agg(

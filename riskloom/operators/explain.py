@@ -1,9 +1,10 @@
 """Local explanations.
 
 Inside the engine a sample keeps its contributions in one array column, ``drivers``:
-``array<struct<feature, feature_value, model_input_value, contribution>>``. Ranking features,
-choosing the strongest driver and cutting to the top k are then row-local array expressions, and
-the long table (one row per sample and feature) is only produced on request.
+``array<struct<k, feature, feature_value, model_input_value, contribution>>``. ``k`` is the negated
+magnitude, so the array is stored in rank order: magnitude descending, then feature. Choosing the
+strongest driver and cutting to the top k are row-local, and the long table (one row per sample
+and feature) is only produced on request.
 """
 
 from __future__ import annotations
@@ -17,16 +18,15 @@ from riskloom.functions.labels import direction, predicted, ratio_or_zero, snap
 from riskloom.functions.text import sample_id
 from riskloom.schemas import EXPLANATION_COLUMNS, SAMPLE_KEYS
 
-DRIVER_TYPE = ("array<struct<feature:string,feature_value:double,"
-               "model_input_value:double,contribution:double>>")
 SAMPLE_COLUMNS = ["sample_id", *SAMPLE_KEYS]
 
 
 def driver(feature: str, value: Column, model_value: Column, contribution: Column) -> Column:
+    size = snap(contribution.cast("double"))
     return F.struct(
-        F.lit(feature).alias("feature"), value.cast("double").alias("feature_value"),
-        model_value.cast("double").alias("model_input_value"),
-        snap(contribution.cast("double")).alias("contribution"))
+        (-F.abs(size)).alias("k"), F.lit(feature).alias("feature"),
+        value.cast("double").alias("feature_value"),
+        model_value.cast("double").alias("model_input_value"), size.alias("contribution"))
 
 
 def linear_drivers(df: DataFrame, model: Mapping[str, tuple[float, float, float]]) -> DataFrame:
@@ -36,33 +36,26 @@ def linear_drivers(df: DataFrame, model: Mapping[str, tuple[float, float, float]
         value = F.col(feature).cast("double")
         standard = (value - F.lit(float(centre))) / F.lit(float(scale))
         entries.append(driver(feature, value, standard, F.lit(float(coefficient)) * standard))
-    return df.withColumn("drivers", F.array(*entries)).withColumns({
+    return df.withColumn("drivers", F.sort_array(F.array(*entries))).withColumns({
         "explanation_method": F.lit("linear_coefficient_transformed"),
         "contribution_space": F.lit("log_odds")})
 
 
-def ordered(drivers: Column) -> Column:
-    """Drivers by absolute contribution descending, then feature name."""
-    keyed = F.transform(drivers, lambda d: F.struct(
-        (-F.abs(d["contribution"])).alias("k"), d["feature"].alias("feature"), d.alias("d")))
-    return F.transform(F.array_sort(keyed), lambda s: s["d"])
-
-
 def total_magnitude(drivers: Column) -> Column:
     return F.aggregate(drivers, F.lit(0.0), lambda acc, d: acc + F.abs(d["contribution"]))
 
 
 def strongest(drivers: Column, keep) -> Column:
     """First driver in rank order that satisfies ``keep``, or null."""
-    return F.try_element_at(F.filter(ordered(drivers), keep), F.lit(1))
+    return F.try_element_at(F.filter(drivers, keep), F.lit(1))
 
 
 def to_long(samples: DataFrame, top_k: int | None = None) -> DataFrame:
     """One row per sample and feature, ranked and normalized over the retained rows."""
     if top_k is not None and top_k <= 0:
         raise ValueError("top_k must be positive.")
-    ranked = ordered(F.col("drivers"))
-    kept = samples.withColumn("_d", ranked if top_k is None else F.slice(ranked, 1, top_k))
+    drivers = F.col("drivers")
+    kept = samples.withColumn("_d", drivers if top_k is None else F.slice(drivers, 1, top_k))
     kept = kept.withColumn("_total", total_magnitude(F.col("_d")))
     rows = kept.select("*", F.posexplode("_d").alias("_at", "_x"))
     contribution = F.col("_x.contribution")
@@ -85,8 +78,9 @@ def from_long(explanations: DataFrame) -> DataFrame:
         F.max("risk_score").alias("risk_score"),
         F.max("predicted_label").alias("predicted_label"),
         F.max("true_label").alias("true_label"),
-        F.collect_list(F.struct("feature", "feature_value", "model_input_value",
-                                "contribution")).alias("drivers"))
+        F.sort_array(F.collect_list(F.struct(
+            (-F.abs("contribution")).alias("k"), "feature", "feature_value", "model_input_value",
+            "contribution"))).alias("drivers"))
 
 
 def limit_explanations(explanations: DataFrame, top_k: int | None) -> DataFrame:
@@ -110,24 +104,25 @@ def sort_explanations(explanations: DataFrame) -> DataFrame:
     return explanations.orderBy(*canonical_order(), F.asc("feature_rank"))
 
 
-def driver_columns(drivers: Column) -> dict[str, Column]:
-    """The strongest risk and protective driver of a sample."""
-    risk = strongest(drivers, lambda d: d["contribution"] > 0)
-    protective = strongest(drivers, lambda d: d["contribution"] < 0)
-    return {
-        "top_risk_feature": risk["feature"],
-        "top_risk_contribution": risk["contribution"],
-        "top_protective_feature": protective["feature"],
-        "top_protective_contribution": protective["contribution"],
-    }
+DRIVER_COLUMNS = ["top_risk_feature", "top_risk_contribution", "top_protective_feature",
+                  "top_protective_contribution"]
+
+
+def with_top_drivers(samples: DataFrame) -> DataFrame:
+    """Add the strongest risk and protective driver of every sample."""
+    return samples.withColumns({
+        "_up": strongest(F.col("drivers"), lambda d: d["contribution"] > 0),
+        "_down": strongest(F.col("drivers"), lambda d: d["contribution"] < 0),
+    }).withColumns({
+        "top_risk_feature": F.col("_up.feature"), "top_risk_contribution": F.col("_up.contribution"),
+        "top_protective_feature": F.col("_down.feature"),
+        "top_protective_contribution": F.col("_down.contribution")}).drop("_up", "_down")
 
 
 def add_top_drivers(ranking: DataFrame, explanations: DataFrame) -> DataFrame:
     """Left join the strongest drivers of a long explanation table onto a ranking."""
-    tops = from_long(explanations).select(
-        *SAMPLE_KEYS, *[c.alias(n) for n, c in driver_columns(F.col("drivers")).items()])
-    names = list(driver_columns(F.col("drivers")))
-    return ranking.drop(*names).join(tops, SAMPLE_KEYS, "left")
+    tops = with_top_drivers(from_long(explanations)).select(*SAMPLE_KEYS, *DRIVER_COLUMNS)
+    return ranking.drop(*DRIVER_COLUMNS).join(tops, SAMPLE_KEYS, "left")
 
 
 def explanation_totals(samples: DataFrame) -> DataFrame:
@@ -220,7 +215,7 @@ def forest_drivers(df: DataFrame, nodes: DataFrame, features: Sequence[str]) ->
 
     entries = [driver(n, F.col(n), F.col(n), F.col("_paths")[i]) for i, n in enumerate(names)]
     return df.mapInPandas(walk, schema).withColumns({
-        "drivers": F.array(*entries),
+        "drivers": F.sort_array(F.array(*entries)),
         "explanation_method": F.lit("tree_path_probability"),
         "contribution_space": F.lit("probability_delta")}).drop("_paths")
 
@@ -241,7 +236,7 @@ def median_drivers(df: DataFrame, score, medians: Mapping[str, float],
     entries = [driver(f, F.col(f), F.col(f), F.col("risk_score") - F.col(f"_moved_{f}"))
                for f in features]
     return named.withColumns({
-        "drivers": F.array(*entries),
+        "drivers": F.sort_array(F.array(*entries)),
         "explanation_method": F.lit("local_median_perturbation"),
         "contribution_space": F.lit("probability_delta"),
     }).drop(*[f"_moved_{f}" for f in features])

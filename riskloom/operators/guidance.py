@@ -11,29 +11,46 @@ from riskloom.functions.registry import (
     supported, text_of,
 )
 from riskloom.functions.text import sample_id
-from riskloom.operators.explain import ordered, total_magnitude
+from riskloom.operators.explain import total_magnitude
 from riskloom.schemas import SAMPLE_KEYS
 
 MAX_INSIGHTS = 3
 
 
-def _ranked_supported(drivers: Column, registry) -> Column:
-    placed = F.transform(ordered(drivers), lambda d, i: F.struct(
+def _known(drivers: Column, registry) -> Column:
+    """Supported drivers in rank order, each with its rank among all drivers."""
+    placed = F.transform(drivers, lambda d, i: F.struct(
         d["feature"].alias("feature"), d["feature_value"].alias("feature_value"),
         d["contribution"].alias("contribution"), (i + 1).cast("long").alias("feature_rank")))
     return F.filter(placed, lambda d: supported(d["feature"], registry))
 
 
-def guidance_columns(drivers: Column, max_insights: int = MAX_INSIGHTS,
-                     registry=REGISTRY) -> dict[str, Column]:
-    """Reason, action, signal counts and the top insights of one sample."""
+def with_guidance(samples: DataFrame, registry=REGISTRY) -> DataFrame:
+    """Add reason, action and signal counts of every sample.
+
+    The intermediate arrays are columns of their own, so each is evaluated once per row.
+    """
+    rows = samples.withColumn("_known", _known(F.col("drivers"), registry)).withColumns({
+        "_risk": F.filter("_known", lambda d: d["contribution"] > 0),
+        "_protective": F.filter("_known", lambda d: d["contribution"] < 0),
+    }).withColumns({
+        "_up": F.try_element_at("_risk", F.lit(1))["feature"],
+        "_down": F.try_element_at("_protective", F.lit(1))["feature"]})
+    up, down = F.col("_up"), F.col("_down")
+    return rows.withColumns({
+        "primary_risk_reason": F.when(up.isNotNull(), text_of(up, "risk_reason", registry))
+        .when(down.isNotNull(), NO_RISK_REASON).otherwise(NEUTRAL_REASON),
+        "recommended_action": F.when(up.isNotNull(), text_of(up, "risk_action", registry))
+        .when(down.isNotNull(), text_of(down, "protective_action", registry)).otherwise(NEUTRAL_ACTION),
+        "risk_signal_count": F.size("_risk").cast("long"),
+        "protective_signal_count": F.size("_protective").cast("long"),
+    }).drop("_known", "_risk", "_protective", "_up", "_down")
+
+
+def top_insights(drivers: Column, max_insights: int = MAX_INSIGHTS, registry=REGISTRY) -> Column:
+    """The strongest supported, non-neutral drivers as insight structs."""
     if max_insights <= 0:
         raise ValueError("max_insights must be positive.")
-    known = _ranked_supported(drivers, registry)
-    risk = F.filter(known, lambda d: d["contribution"] > 0)
-    protective = F.filter(known, lambda d: d["contribution"] < 0)
-    top_risk = F.try_element_at(risk, F.lit(1))["feature"]
-    top_protective = F.try_element_at(protective, F.lit(1))["feature"]
     total = total_magnitude(drivers)
 
     def insight(d: Column) -> Column:
@@ -54,17 +71,8 @@ def guidance_columns(drivers: Column, max_insights: int = MAX_INSIGHTS,
             ratio_or_zero(F.abs(d["contribution"]), total).alias("normalized_contribution"),
             d["feature_rank"].alias("feature_rank"))
 
-    moving = F.filter(known, lambda d: d["contribution"] != 0)
-    return {
-        "primary_risk_reason": F.when(top_risk.isNotNull(), text_of(top_risk, "risk_reason", registry))
-        .when(top_protective.isNotNull(), NO_RISK_REASON).otherwise(NEUTRAL_REASON),
-        "recommended_action": F.when(top_risk.isNotNull(), text_of(top_risk, "risk_action", registry))
-        .when(top_protective.isNotNull(), text_of(top_protective, "protective_action", registry))
-        .otherwise(NEUTRAL_ACTION),
-        "risk_signal_count": F.size(risk).cast("long"),
-        "protective_signal_count": F.size(protective).cast("long"),
-        "insights": F.transform(F.slice(moving, 1, max_insights), insight),
-    }
+    moving = F.filter(_known(drivers, registry), lambda d: d["contribution"] != 0)
+    return F.transform(F.slice(moving, 1, max_insights), insight)
 
 
 def build_insights(samples: DataFrame, max_insights: int = MAX_INSIGHTS,
@@ -72,12 +80,11 @@ def build_insights(samples: DataFrame, max_insights: int = MAX_INSIGHTS,
     """One row per sample with its reason, action, counts and nested insights."""
     label = (F.col("predicted_label") if "predicted_label" in samples.columns
              else predicted(F.col("risk_score"), F.col("decision_threshold")))
-    return samples.select(
+    return with_guidance(samples, registry).select(
         sample_id(F.col("project"), F.col("file_path"), F.col("snapshot_date")).alias("sample_id"),
-        *SAMPLE_KEYS, "risk_score",
-        label.alias("predicted_label"), "true_label",
-        *[c.alias(n) for n, c in
-          guidance_columns(F.col("drivers"), max_insights, registry).items()])
+        *SAMPLE_KEYS, "risk_score", label.alias("predicted_label"), "true_label",
+        "primary_risk_reason", "recommended_action", "risk_signal_count", "protective_signal_count",
+        top_insights(F.col("drivers"), max_insights, registry).alias("insights"))
 
 
 def insight_totals(insights: DataFrame) -> DataFrame:

@@ -194,6 +194,7 @@ def hotspots(ranking: DataFrame, samples: DataFrame, cutoff: float = DEFAULT_CUT
     """Files with at least two high-risk observations, with dominant signals and actions.
 
     ``hotspot_rank`` orders the hotspots of a project: count, rate, mean, maximum, identifier.
+    The mean is compared to twelve places, so the order does not depend on the order of a sum.
     """
     hot = entity_statistics(ranking, cutoff).where("high_risk_count >= 2")
     signals = top_signals(normalize(samples).where("file_path != ''"), FILE, 3, registry
@@ -204,7 +205,7 @@ def hotspots(ranking: DataFrame, samples: DataFrame, cutoff: float = DEFAULT_CUT
     }).drop("signals")
     rows = rows.withColumn("recommended_inspection_actions", F.transform(
         "dominant_risk_signals", lambda s: text_of(s["feature"], "risk_action", registry)))
-    order = [F.desc("high_risk_count"), F.desc("high_risk_rate"), F.desc("mean_risk"),
+    order = [F.desc("high_risk_count"), F.desc("high_risk_rate"), F.desc(F.round("mean_risk", 12)),
              F.desc("max_risk"), F.asc("identifier")]
     return ranked(rows, ["project"], order, "hotspot_rank")
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.labels import predicted
-from riskloom.operators.explain import canonical_order, driver_columns
-from riskloom.operators.guidance import guidance_columns
+from riskloom.operators.explain import canonical_order, with_top_drivers
+from riskloom.operators.guidance import with_guidance
 from riskloom.operators.quality import require, score_report
 from riskloom.operators.scan import ranked
 from riskloom.schemas import DEFAULT_CUTOFF, RANKING_COLUMNS, TOP_RISK
@@ -21,12 +21,8 @@ def build_ranking(samples: DataFrame, check: bool = True) -> DataFrame:
     """
     if check:
         require(score_report(samples))
-    rows = samples
     if "drivers" in samples.columns:
-        texts = guidance_columns(F.col("drivers"))
-        rows = samples.withColumns({
-            **driver_columns(F.col("drivers")),
-            **{n: texts[n] for n in ("primary_risk_reason", "recommended_action", "risk_signal_count")}})
+        rows = with_guidance(with_top_drivers(samples))
     else:
         rows = samples.withColumns({
             "top_risk_feature": F.lit(None).cast("string"),

@@ -19,7 +19,8 @@ RETAINED = 4
 
 
 def r(expression: str, name: str | None = None) -> str:
-    return f"(round(CAST({expression} AS DOUBLE), 6) + 0) AS {name or expression}"
+    # The nudge keeps decimal ties from depending on the last bit of a sum.
+    return f"(round(CAST({expression} AS DOUBLE) + '2.5e-10'::DOUBLE, 6) + 0) AS {name or expression}"
 
 
 def big(expression: str, name: str) -> str:
@@ -222,7 +223,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         FROM expl WHERE c > 0 GROUP BY 1, 2, 3"""),
     "hot": (["files"], """
         SELECT *, row_number() OVER (PARTITION BY project ORDER BY high DESC, high / CAST(n AS DOUBLE) DESC,
-                  mass / n DESC, top DESC, file_path) AS i FROM files WHERE high >= 2"""),
+                  round(mass / n, 12) DESC, top DESC, file_path) AS i FROM files WHERE high >= 2"""),
     "profile": (["expl"], """
         SELECT project, direction, feature, count(*) AS k, sum(c) AS total, avg(c) AS mean_c,
                row_number() OVER (PARTITION BY project, direction ORDER BY count(*) DESC, abs(sum(c)) DESC, feature) AS common,
@@ -385,10 +386,10 @@ def _duplicates(rows: str, keys: str, position: int) -> str:
 
 
 def _digest(rows: str, by: str) -> str:
-    numbers = ", ".join(f"CAST(CAST({c} AS DECIMAL(38, 12)) AS VARCHAR)" for c in (*MODEL_FEATURES, TARGET))
+    numbers = ", ".join(f"CAST({c} AS VARCHAR)" for c in (*MODEL_FEATURES, TARGET))
     words = ", ".join(
-        f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS UBIGINT)) AS VARCHAR) AS w{i}" for i in range(8))
-    joined = ", ".join(f"w{i}" for i in range(8))
+        f"CAST(sum(CAST('0x' || substr(h, {6 * i + 1}, 6) AS UBIGINT)) AS VARCHAR) AS w{i}" for i in range(11))
+    joined = ", ".join(f"w{i}" for i in range(11))
     return f"""
         SELECT {by}, n AS row_count, sha256(concat_ws(':', CAST(n AS VARCHAR), {joined})) AS digest
         FROM (SELECT {by}, count(*) AS n, {words} FROM (
