@@ -121,7 +121,10 @@ def with_top_drivers(samples: DataFrame) -> DataFrame:
 
 def add_top_drivers(ranking: DataFrame, explanations: DataFrame) -> DataFrame:
     """Left join the strongest drivers of a long explanation table onto a ranking."""
-    tops = with_top_drivers(from_long(explanations)).select(*SAMPLE_KEYS, *DRIVER_COLUMNS)
+    drivers = F.sort_array(F.collect_list(F.struct(
+        (-F.abs("contribution")).alias("k"), "feature", "contribution")))
+    samples = explanations.groupBy(*SAMPLE_KEYS).agg(drivers.alias("drivers"))
+    tops = with_top_drivers(samples).select(*SAMPLE_KEYS, *DRIVER_COLUMNS)
     return ranking.drop(*DRIVER_COLUMNS).join(tops, SAMPLE_KEYS, "left")
 
 

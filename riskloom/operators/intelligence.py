@@ -151,8 +151,13 @@ def signal_records(samples: DataFrame, keys: Sequence[str], registry=REGISTRY) -
     )
 
 
+def _steady(total: str) -> Column:
+    """A sum to nine places: orders must not depend on the order in which it was added up."""
+    return F.round(F.col(total), 9)
+
+
 def _common_first() -> list[Column]:
-    return [F.desc("occurrence_count"), F.desc(F.abs("aggregate_contribution")), F.asc("feature")]
+    return [F.desc("occurrence_count"), F.desc(F.abs(_steady("aggregate_contribution"))), F.asc("feature")]
 
 
 def signal_profile(samples: DataFrame, registry=REGISTRY) -> DataFrame:
@@ -161,8 +166,8 @@ def signal_profile(samples: DataFrame, registry=REGISTRY) -> DataFrame:
     totals = samples.groupBy("project").agg(F.count(F.lit(1)).alias("_n"))
     # A project has at most one row per direction and predictor here.
     group = Window.partitionBy("project", "direction")
-    signed = F.when(F.col("direction") == "increases_risk", -F.col("aggregate_contribution")
-                    ).otherwise(F.col("aggregate_contribution"))
+    total = _steady("aggregate_contribution")
+    signed = F.when(F.col("direction") == "increases_risk", -total).otherwise(total)
     return (
         signal_records(samples, ["project"], registry).join(lookup(totals), "project")
         .withColumns({
@@ -178,7 +183,7 @@ def top_signals(samples: DataFrame, keys: Sequence[str], top: int = 3, registry=
     """The most common risk signals per key as an array, at most one entry per predictor."""
     risk = signal_records(samples, keys, registry).where("direction = 'increases_risk'")
     entry = F.struct(
-        (-F.col("occurrence_count")).alias("a"), (-F.abs("aggregate_contribution")).alias("b"),
+        (-F.col("occurrence_count")).alias("a"), (-F.abs(_steady("aggregate_contribution"))).alias("b"),
         F.col("feature").alias("feature"), F.col("category").alias("category"),
         F.col("occurrence_count").alias("occurrence_count"),
         F.col("aggregate_contribution").alias("aggregate_contribution"))

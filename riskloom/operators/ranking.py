@@ -16,15 +16,18 @@ from riskloom.schemas import DEFAULT_CUTOFF, RANKING_COLUMNS, TOP_RISK
 def build_ranking(samples: DataFrame, check: bool = True) -> DataFrame:
     """Global rank by score, then project, file, date and model, with drivers and guidance.
 
-    Drivers and guidance are row-local, so they are computed before the one range shuffle of the
-    ranking and the driver arrays are not carried through it.
+    A range shuffle evaluates its input twice (once to sample the keys), so only stored columns go
+    through it; drivers and guidance are row-local and follow after the rank is known.
     """
     if check:
         require(score_report(samples))
+    given = [c for c in RANKING_COLUMNS if c in samples.columns and c != "predicted_label"]
+    carried = [*given, "drivers"] if "drivers" in samples.columns else given
+    rows = ranked(samples.select(*carried), [], canonical_order())
     if "drivers" in samples.columns:
-        rows = with_guidance(with_top_drivers(samples))
+        rows = with_guidance(with_top_drivers(rows))
     else:
-        rows = samples.withColumns({
+        rows = rows.withColumns({
             "top_risk_feature": F.lit(None).cast("string"),
             "top_risk_contribution": F.lit(None).cast("double"),
             "top_protective_feature": F.lit(None).cast("string"),
@@ -32,9 +35,9 @@ def build_ranking(samples: DataFrame, check: bool = True) -> DataFrame:
             "primary_risk_reason": F.lit(None).cast("string"),
             "recommended_action": F.lit(None).cast("string"),
             "risk_signal_count": F.lit(0).cast("long")})
-    rows = rows.withColumn("predicted_label", predicted(F.col("risk_score"), F.col("decision_threshold")))
-    rows = rows.select(*[c for c in RANKING_COLUMNS if c != "rank"])
-    return ranked(rows, [], canonical_order()).select(*RANKING_COLUMNS)
+    return rows.withColumn(
+        "predicted_label", predicted(F.col("risk_score"), F.col("decision_threshold"))
+    ).select(*RANKING_COLUMNS)
 
 
 def risk_summary(ranking: DataFrame, cutoff: float = DEFAULT_CUTOFF) -> DataFrame:

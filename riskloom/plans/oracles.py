@@ -219,15 +219,15 @@ CTES: dict[str, tuple[list[str], str]] = {
             GROUP BY 1, 2)"""),
     "hot_signals": (["expl"], """
         SELECT project, file_path, feature, count(*) AS k, sum(c) AS total,
-               row_number() OVER (PARTITION BY project, file_path ORDER BY count(*) DESC, abs(sum(c)) DESC, feature) AS i
+               row_number() OVER (PARTITION BY project, file_path ORDER BY count(*) DESC, round(abs(sum(c)), 9) DESC, feature) AS i
         FROM expl WHERE c > 0 GROUP BY 1, 2, 3"""),
     "hot": (["files"], """
         SELECT *, row_number() OVER (PARTITION BY project ORDER BY high DESC, high / CAST(n AS DOUBLE) DESC,
                   round(mass / n, 12) DESC, top DESC, file_path) AS i FROM files WHERE high >= 2"""),
     "profile": (["expl"], """
         SELECT project, direction, feature, count(*) AS k, sum(c) AS total, avg(c) AS mean_c,
-               row_number() OVER (PARTITION BY project, direction ORDER BY count(*) DESC, abs(sum(c)) DESC, feature) AS common,
-               row_number() OVER (PARTITION BY project, direction ORDER BY abs(sum(c)) DESC, feature) AS strong
+               row_number() OVER (PARTITION BY project, direction ORDER BY count(*) DESC, round(abs(sum(c)), 9) DESC, feature) AS common,
+               row_number() OVER (PARTITION BY project, direction ORDER BY round(abs(sum(c)), 9) DESC, feature) AS strong
         FROM expl WHERE c <> 0 GROUP BY 1, 2, 3"""),
     "shares": (["ranked"], """
         SELECT project, sum(risk_score) AS total, count(*) AS n,
@@ -245,7 +245,7 @@ CTES: dict[str, tuple[list[str], str]] = {
                      count(*) FILTER (risk_score >= 0.5::DOUBLE) AS high FROM ranked GROUP BY 1, 2) m
         LEFT JOIN (SELECT project, substr(snapshot_date, 1, 7) AS period, feature,
                           row_number() OVER (PARTITION BY project, substr(snapshot_date, 1, 7)
-                                             ORDER BY count(*) DESC, abs(sum(c)) DESC, feature) AS i
+                                             ORDER BY count(*) DESC, round(abs(sum(c)), 9) DESC, feature) AS i
                    FROM expl WHERE c > 0 GROUP BY 1, 2, 3) s
         ON m.project = s.project AND m.period = s.period AND s.i = 1"""),
     "vectors": (["ranked", "expl"], f"""
@@ -388,8 +388,8 @@ def _duplicates(rows: str, keys: str, position: int) -> str:
 def _digest(rows: str, by: str) -> str:
     numbers = ", ".join(f"CAST({c} AS VARCHAR)" for c in (*MODEL_FEATURES, TARGET))
     words = ", ".join(
-        f"CAST(sum(CAST('0x' || substr(h, {6 * i + 1}, 6) AS UBIGINT)) AS VARCHAR) AS w{i}" for i in range(11))
-    joined = ", ".join(f"w{i}" for i in range(11))
+        f"CAST(sum(CAST('0x' || substr(h, {6 * i + 1}, 6) AS UBIGINT)) AS VARCHAR) AS w{i}" for i in range(6))
+    joined = ", ".join(f"w{i}" for i in range(6))
     return f"""
         SELECT {by}, n AS row_count, sha256(concat_ws(':', CAST(n AS VARCHAR), {joined})) AS digest
         FROM (SELECT {by}, count(*) AS n, {words} FROM (
