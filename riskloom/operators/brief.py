@@ -69,14 +69,18 @@ def dominant_signal(drivers: Column, registry=REGISTRY) -> Column:
     return strongest(drivers, lambda d: supported(d["feature"], registry) & (d["contribution"] > 0))
 
 
-def sample_evidence(samples: DataFrame, registry=REGISTRY) -> DataFrame:
-    """One row per (project, file, date): dominant driver and first guidance of that key."""
+def sample_evidence(samples: DataFrame, wanted: DataFrame, registry=REGISTRY) -> DataFrame:
+    """One row per (project, file, date) of ``wanted``: dominant driver and first guidance.
+
+    The semi join, the aggregation and the later join share one partitioning by that key, and
+    guidance is only computed for rows that end up in the queue.
+    """
+    keyed = normalize(samples).withColumnRenamed("file_path", "identifier").withColumn(
+        "snapshot_date", blank(F.col("snapshot_date"))).join(wanted.select(*SAMPLE), SAMPLE, "left_semi")
     total = total_magnitude(F.col("drivers"))
     d = F.col("_dominant")
-    rows = with_guidance(normalize(samples), registry).withColumn("_dominant", dominant_signal(F.col("drivers"), registry)).select(
-        "project", F.col("file_path").alias("identifier"),
-        blank(F.col("snapshot_date")).alias("snapshot_date"),
-        sample_id(F.col("project"), F.col("file_path"), F.col("snapshot_date")).alias("_sample"),
+    rows = with_guidance(keyed, registry).withColumn("_dominant", dominant_signal(F.col("drivers"), registry)).select(
+        *SAMPLE, sample_id(*map(F.col, SAMPLE)).alias("_sample"),
         F.when(d.isNotNull(), F.struct(
             d["feature"].alias("feature"), d["feature_value"].alias("feature_value"),
             d["contribution"].alias("contribution"),
@@ -110,7 +114,7 @@ def action_queue(tiered: DataFrame, samples: DataFrame, cutoff: float = DEFAULT_
     Rows without identifier or date match nothing: evidence only exists for complete keys.
     """
     actions = tiered.where(F.col("priority_rank").isNotNull())
-    rows = actions.join(sample_evidence(samples, registry), SAMPLE, "left")
+    rows = actions.join(sample_evidence(samples, actions, registry), SAMPLE, "left")
 
     def text(*choices: Column) -> Column:
         return F.coalesce(*[F.nullif(blank(c), F.lit("")) for c in choices])

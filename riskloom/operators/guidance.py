@@ -26,25 +26,29 @@ def _known(drivers: Column, registry) -> Column:
 
 
 def with_guidance(samples: DataFrame, registry=REGISTRY) -> DataFrame:
-    """Add reason, action and signal counts of every sample.
-
-    The intermediate arrays are columns of their own, so each is evaluated once per row.
-    """
-    rows = samples.withColumn("_known", _known(F.col("drivers"), registry)).withColumns({
-        "_risk": F.filter("_known", lambda d: d["contribution"] > 0),
-        "_protective": F.filter("_known", lambda d: d["contribution"] < 0),
-    }).withColumns({
-        "_up": F.try_element_at("_risk", F.lit(1))["feature"],
-        "_down": F.try_element_at("_protective", F.lit(1))["feature"]})
-    up, down = F.col("_up"), F.col("_down")
+    """Add reason, action and signal counts of every sample, from one pass over its drivers."""
+    none = F.lit(None).cast("string")
+    start = F.struct(none.alias("up"), none.alias("down"), F.lit(0).cast("long").alias("ups"),
+                     F.lit(0).cast("long").alias("downs"))
+
+    def step(acc: Column, d: Column) -> Column:
+        known = supported(d["feature"], registry)
+        risk, protective = known & (d["contribution"] > 0), known & (d["contribution"] < 0)
+        return F.struct(
+            F.when(acc["up"].isNull() & risk, d["feature"]).otherwise(acc["up"]).alias("up"),
+            F.when(acc["down"].isNull() & protective, d["feature"]).otherwise(acc["down"]).alias("down"),
+            (acc["ups"] + risk.cast("long")).alias("ups"),
+            (acc["downs"] + protective.cast("long")).alias("downs"))
+
+    rows = samples.withColumn("_g", F.aggregate("drivers", start, step))
+    up, down = F.col("_g.up"), F.col("_g.down")
     return rows.withColumns({
         "primary_risk_reason": F.when(up.isNotNull(), text_of(up, "risk_reason", registry))
         .when(down.isNotNull(), NO_RISK_REASON).otherwise(NEUTRAL_REASON),
         "recommended_action": F.when(up.isNotNull(), text_of(up, "risk_action", registry))
         .when(down.isNotNull(), text_of(down, "protective_action", registry)).otherwise(NEUTRAL_ACTION),
-        "risk_signal_count": F.size("_risk").cast("long"),
-        "protective_signal_count": F.size("_protective").cast("long"),
-    }).drop("_known", "_risk", "_protective", "_up", "_down")
+        "risk_signal_count": F.col("_g.ups"), "protective_signal_count": F.col("_g.downs"),
+    }).drop("_g")
 
 
 def top_insights(drivers: Column, max_insights: int = MAX_INSIGHTS, registry=REGISTRY) -> Column:

@@ -134,7 +134,8 @@ def report_tables(samples: DataFrame, cross_project: bool, cutoff: float = DEFAU
         "developer_risk_brief": brief.executive_summary(rows, samples, tiered, cutoff),
         "developer_actions": actions,
         "top_actions": brief.top_actions(actions),
-        **diagnostics.evaluate_actions(rows, retained, actions, cutoff),
+        **diagnostics.evaluate_actions(
+            rows, diagnostics.sample_contexts(samples, explain_top_k), actions, cutoff),
         **calibration.calibrate(rows, cross_project, bins, thresholds),
     }
 

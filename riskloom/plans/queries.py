@@ -87,7 +87,7 @@ def actions_of(spark, d):
 
 def vectors_of(spark, d):
     return stage_once(spark, f"vectors {d}", lambda: diagnostics.matched_vectors(
-        ranking_of(spark, d), retained_of(spark, d)))
+        ranking_of(spark, d), diagnostics.sample_contexts(tables.scored_table(spark, d), RETAINED)))
 
 
 def quality_of(spark, d):
@@ -688,7 +688,7 @@ def recommended_thresholds(spark, d):
 
 # Fitted models: no SQL counterpart, compared by rows only.
 
-def _small_forest(spark, d):
+def _baselines(spark, d):
     """Baselines over all training rows; a short forest keeps the check quick."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
@@ -702,20 +702,20 @@ _FITTED: dict = {}
 
 @query
 def model_scores(spark, d):
-    fitted = _small_forest(spark, d)
+    fitted = _baselines(spark, d)
     test = parted_of(spark, d).where("partition = 'test'")
     return metrics.evaluate(models.score_all(fitted, test), ["model"])
 
 
 @query
 def native_importance(spark, d):
-    return models.native_importance(spark, _small_forest(spark, d))
+    return models.native_importance(spark, _baselines(spark, d))
 
 
 @query
 def tree_explanations(spark, d):
     """Per feature: mean absolute path contribution; the sums rebuild every probability."""
-    forest = _small_forest(spark, d)["random_forest"]
+    forest = _baselines(spark, d)["random_forest"]
     test = parted_of(spark, d).where("partition = 'test'").select(*SNAPSHOT_KEYS, *MODEL_FEATURES)
     rows = forest.explain(forest.score(test))
     return rows.select(F.explode("drivers").alias("x")).groupBy(F.col("x.feature").alias("feature")).agg(
@@ -724,7 +724,7 @@ def tree_explanations(spark, d):
 
 @query
 def median_perturbation(spark, d):
-    fitted = _small_forest(spark, d)["logistic_regression"]
+    fitted = _baselines(spark, d)["logistic_regression"]
     test = fitted.score(parted_of(spark, d).where("partition = 'test'").select(*SNAPSHOT_KEYS, *MODEL_FEATURES))
     rows = explain.median_drivers(test, fitted.score, models.feature_medians(test), MODEL_FEATURES)
     return rows.select(F.explode("drivers").alias("x")).groupBy(F.col("x.feature").alias("feature")).agg(
@@ -733,6 +733,6 @@ def median_perturbation(spark, d):
 
 @query
 def permutation_importance(spark, d):
-    fitted = _small_forest(spark, d)["logistic_regression"]
+    fitted = _baselines(spark, d)["logistic_regression"]
     rows = parted_of(spark, d).where("partition = 'validation'").select(*SNAPSHOT_KEYS, *MODEL_FEATURES, TARGET)
     return models.shuffled_importance(fitted, rows, repeats=2)
