@@ -236,8 +236,8 @@ def median_drivers(df: DataFrame, score, medians: Mapping[str, float],
             .withColumnRenamed("risk_score", f"_moved_{f}").withColumn(f, F.col(f"_raw_{f}"))
         )
     named = moved.withColumnRenamed("_base", "risk_score").drop(*[f"_raw_{f}" for f in features])
-    entries = [driver(f, F.col(f), F.col(f), F.col("risk_score") - F.col(f"_moved_{f}"))
-               for f in features]
+    named = named.withColumns({f"_moved_{f}": F.col("risk_score") - F.col(f"_moved_{f}") for f in features})
+    entries = [driver(f, F.col(f), F.col(f), F.col(f"_moved_{f}")) for f in features]
     return named.withColumns({
         "drivers": F.sort_array(F.array(*entries)),
         "explanation_method": F.lit("local_median_perturbation"),

@@ -25,8 +25,8 @@ def _known(drivers: Column, registry) -> Column:
     return F.filter(placed, lambda d: supported(d["feature"], registry))
 
 
-def with_guidance(samples: DataFrame, registry=REGISTRY) -> DataFrame:
-    """Add reason, action and signal counts of every sample, from one pass over its drivers."""
+def with_guidance_facts(samples: DataFrame, registry=REGISTRY) -> DataFrame:
+    """Add ``_g``: strongest supported features and signal counts, from one pass over the drivers."""
     none = F.lit(None).cast("string")
     start = F.struct(none.alias("up"), none.alias("down"), F.lit(0).cast("long").alias("ups"),
                      F.lit(0).cast("long").alias("downs"))
@@ -40,9 +40,13 @@ def with_guidance(samples: DataFrame, registry=REGISTRY) -> DataFrame:
             (acc["ups"] + risk.cast("long")).alias("ups"),
             (acc["downs"] + protective.cast("long")).alias("downs"))
 
-    rows = samples.withColumn("_g", F.aggregate("drivers", start, step))
+    return samples.withColumn("_g", F.aggregate("drivers", start, step))
+
+
+def with_guidance_texts(facts: DataFrame, registry=REGISTRY) -> DataFrame:
+    """Replace ``_g`` by reason, action and signal counts."""
     up, down = F.col("_g.up"), F.col("_g.down")
-    return rows.withColumns({
+    return facts.withColumns({
         "primary_risk_reason": F.when(up.isNotNull(), text_of(up, "risk_reason", registry))
         .when(down.isNotNull(), NO_RISK_REASON).otherwise(NEUTRAL_REASON),
         "recommended_action": F.when(up.isNotNull(), text_of(up, "risk_action", registry))
@@ -51,6 +55,11 @@ def with_guidance(samples: DataFrame, registry=REGISTRY) -> DataFrame:
     }).drop("_g")
 
 
+def with_guidance(samples: DataFrame, registry=REGISTRY) -> DataFrame:
+    """Add reason, action and signal counts of every sample."""
+    return with_guidance_texts(with_guidance_facts(samples, registry), registry)
+
+
 def top_insights(drivers: Column, max_insights: int = MAX_INSIGHTS, registry=REGISTRY) -> Column:
     """The strongest supported, non-neutral drivers as insight structs."""
     if max_insights <= 0:

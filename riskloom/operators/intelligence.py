@@ -281,6 +281,11 @@ def priority_queue(ranking: DataFrame, cutoff: float = DEFAULT_CUTOFF) -> DataFr
     return ranked(rows, ["project"], order).select(*PRIORITY_COLUMNS)
 
 
+def top_priorities(queue: DataFrame, top: int = 5) -> DataFrame:
+    """The first rows of every project's queue."""
+    return queue.where(F.col("rank") <= top)
+
+
 def unsupported_analyses(ranking: DataFrame, samples: DataFrame) -> DataFrame:
     """Per project: which analyses lack dates, identifiers or signals."""
     dates = utc_timestamp(F.col("snapshot_date").cast("string"))

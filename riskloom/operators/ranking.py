@@ -6,28 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.labels import predicted
-from riskloom.operators.explain import canonical_order, with_top_drivers
-from riskloom.operators.guidance import with_guidance
+from riskloom.operators.explain import DRIVER_COLUMNS, canonical_order, with_top_drivers
+from riskloom.operators.guidance import with_guidance_facts, with_guidance_texts
 from riskloom.operators.quality import require, score_report
 from riskloom.operators.scan import ranked
 from riskloom.schemas import DEFAULT_CUTOFF, RANKING_COLUMNS, TOP_RISK
+from riskloom.staging import stage
 
 
 def build_ranking(samples: DataFrame, check: bool = True) -> DataFrame:
     """Global rank by score, then project, file, date and model, with drivers and guidance.
 
-    A range shuffle evaluates its input twice (once to sample the keys), so only stored columns go
-    through it; drivers and guidance are row-local and follow after the rank is known.
+    A range shuffle evaluates its input twice (once to sample the keys). So the driver arrays are
+    reduced to a few stored columns first, and the texts follow after the rank is known.
     """
     if check:
         require(score_report(samples))
     given = [c for c in RANKING_COLUMNS if c in samples.columns and c != "predicted_label"]
-    carried = [*given, "drivers"] if "drivers" in samples.columns else given
-    rows = ranked(samples.select(*carried), [], canonical_order())
     if "drivers" in samples.columns:
-        rows = with_guidance(with_top_drivers(rows))
+        facts = with_guidance_facts(with_top_drivers(samples)).select(*given, *DRIVER_COLUMNS, "_g")
+        rows = with_guidance_texts(ranked(stage(facts, "facts"), [], canonical_order()))
     else:
-        rows = rows.withColumns({
+        rows = ranked(samples.select(*given), [], canonical_order()).withColumns({
             "top_risk_feature": F.lit(None).cast("string"),
             "top_risk_contribution": F.lit(None).cast("double"),
             "top_protective_feature": F.lit(None).cast("string"),

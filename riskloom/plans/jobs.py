@@ -14,7 +14,7 @@ from riskloom.operators import partitions, ranking, stability
 from riskloom.operators.models import STRATEGIES, TrainingResult, train_baselines
 from riskloom.operators.provenance import build_provenance, frame_digest, provenance_ends, verify_provenance
 from riskloom.operators.quality import clean_history, require, feature_report
-from riskloom.operators.snapshots import build_snapshots, repository_summary
+from riskloom.operators.snapshots import build_snapshots, repository_summary, snapshot_summary
 from riskloom.schemas import (
     CROSS_MODE, DEFAULT_CUTOFF, FOREST_TREES, MODEL_FEATURES, PROTOCOL, SEED, TARGET, TOP_RISK, WITHIN_MODE,
 )
@@ -131,6 +131,7 @@ def report_tables(samples: DataFrame, cross_project: bool, cutoff: float = DEFAU
         **insight_tables(samples),
         **intelligence_tables(rows, samples, cutoff),
         "developer_priority": queue,
+        "top_priorities": intelligence.top_priorities(queue),
         "developer_risk_brief": brief.executive_summary(rows, samples, tiered, cutoff),
         "developer_actions": actions,
         "top_actions": brief.top_actions(actions),
@@ -202,6 +203,7 @@ def evaluate_within(dataset: Dataset, validation_start: str | None = None, test_
         "model_comparison": comparison,
         "feature_importance": result.importance.withColumn("fold_count", F.lit(1).cast("long")),
         "confusion_matrix": comparison.where("selected_model").select("tn", "fp", "fn", "tp"),
+        "dataset_summary": snapshot_summary(parted.where(F.col("partition").isNotNull())),
         "partition_summary": partitions.partition_summary(parted),
         "exclusion_ledger": partitions.exclusion_ledger(parted),
         "leakage_audit": audit,
@@ -264,6 +266,7 @@ def evaluate_cross(dataset: Dataset, validation_start: str, test_start: str, tes
         "model_comparison": stability.with_selected_counts(aggregate, fold_rows),
         "feature_importance": stability.cross_importance(union(importances)),
         "confusion_matrix": stability.pooled_confusion(fold_rows),
+        "dataset_summary": snapshot_summary(dataset.features),
         "repository_summary": repository_summary(dataset.features),
     }
     if same_project is not None:

@@ -719,6 +719,7 @@ ORACLES: dict[str, str] = {
                WHEN arg_max(mean_risk, period) < arg_min(mean_risk, period) THEN 'decreasing' ELSE 'stable' END AS direction
         FROM trend GROUP BY 1"""),
     "priority_queue": sql("queue", f"SELECT {_QUEUE} FROM queue"),
+    "top_priorities": sql("queue", f"SELECT {_QUEUE} FROM queue WHERE queue_rank <= 3"),
     "unsupported_analyses": sql("ranked", """
         SELECT project, project = 'ASIA' AND count(*) FILTER (rank % 2 = 0) > 0 AS temporal_unsupported,
                false AS hotspots_unsupported, false AS signals_unsupported FROM ranked GROUP BY 1"""),

@@ -562,6 +562,11 @@ def priority_queue(spark, d):
     return intelligence.priority_queue(ranking_of(spark, d)).drop("primary_risk_reason", "recommended_action")
 
 
+@query
+def top_priorities(spark, d):
+    return intelligence.top_priorities(queue_of(spark, d), 3).drop("primary_risk_reason", "recommended_action")
+
+
 @query
 def unsupported_analyses(spark, d):
     rows = ranking_of(spark, d).withColumn("snapshot_date", F.when(

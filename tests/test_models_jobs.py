@@ -150,6 +150,18 @@ def test_cross_report(spark, data, within, tmp_path):
     assert set(writers.write_cross_project(out, str(tmp_path / "cross"))) >= {"folds", "aggregate", "dataset_shift"}
 
 
+def test_saved_model_documents_its_choice(spark, parted, tmp_path):
+    import json
+
+    result = models.train_baselines(parted, trees=2, max_depth=2)
+    audit = spark.createDataFrame([("row_accounting", True)], "check string, passed boolean")
+    writers.save_model(result, str(tmp_path / "m"), spark, audit, partitions.partition_summary(parted))
+    row = spark.read.json(str(tmp_path / "m" / "metadata")).first()
+    facts = json.loads(row["model"])
+    assert facts["model_type"] == result.selected_model and facts["feature_columns"] == MODEL_FEATURES
+    assert len(json.loads(row["test"])) == 6 and len(json.loads(row["date_ranges"])) == 3
+
+
 def test_stability_rules(spark):
     c = spark.createDataFrame([("x", "a", 1.0), ("y", "a", 3.0), ("x", "b", -1.0), ("y", "b", 1.0)],
                               "held_out string, feature string, coefficient double")
