@@ -29,11 +29,11 @@ def staging_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+def stage(df: DataFrame, name: str = "stage", **options: str) -> DataFrame:
+    """Write ``df`` once, with the given Parquet options, and return a scan of the written table."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
