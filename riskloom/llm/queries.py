@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import fingerprints, owners, pieces, sharding
+from riskloom.llm import (
+    fingerprints, language, owners, pagetext, phrases, pieces, quality, sharding, tokenfiles, toxicity)
+from riskloom.staging import staging_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,21 +31,60 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = fingerprints.fingerprints(table(spark, sf_dir, "documents"))
     return fingerprints.near_components(marked).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in the flat files that a tokenising job writes."""
+    folder = f"{staging_root(spark)}/tokens-{uuid.uuid4().hex}"
+    manifest = tokenfiles.write_files(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), folder)
+    counts = tokenfiles.token_counts(manifest.select("file"), end=2)
+    return manifest.join(counts, ["file", "doc"]).select(F.col("key").alias("doc_id"), "n_tokens", "ended")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners.exact_owners(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_sharding": op2_sharding,
+    "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_html": op5_html,
+    "op6_quality": op6_quality,
+    "op7_language_model": op7_language_model,
+    "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES = {
@@ -51,4 +94,32 @@ ORACLES = {
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = min(doc_id) OVER same AS kept, sha256(words) AS text_sha256
         FROM texts WINDOW same AS (PARTITION BY words)""",
+    "op10_decontamination": r"""
+        WITH plain AS (
+            SELECT doc_id AS id, true AS doc, text FROM documents
+            UNION ALL SELECT item_id, false, text FROM benchmark),
+        words AS (
+            SELECT id, doc, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM plain),
+        items AS (SELECT id, w, least(len(w), 13) AS n FROM words WHERE NOT doc AND len(w) > 0),
+        wanted AS (
+            SELECT DISTINCT id, n, list_slice(w, i, i + n - 1) AS win
+            FROM items, unnest(range(1, len(w) - n + 2)) AS t(i)),
+        sizes AS (SELECT DISTINCT n FROM items),
+        present AS (
+            SELECT d.id AS doc_id, n, i, list_slice(w, i, i + n - 1) AS win
+            FROM words d, sizes, unnest(range(1, len(d.w) - n + 2)) AS t(i) WHERE d.doc),
+        found AS (SELECT doc_id, i, p.n, b.id AS item_id FROM present p JOIN wanted b USING (n, win)),
+        hits AS (
+            SELECT doc_id, count(DISTINCT pos) AS n_hit
+            FROM found, unnest(range(i, i + n)) AS t(pos) GROUP BY doc_id),
+        named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+        SELECT w.id AS doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(listed, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM words w LEFT JOIN hits h ON h.doc_id = w.id LEFT JOIN named m ON m.doc_id = w.id WHERE w.doc""",
 }
