@@ -30,7 +30,7 @@ def crc_of_id(key: str | Column) -> Column:
 
 
 def byte_sizes(values: pa.Array) -> np.ndarray:
-    return pc.binary_length(values).to_numpy(zero_copy_only=False).astype("int64")
+    return pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype("int64")
 
 
 def portions(batches: Iterable[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:

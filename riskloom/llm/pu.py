@@ -183,3 +183,14 @@ def score(docs: DataFrame, model: PuModel, extract: Callable[[str], set[str]], s
     return keyed_text(docs, key, text).mapInArrow(run, "key long, score double").select(
         F.col("key").alias(key), F.coalesce(F.pmod(crc_of_id("key"), F.lit(s.folds)) == s.held, F.lit(False)).alias("held_out"),
         "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def kept_rows(docs: DataFrame, model: PuModel, extract: Callable[[str], set[str]], cut: float = 0.3,
+              text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``cut``; null texts as empty ones."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, BATCH_BYTES, text):
+            good = [model.score(extract(t or "")) >= cut for t in batch.column(text).to_pylist()]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame
 
 from riskloom.llm.common import SPACE
-from riskloom.llm.pu import PuSettings, score, train
+from riskloom.llm.pu import PuSettings, kept_rows, score, train
 
 SETTINGS = PuSettings(folds=5, held=0, z=3.0)
 _SPACE = re.compile(SPACE)
@@ -59,3 +59,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: PuSettings = SET
     """See ``pu.score``: probability that ``label`` is 1, learned outside the held-out rows."""
     model = train(docs, labels, label, style_features, settings, key, text, key)
     return score(docs, model, style_features, settings, 0.3, key, text)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, settings: PuSettings = SETTINGS, label: str = "quality",
+              key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` predicted to be good, with all their columns; repeated rows are judged each."""
+    return kept_rows(docs, train(docs, labels, label, style_features, settings, key, text, key), style_features, 0.3, text)
