@@ -16,6 +16,7 @@ occurrences.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import gathered, keyed_text
-from riskloom.staging import stage
+from riskloom.staging import stage, staging_root
 
 BLOCK_BYTES = 8_000_000
+BUCKET_BYTES = 64_000_000
+BUCKETS_MOST = 100_000  # what Spark allows
 LEVELS = 8  # a level is 2 ** (1 / LEVELS)
 BLOCKS = "block long, docs array<long>, folds array<int>, ends array<int>, words binary, tokens binary"
 SENT = "slice int, block long, keys binary, trained binary, tuned binary"
@@ -41,14 +44,17 @@ SLICE_BITS_MOST = 30
 
 
 def pack(counts: np.ndarray) -> bytes:
-    """Counts in the narrowest unsigned type, which is written in front."""
+    """Counts in the narrowest unsigned type, compressed; in front the type and the size."""
     kind = np.min_scalar_type(int(counts.max(initial=0)))
-    return kind.char.encode() + counts.astype(kind).tobytes()
+    raw = counts.astype(kind).tobytes()
+    return kind.char.encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(raw) -> np.ndarray:
     raw = memoryview(raw)
-    return np.frombuffer(raw[1:], np.dtype(bytes(raw[:1]).decode())).astype("int64")
+    size = int.from_bytes(raw[1:9], "little")
+    plain = pa.decompress(raw[9:], decompressed_size=size, codec="zstd", asbytes=True)
+    return np.frombuffer(plain, np.dtype(bytes(raw[:1]).decode())).astype("int64")
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -208,7 +214,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     rows count and are scored each. Without a training text every word is unknown; an empty table
     gives an empty one.
     """
-    blocks = _compact(make_blocks(docs, key, text, folds), "blocks")
+    blocks, buckets = _bucketed(make_blocks(docs, key, text, folds), docs, text)
     number = blocks.count()
     bits = min(SLICE_BITS_MOST, max(3, int(number * 1.5).bit_length()))
     ones = _compact(_exchange(blocks, False, bits, held, tune), "words")
@@ -221,7 +227,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     trained, tuned = both[0] or 0, both[1] or 0
 
     def back(counts: DataFrame, name: str) -> DataFrame:
-        return counts.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slice", "trained", "tuned"))).alias(name))
+        return counts.repartition(buckets, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slice", "trained", "tuned"))).alias(name))
 
     joined = blocks.join(back(ones, "ones"), "block").join(back(twos, "twos"), "block")
 
@@ -280,3 +286,16 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
 
 def _compact(df: DataFrame, name: str) -> DataFrame:
     return stage(df, name, compression="zstd")
+
+
+def _bucketed(blocks: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """The written blocks in buckets by their number: joins bring the small counts to them, not them to the counts."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    buckets = min(BUCKETS_MOST, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
+    name = f"blocks_{uuid.uuid4().hex}"
+    blocks.write.bucketBy(buckets, "block").options(
+        compression="zstd", path=f"{staging_root(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the entry only: the files are outside the warehouse
+    return found, buckets
