@@ -59,6 +59,16 @@ class Node:
         self.label, self.kids, self.value, self.spilled = label, {}, None, None
 
 
+def _stored(file) -> Iterator[tuple[bytes, object]]:
+    file.seek(0)
+    with file:
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                return
+
+
 class OwnerTrie:
     """Map of byte strings to values that ``merge(old, new)`` combines; bounded by spilling subtrees."""
 
@@ -118,6 +128,13 @@ class OwnerTrie:
         size, file = self._weigh(heavy), tempfile.TemporaryFile()
         for item in self._items(heavy, b""):
             pickle.dump(item, file)
+        todo = list(heavy.kids.values())
+        while todo:  # what was spilled further down moves up
+            node = todo.pop()
+            todo += node.kids.values()
+            if node.spilled is not None:
+                for item in _stored(node.spilled):
+                    pickle.dump(item, file)
         heavy.kids, heavy.value, heavy.spilled = {}, None, file
         self.held -= size - len(heavy.label) - 200
         self.spills += 1
@@ -131,16 +148,10 @@ class OwnerTrie:
             path = above + node.label
             todo += [(kid, path) for kid in node.kids.values()]
             if node.spilled is not None:
-                node.spilled.seek(0)
-                # Strings are relative to this branch or below, so the next trie branches later.
+                # What lies in a file begins with the path of its branch, so the next trie branches later.
                 below = OwnerTrie(self.merge, self.most)
-                while True:
-                    try:
-                        text, value = pickle.load(node.spilled)
-                    except EOFError:
-                        break
+                for text, value in _stored(node.spilled):
                     below.add(text.removeprefix(path), value)
-                node.spilled.close()
                 for text, value in below.items():
                     yield path + text, value
 
