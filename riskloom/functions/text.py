@@ -27,6 +27,8 @@ GENERIC_PHRASES = (
 # Repository identity patterns.
 OWNER_PATTERN = "^[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?$"
 NAME_PATTERN = "^[A-Za-z0-9._-]+$"
+# A decimal number; casts alone would also take type suffixes and hexadecimal digits.
+NUMBER_PATTERN = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def strip(text: Column) -> Column:
@@ -87,7 +89,13 @@ def clean_number(column: Column, data_type: T.DataType) -> Column:
     """Finite double, or null; booleans are not numbers, numeric texts are."""
     if isinstance(data_type, T.BooleanType):
         return F.lit(None).cast("double")
-    number = column.try_cast("double")
+    return read_number(column.cast("string"))
+
+
+def read_number(text: Column) -> Column:
+    """Finite double of a decimal text, white space around it allowed; anything else is null."""
+    trimmed = strip(text)
+    number = F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
     return F.when(is_finite(number), number)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.text import blank, is_finite, is_java_path, utc_day, utc_timestamp
+from riskloom.functions.text import blank, is_java_path, read_number, utc_day, utc_timestamp
 from riskloom.schemas import (
     FEATURE_COLUMNS, HISTORY_COLUMNS, MODEL_FEATURES, SNAPSHOT_KEYS, TARGET,
 )
@@ -100,24 +100,24 @@ def day_rule(df: DataFrame, column: str) -> Rule:
 
 
 def whole_number_rule(column: str) -> Rule:
-    number = F.col(column).cast("string").try_cast("double")
-    bad = ~is_finite(number) | number.isNull() | (number < 0) | (number % 1 != 0)
+    number = read_number(F.col(column).cast("string"))
+    bad = number.isNull() | (number < 0) | (number % 1 != 0)
     return f"not_whole_{column}", bad
 
 
 def non_negative_rule(column: str) -> Rule:
-    number = F.col(column).cast("string").try_cast("double")
-    return f"not_finite_non_negative_{column}", number.isNull() | ~is_finite(number) | (number < 0)
+    number = read_number(F.col(column).cast("string"))
+    return f"not_finite_non_negative_{column}", number.isNull() | (number < 0)
 
 
 def binary_rule(column: str) -> Rule:
-    number = F.col(column).cast("string").try_cast("double")
+    number = read_number(F.col(column).cast("string"))
     return f"not_binary_{column}", number.isNull() | ~number.isin(0.0, 1.0)
 
 
 def unit_rule(column: str) -> Rule:
-    number = F.col(column).cast("string").try_cast("double")
-    return f"not_in_unit_interval_{column}", number.isNull() | ~is_finite(number) | (number < 0) | (number > 1)
+    number = read_number(F.col(column).cast("string"))
+    return f"not_in_unit_interval_{column}", number.isNull() | (number < 0) | (number > 1)
 
 
 def history_rules(df: DataFrame) -> list[Rule]:

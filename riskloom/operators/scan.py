@@ -1,4 +1,4 @@
-"""Skew-safe building blocks: ordered scans, exact quantiles and size-checked lookups.
+"""Skew-safe building blocks: ordered scans, exact quantiles and stored lookups.
 
 ``Window.partitionBy(project)`` would send a whole project to one task, and a project may hold
 a third of all rows. The operators here range-partition on (group, order keys) instead, so a
@@ -14,20 +14,16 @@ from pyspark.sql import functions as F
 
 from riskloom.staging import stage
 
-LOOKUP_ROWS = 50_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
-def lookup(small: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
-    """Return ``small`` marked for broadcast if it has at most ``limit`` rows, else unmarked.
+def lookup(small: DataFrame) -> DataFrame:
+    """Store an aggregate that a join reads: it is computed once, and the optimizer sees its true size.
 
-    The rows are fetched once (never more than ``limit + 1``), so a checked lookup is not
-    computed a second time by the join that uses it.
+    Below the session's broadcast threshold Spark sends it to every task, above it shuffles both sides
+    and splits skewed keys.
     """
-    rows = small.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return small
-    return F.broadcast(small.sparkSession.createDataFrame(rows, schema=small.schema))
+    return stage(small, "lookup")
 
 
 def _before(group: Sequence[str]):

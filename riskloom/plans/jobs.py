@@ -96,6 +96,11 @@ def explanation_tables(samples: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def with_top(samples: DataFrame, top_k: int | None) -> DataFrame:
+    """Samples with their ``top_k`` strongest drivers, or all."""
+    return samples if top_k is None else samples.withColumn("drivers", F.slice("drivers", 1, top_k))
+
+
 def insight_tables(samples: DataFrame) -> dict[str, DataFrame]:
     insights = guidance.build_insights(samples)
     return {
@@ -112,8 +117,8 @@ def report_tables(samples: DataFrame, cross_project: bool, cutoff: float = DEFAU
                   thresholds: Sequence[float] | None = None) -> dict[str, DataFrame]:
     """Every model-free table below a set of explained samples.
 
-    Guidance, intelligence and brief read the full explanations; the diagnostics read the
-    retained (top-k) ones.
+    Guidance, intelligence and brief read the full explanations; the explanation summary and the
+    diagnostics read the retained (top-k) ones.
     """
     calibration.check_options(bins, thresholds)
     samples = stage(samples, "samples")
@@ -127,7 +132,7 @@ def report_tables(samples: DataFrame, cross_project: bool, cutoff: float = DEFAU
         "risk_summary": ranking.risk_summary(rows, cutoff),
         "top_high_risk": ranking.top_high_risk(rows, cutoff, top_risk),
         "prediction_explanations": retained,
-        **explanation_tables(samples),
+        **explanation_tables(with_top(samples, explain_top_k)),
         **insight_tables(samples),
         **intelligence_tables(rows, samples, cutoff),
         "developer_priority": queue,

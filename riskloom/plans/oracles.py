@@ -15,7 +15,6 @@ from riskloom.sources.tables import LINEAR_MODEL, TEST_START, VALIDATION_START
 
 V, T = f"DATE '{VALIDATION_START}'", f"DATE '{TEST_START}'"
 MODE = "within_project_temporal_test"
-RETAINED = 4
 
 
 def r(expression: str, name: str | None = None) -> str:
@@ -252,7 +251,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT r.project, r.file_path, r.snapshot_date, r.risk_score, list(e.feature ORDER BY e.feature) AS names,
                list(e.c ORDER BY e.feature) AS weights, max(abs(e.c)) AS peak, sum(abs(e.c)) AS total,
                bool_or(e.c <> 0) AS nonzero
-        FROM ranked r JOIN (SELECT * FROM expl WHERE feature_rank <= {RETAINED}) e USING (sample_id)
+        FROM ranked r JOIN (SELECT * FROM expl) e USING (sample_id)
         GROUP BY 1, 2, 3, 4"""),
     "pairs": (["vectors"], """
         SELECT *, CASE WHEN gap > 0 AND gap <= 62 AND names = p_names AND nonzero AND p_nonzero THEN
@@ -272,7 +271,7 @@ CTES: dict[str, tuple[list[str], str]] = {
                      AND NOT regexp_matches(act, '(?i)\b(?:{text.GENERIC_PHRASES})\b') AS concrete
               FROM actions a JOIN (SELECT sample_id, count(*) FILTER (c <> 0) AS k,
                                           list(feature) FILTER (c <> 0) AS names
-                                   FROM expl WHERE feature_rank <= {RETAINED} GROUP BY 1) USING (sample_id))"""),
+                                   FROM expl GROUP BY 1) USING (sample_id))"""),
     "damaged": (["history"], """
         SELECT repository, commit_hash, CASE WHEN n % 97 = 0 THEN '  ' ELSE author_name END AS author_name,
                CASE WHEN n % 89 = 0 THEN 'not a date' ELSE strftime(commit_date, '%Y-%m-%d') END AS commit_date,
@@ -453,7 +452,8 @@ ORACLES: dict[str, str] = {
     "clean_values": f"""
         SELECT event_id, CASE WHEN k IN (0, 1, 2, 6) THEN NULL WHEN k = 3 THEN 'inf' WHEN k = 4 THEN '1e3'
                WHEN k = 5 THEN CAST(user_id AS VARCHAR) WHEN k = 7 THEN strftime(ts, '%Y-%m-%d')
-               WHEN k = 8 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-02:00' ELSE event_type END AS clean_text,
+               WHEN k = 8 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-02:00'
+               WHEN event_id % 30 = 9 THEN '1d' WHEN event_id % 30 = 19 THEN '0x1p3' ELSE event_type END AS clean_text,
                {r('CASE k WHEN 4 THEN 1000 WHEN 5 THEN user_id END', 'clean_number')},
                CASE k WHEN 7 THEN strftime(ts, '%Y-%m-%d') WHEN 8 THEN strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%d') END AS utc_day
         FROM (SELECT *, event_id % 10 AS k FROM events)""",
@@ -622,7 +622,7 @@ ORACLES: dict[str, str] = {
                    max(CASE WHEN c > 0 THEN c END) AS up_c,
                    arg_min(CASE WHEN c < 0 THEN feature END, CASE WHEN c < 0 THEN feature_rank END) AS down,
                    min(CASE WHEN c < 0 THEN c END) AS down_c
-            FROM expl WHERE feature_rank <= {RETAINED} GROUP BY 1) t ON r.sample_id = t.sample_id"""),
+            FROM expl GROUP BY 1) t ON r.sample_id = t.sample_id"""),
     "explanation_totals": sql("expl", "SELECT count(DISTINCT sample_id) AS explained_samples, count(*) AS contributions FROM expl"),
     "common_directions": sql("expl", """
         SELECT direction, feature, count(*) AS sample_count,

@@ -24,7 +24,6 @@ from riskloom.staging import stage_once
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 QUARTERS = ("1999-03-31", "2000-12-31")
-RETAINED = 4
 
 
 def query(function: Query) -> Query:
@@ -69,7 +68,7 @@ def ranking_of(spark, d):
 
 
 def retained_of(spark, d):
-    return stage_once(spark, f"retained {d}", lambda: explain.to_long(tables.scored_table(spark, d), RETAINED))
+    return stage_once(spark, f"retained {d}", lambda: explain.to_long(tables.scored_table(spark, d)))
 
 
 def queue_of(spark, d):
@@ -87,7 +86,7 @@ def actions_of(spark, d):
 
 def vectors_of(spark, d):
     return stage_once(spark, f"vectors {d}", lambda: diagnostics.matched_vectors(
-        ranking_of(spark, d), diagnostics.sample_contexts(tables.scored_table(spark, d), RETAINED)))
+        ranking_of(spark, d), diagnostics.sample_contexts(tables.scored_table(spark, d))))
 
 
 def quality_of(spark, d):
@@ -210,6 +209,7 @@ def clean_values(spark, d):
         F.when(i == 0, "NaN").when(i == 1, " Unknown ").when(i == 2, "<NA>").when(i == 3, "inf")
         .when(i == 4, "1e3").when(i == 5, F.col("user_id").cast("string")).when(i == 6, "None")
         .when(i == 7, F.date_format("ts", "yyyy-MM-dd")).when(i == 8, F.concat(iso, F.lit("-02:00")))
+        .when(F.col("event_id") % 30 == 9, "1d").when(F.col("event_id") % 30 == 19, "0x1p3")
         .otherwise(F.concat(F.lit("  "), F.col("event_type"), F.lit(" "))))
     rows = tables.read_table(spark, d, "events").select("event_id", raw.alias("raw"))
     day = text.utc_day(text.clean_text(F.col("raw")), T.StringType())

@@ -26,12 +26,12 @@ def queue(rows):
 
 def test_ranking_order_and_texts(rows):
     got = rows.orderBy("rank").collect()
-    assert [r["risk_score"] for r in got] == [.95, .90, .80, .70, .60, .10]
-    assert [r["rank"] for r in got] == list(range(1, 7))
-    assert got[0]["top_risk_feature"] == "code_churn" and got[0]["top_protective_feature"] == "days_since_last_change"
+    assert [r["risk_score"] for r in got] == [.91, .84, .78, .65, .55, .20, .05]
+    assert [r["rank"] for r in got] == list(range(1, 8))
+    assert got[0]["top_risk_feature"] == "code_churn" and got[0]["top_protective_feature"] == "file_age_days"
     assert got[0]["primary_risk_reason"] == REGISTRY["code_churn"].risk_reason
-    assert got[5]["primary_risk_reason"] == NO_RISK_REASON
-    assert got[5]["recommended_action"] == REGISTRY["code_churn"].protective_action
+    assert got[6]["primary_risk_reason"] == NO_RISK_REASON
+    assert got[6]["recommended_action"] == REGISTRY["lines_deleted"].protective_action
 
 
 def test_ranking_rejects_bad_scores(samples):
@@ -49,9 +49,9 @@ def test_long_form(samples):
     sums = long.groupBy("sample_id").agg(F.sum("normalized_contribution").alias("s")).collect()
     assert all(math.isclose(r["s"], 1.0) for r in sums)
     top = explain.limit_explanations(long, 1)
-    assert top.count() == 6 and top.agg(F.min("normalized_contribution")).first()[0] == 1.0
+    assert top.count() == 7 and top.agg(F.min("normalized_contribution")).first()[0] == 1.0
     back = explain.from_long(long)
-    assert back.count() == 6 and sorted(map(str, back.select("drivers").collect())) == sorted(
+    assert back.count() == 7 and sorted(map(str, back.select("drivers").collect())) == sorted(
         map(str, samples.select("drivers").collect()))
     assert guidance.sign_violations(long).count() == 0
 
@@ -73,12 +73,13 @@ def test_unsupported_features(samples):
 
 def test_project_summary_and_hotspots(rows, samples):
     s = intelligence.project_summary(rows).first()
-    assert (s["high_risk_sample_count"], s["unique_risky_entities"], s["total_evaluated_samples"]) == (5, 3, 6)
-    assert s["median_predicted_risk"] == pytest.approx(.75)
+    assert (s["high_risk_sample_count"], s["unique_risky_entities"], s["total_evaluated_samples"]) == (5, 3, 7)
+    assert s["median_predicted_risk"] == pytest.approx(.65)
     hot = intelligence.hotspots(rows, samples).orderBy("hotspot_rank").collect()
-    assert [h["identifier"] for h in hot] == ["src/A.java", "src/B.java"]
-    assert [x["feature"] for x in hot[1]["dominant_risk_signals"]] == ["code_churn"]
-    assert hot[1]["recommended_inspection_actions"] == [REGISTRY["code_churn"].risk_action]
+    assert [h["identifier"] for h in hot] == ["lib/Parser.java"]
+    assert [x["feature"] for x in hot[0]["dominant_risk_signals"]] == ["previous_bug_fixes", "lines_added"]
+    assert hot[0]["recommended_inspection_actions"] == [
+        REGISTRY[f].risk_action for f in ("previous_bug_fixes", "lines_added")]
     trend = intelligence.monthly_trend(rows, samples)
     assert intelligence.trend_direction(trend).first()["direction"] == "decreasing"
     assert trend.count() == 3
@@ -86,7 +87,7 @@ def test_project_summary_and_hotspots(rows, samples):
 
 def test_priorities(queue):
     first = queue.where("rank = 1").first()
-    assert first["identifier"] == "src/A.java" and first["priority_score"] == pytest.approx(.8 * .9 + .2)
+    assert first["identifier"] == "lib/Parser.java" and first["priority_score"] == pytest.approx(.8 * .84 + .2)
 
 
 def test_bad_dates_make_the_trend_unsupported(rows, samples):
@@ -134,11 +135,11 @@ def test_actions_and_summary(rows, samples, queue):
     tiered = stage(brief.assign_tiers(queue))
     actions = {(r["identifier"], r["snapshot_date"]): r for r in brief.action_queue(tiered, samples).collect()}
     assert len(actions) == 5
-    a = actions[("src/A.java", "2024-01-31")]
-    assert a["dominant_signal"] == "commit_count" and '"risk_threshold":0.5' in a["supporting_evidence"]
-    assert actions[("src/C.java", "2024-01-31")]["dominant_signal"] is None
+    a = actions[("lib/Parser.java", "2023-05-31")]
+    assert a["dominant_signal"] == "previous_bug_fixes" and '"risk_threshold":0.5' in a["supporting_evidence"]
+    assert actions[("lib/Cache.java", "2023-06-30")]["dominant_signal"] is None
     s = brief.executive_summary(rows, samples, tiered).first()
-    assert (s["top_hotspot"], s["temporal_direction"], s["overall_attention_level"]) == ("src/A.java", "decreasing", "HIGH")
+    assert (s["top_hotspot"], s["temporal_direction"], s["overall_attention_level"]) == ("lib/Parser.java", "decreasing", "HIGH")
     assert s["number_of_priority_items"] == 5 and s["models_used"] == ["example"]
 
 

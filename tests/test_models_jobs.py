@@ -146,7 +146,7 @@ def test_cross_report(spark, data, within, tmp_path):
     assert out["coefficient_stability"].count() == 8 and out["dataset_shift"].count() == 16
     assert out["leakage_audit"].where(~F.col("passed")).count() == 0
     assert out["same_project_comparison"].count() == 0  # other test rows, so nothing is compared
-    assert out["confusion_matrix"].select(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).first()[0] == 48
+    assert out["confusion_matrix"].select(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).first()[0] == 36
     assert set(writers.write_cross_project(out, str(tmp_path / "cross"))) >= {"folds", "aggregate", "dataset_shift"}
 
 

@@ -28,15 +28,15 @@ def sizes(df):
 
 def test_explicit_cuts(spark, one):
     parted = partitions.partition_mature(one, ends_frame(spark, ["alpha"]), V, T)
-    assert sizes(parted) == {"train": 60, "validation": 36, "test": 24, None: 24}
+    assert sizes(parted) == {"train": 39, "validation": 27, "test": 18, None: 18}
     ledger = {r["reason"]: r["row_count"] for r in partitions.exclusion_ledger(parted).collect()}
-    assert ledger == {"immature_training_label": 12, "immature_validation_label": 12}
+    assert ledger == {"immature_training_label": 9, "immature_validation_label": 9}
 
 
 def test_default_fractions(spark, one):
     parted, _ = partitions.chronological_split(one, ends_frame(spark, ["alpha"]))
     days = {r["partition"]: r["n"] for r in parted.groupBy("partition").agg(F.countDistinct("snapshot_date").alias("n")).collect()}
-    assert (days["train"], days["validation"], days["test"]) == (22, 3, 6)
+    assert (days["train"], days["validation"], days["test"]) == (20, 3, 6)
 
 
 @pytest.mark.parametrize("gap,kept", [(90, False), (91, True)])
@@ -89,7 +89,7 @@ def test_leave_one_project_out(spark, three):
     days = folds["beta"].where("partition is not null").groupBy("repository", "partition").agg(
         F.countDistinct("snapshot_date").alias("n")).collect()
     assert {(r[0], r[1]): r[2] for r in days} == {
-        ("alpha", "train"): 15, ("gamma", "train"): 15, ("alpha", "validation"): 9, ("gamma", "validation"): 9, ("beta", "test"): 6}
+        ("alpha", "train"): 13, ("gamma", "train"): 13, ("alpha", "validation"): 9, ("gamma", "validation"): 9, ("beta", "test"): 6}
     summary = partitions.lopo_fold_summary(three, ends, calendar)
     direct = folds["beta"].where("partition = 'train'").count()
     assert summary.where("held_out = 'beta' and partition = 'train'").agg(F.sum("row_count")).first()[0] == direct

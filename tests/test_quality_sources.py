@@ -42,7 +42,7 @@ def test_empty_and_missing(spark):
                                           ("repository", " "), ("snapshot_date", None)])
 def test_feature_rules(spark, column, value):
     df = features_frame(spark, feature_rows())
-    bad = df.withColumn(column, F.when(F.col("file_age_days") == 0, F.lit(value)).otherwise(F.col(column)))
+    bad = df.withColumn(column, F.when(F.col("file_age_days") == 6, F.lit(value)).otherwise(F.col(column)))
     with pytest.raises(DataQualityError):
         clean_features(bad)
 
@@ -55,7 +55,7 @@ def test_feature_label_duplicates_and_dates(spark):
         clean_features(df.unionByName(df))
     with pytest.raises(DataQualityError, match="too_few_dates"):
         clean_features(features_frame(spark, feature_rows(months=2)))
-    assert clean_features(df.withColumn("future_outcome_debug", F.lit(1))).count() == 144
+    assert clean_features(df.withColumn("future_hint", F.lit(1))).count() == 102
 
 
 def test_csv_round_trip_keeps_line_breaks(spark, tmp_path):
@@ -79,7 +79,7 @@ def test_commit_records(spark, tmp_path):
 
 def test_feature_sets(spark):
     one, two = (features_frame(spark, feature_rows(n)) for n in ("alpha", "beta"))
-    assert readers.combine_feature_sets([one, two]).count() == 288
+    assert readers.combine_feature_sets([one, two]).count() == 204
     with pytest.raises(DataQualityError, match="several sources"):
         readers.combine_feature_sets([one, two, one])
     with pytest.raises(DataQualityError, match="two repositories"):
@@ -90,7 +90,7 @@ def test_digest_ignores_order_and_sees_changes(spark):
     df = features_frame(spark, feature_rows())
     digest = frame_digest(df).first()["digest"]
     assert frame_digest(df.orderBy(F.rand(1)).repartition(5)).first()["digest"] == digest
-    assert frame_digest(df.withColumn("code_churn", F.when(F.col("file_age_days") == 0, F.col("code_churn") + 0.5)
+    assert frame_digest(df.withColumn("code_churn", F.when(F.col("file_age_days") == 6, F.col("code_churn") + 0.5)
                                       .otherwise(F.col("code_churn")))).first()["digest"] != digest
     assert frame_digest(df.unionByName(df.limit(1))).first()["digest"] != digest
     ints = df.withColumns({c: F.col(c).cast("long") for c in ("commit_count", "code_churn")})

@@ -53,11 +53,11 @@ def test_quantiles_are_exact(spark, rows):
     assert whole == pytest.approx(np.median([r[1] for r in rows]))
 
 
-def test_lookup_only_broadcasts_small_tables(spark):
-    small, large = spark.range(10), spark.range(100)
-    def plan(df):
-        return df._jdf.queryExecution().toString()
-
-    assert "broadcast" in plan(scan.lookup(small, 10)).lower()
-    assert scan.lookup(large, 10) is large
-    assert scan.lookup(small, 10).count() == 10
+def test_more_groups_than_a_driver_should_hold(spark):
+    """60,000 groups of three rows: ranks by the scan equal ranks by a window."""
+    from pyspark.sql import Window
+
+    rows = spark.range(180_000).select((F.col("id") % 60_000).alias("g"), F.xxhash64("id").alias("v"))
+    want = rows.withColumn("w", F.row_number().over(Window.partitionBy("g").orderBy("v")))
+    both = scan.ranked(rows, ["g"], [F.col("v").asc()]).join(want, ["g", "v"])
+    assert both.count() == 180_000 and both.where("rank <> w").count() == 0
