@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import gathered, keyed_text
 from riskloom.staging import stage, staging_root
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 64_000_000
 BUCKETS_MOST = 100_000  # what Spark allows
 LEVELS = 8  # a level is 2 ** (1 / LEVELS)
@@ -113,7 +113,7 @@ class Block:
         self.docs = at["docs"].values
         self.folds = at["folds"].values.to_numpy()
         self.ends = at["ends"].values.to_numpy().astype("int64")
-        self.tokens = np.frombuffer(at["tokens"].as_buffer(), "<i4").astype("int64")
+        self.tokens = np.frombuffer(at["tokens"].as_buffer(), "<i4")
         self.at = at
         self.starts = np.concatenate([[0], self.ends[:-1]])
         self.fold = np.repeat(self.folds, np.diff(self.ends, prepend=0))
@@ -135,7 +135,8 @@ class Block:
         keys = mixed[self.contexts()] * np.uint64(0xBF58476D1CE4E5B9) + words[self.tokens]
         keys ^= keys >> np.uint64(32)
         keys *= np.uint64(0x94D049BB133111EB)
-        return np.unique(keys, return_inverse=True)
+        keys, place = np.unique(keys, return_inverse=True)
+        return keys, place.astype("int32")
 
 
 def _exchange(blocks: DataFrame, bigrams: bool, bits: int, held: int, tune: int) -> DataFrame:
@@ -269,8 +270,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
             for row in range(batch.num_rows):
                 block, place, one, _, two, _ = arrays(batch, row)
                 above, token, pair = one[block.contexts()], one[block.tokens], two[place]
-                w = table[bucket_of(above)]
-                p = w[:, 0] * (pair / np.maximum(above, 1)) + w[:, 1] * (token / max(1, trained)) + w[:, 2] / (seen + 1)
+                bucket = bucket_of(above)
+                p = table[bucket, 0] * (pair / np.maximum(above, 1))
+                p += table[bucket, 1] * (token / max(1, trained))
+                p += table[bucket, 2] / (seen + 1)
                 base = np.log10((token + 1) / (trained + seen + 1))
                 n = len(block.ends)
                 yield pa.RecordBatch.from_arrays([
