@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import gathered, keyed_text
 from riskloom.staging import stage
 
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 CHUNK_WORDS = 200_000
 #: Fixed value of the contract: A-Z becomes a-z; digits, a-z and all bytes from 80 hex on are word bytes.
 WORD_BYTES = bytes(
@@ -83,23 +83,28 @@ class Postings:
         gaps = np.frombuffer(row["positions"].as_buffer(), "<i4")
         self.lists = {term: np.cumsum(gaps[bounds[i]:bounds[i + 1]], dtype="int64")
                       for i, term in enumerate(row["terms"].values.to_pylist()) if term in asked}
+        self.pairs: dict[tuple[bytes, bytes, int], np.ndarray] = {}
 
     def phrase(self, window: tuple[bytes, ...], order: list[int]) -> np.ndarray:
         """First positions of the exact phrase; ``order`` lists the offsets, rarest term first."""
-        found = None
-        for offset in order:
-            places = self.lists.get(window[offset])
-            if places is None:
-                return np.empty(0, "int64")
-            if found is None:
-                found = places - offset
-            else:
-                at = np.searchsorted(places, found + offset)
-                found = found[places[np.minimum(at, len(places) - 1)] == found + offset]
+        found = self._pair(window, order) - order[0]
+        for offset in order[2:]:
             if not len(found):
                 break
+            places = self.lists.get(window[offset])
+            found = found[_among(found + offset, places)] if places is not None else found[:0]
         return found
 
+    def _pair(self, window: tuple[bytes, ...], order: list[int]) -> np.ndarray:
+        """Positions of the rarest term with the second rarest at its distance; windows that overlap share them."""
+        first, second = order[0], order[1] if len(order) > 1 else order[0]
+        name = window[first], window[second], second - first
+        if name not in self.pairs:
+            rare, other = self.lists.get(name[0]), self.lists.get(name[1])
+            self.pairs[name] = (np.empty(0, "int64") if rare is None or other is None
+                                else rare[_among(rare + name[2], other)])
+        return self.pairs[name]
+
     def near(self, window: tuple[bytes, ...], order: list[int], span: int) -> np.ndarray:
         """Positions of the rarest term with every other term of ``window`` within ``span`` words in its text."""
         places = self.lists.get(window[order[0]])
@@ -120,6 +125,12 @@ class Postings:
         return np.searchsorted(self.starts, places, "right") - 1
 
 
+def _among(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted list ``places``, which is not empty."""
+    at = np.searchsorted(places, values)
+    return places[np.minimum(at, len(places) - 1)] == values
+
+
 def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     """Runs of ``width`` words; a shorter text, unless empty, is one window."""
     if len(words) <= width:
