@@ -253,20 +253,25 @@ def repository_names(ends: DataFrame) -> list[str]:
 def lopo_fold_summary(features: DataFrame, ends: DataFrame, calendar: Calendar) -> DataFrame:
     """Rows and classes per (held-out repository, repository, partition or reason).
 
-    Snapshots are first counted per (repository, day); only those few rows are fanned out to
-    the held-out repositories.
+    A repository has two roles, held out or source, whatever the fold. Snapshots are counted once per
+    role; the folds of a repository then only repeat the counts of its source role, as the result does.
     """
-    daily = features.groupBy("repository", "snapshot_date").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("p"))
-    partition, reason = _rules(calendar, F.col("held_out"))
-    return (
-        daily.join(lookup(ends), "repository")
-        .select("*", F.explode(F.array(*map(F.lit, repository_names(ends)))).alias("held_out"))
-        .withColumns({"partition": F.coalesce(partition, F.lit("excluded")), "reason": reason})
-        .groupBy("held_out", "repository", "partition", "reason")
-        .agg(F.sum("n").alias("row_count"), F.sum("p").alias("positives"),
-             F.min("snapshot_date").alias("start_date"), F.max("snapshot_date").alias("end_date"))
-    )
+    roles = []
+    for role, held_out in (("held", F.col("repository")), ("source", F.lit(None).cast("string"))):
+        partition, reason = _rules(calendar, F.coalesce(held_out, F.concat("repository", F.lit("'"))))
+        roles.append(F.struct(F.lit(role).alias("role"), F.coalesce(partition, F.lit("excluded")).alias("partition"),
+                              reason.alias("reason")))
+    counts = (
+        features.drop("observation_end").join(lookup(ends), "repository")
+        .select("repository", "snapshot_date", TARGET, F.explode(F.array(*roles)).alias("as"))
+        .groupBy("repository", "as.role", "as.partition", "as.reason")
+        .agg(F.count(F.lit(1)).alias("row_count"), F.sum(TARGET).alias("positives"),
+             F.min("snapshot_date").alias("start_date"), F.max("snapshot_date").alias("end_date")))
+    names = ends.agg(F.collect_set("repository").alias("names")).withColumn("role", F.lit("source"))
+    others = F.filter("names", lambda n: n != F.col("repository"))
+    return counts.join(F.broadcast(names), "role", "left").select(  # one row
+        F.explode(F.when(F.col("role") == "held", F.array("repository")).otherwise(others)).alias("held_out"),
+        "repository", "partition", "reason", "row_count", "positives", "start_date", "end_date")
 
 
 def lopo_folds(features: DataFrame, ends: DataFrame, calendar: Calendar):

@@ -95,8 +95,9 @@ def build_snapshots(history: DataFrame) -> DataFrame:
     )
     # The exchange the windows need anyway, but with the configured partition count: adaptive
     # coalescing would size partitions by these rows, not by the snapshots they expand to.
-    parts = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    totals = daily_changes(changes).repartition(parts, *FILE).withColumns({
+    parts = history.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    fixed = [int(parts)] if parts.isdigit() else []
+    totals = daily_changes(changes).repartition(*fixed, *FILE).withColumns({
         "commit_count": F.sum("commits").over(through),
         "developer_count": F.sum("new_developers").over(through),
         "added": F.sum("lines_added").over(through),

@@ -13,7 +13,7 @@ from riskloom.operators import brief, calibration, diagnostics, explain, guidanc
 from riskloom.operators import partitions, ranking, stability
 from riskloom.operators.models import STRATEGIES, TrainingResult, train_baselines
 from riskloom.operators.provenance import build_provenance, frame_digest, provenance_ends, verify_provenance
-from riskloom.operators.quality import clean_history, require, feature_report
+from riskloom.operators.quality import clean_history, feature_report, partition_report, require
 from riskloom.operators.snapshots import build_snapshots, repository_summary, snapshot_summary
 from riskloom.schemas import (
     CROSS_MODE, DEFAULT_CUTOFF, FOREST_TREES, MODEL_FEATURES, PROTOCOL, SEED, TARGET, TOP_RISK, WITHIN_MODE,
@@ -51,14 +51,42 @@ def merge_datasets(datasets: Sequence[Dataset]) -> Dataset:
 
 def _audited(parted: DataFrame, dataset: Dataset, calendar, held_out: str | None) -> tuple[DataFrame, DataFrame]:
     """Store the partitions, then audit the stored rows against the digests of the split."""
-    recorded = stage(frame_digest(parted.where(F.col("partition").isNotNull()), ["partition"]), "digests")
     rows = stage(parted, "partitions")
+    require(partition_report(rows))
+    recorded = stage(frame_digest(parted.where(F.col("partition").isNotNull()), ["partition"]), "digests")
     audit = stage(partitions.audit_partitions(
         rows, dataset.ends, calendar, held_out, dataset.provenance, recorded), "audit")
     partitions.require_audit(audit)
     return rows, audit
 
 
+def _fold_audited(parted: DataFrame, dataset: Dataset, calendar, held_out: str) -> DataFrame:
+    """Audit a fold that is only a filter over the stored snapshots; nothing but the checks is stored."""
+    require(partition_report(parted))
+    return stage(partitions.audit_partitions(parted, dataset.ends, calendar, held_out, dataset.provenance), "audit")
+
+
+def dataset_summary(parted: DataFrame) -> DataFrame:
+    """One row: snapshots, classes, repositories, date range, predictors and the size of each partition."""
+    kept = parted.where(F.col("partition").isNotNull())
+    days = kept.groupBy("repository").agg(F.min("snapshot_date").alias("lo"), F.max("snapshot_date").alias("hi")).agg(
+        F.count(F.lit(1)).alias("repositories"), F.min("lo").alias("start_date"), F.max("hi").alias("end_date"))
+    split = partitions.partition_summary(kept)  # three rows at most
+    parts = split.agg(F.sort_array(F.collect_list(F.struct(*split.columns))).alias("splits"))
+    out = snapshot_summary(kept).withColumn("predictors", F.array(*map(F.lit, MODEL_FEATURES)))
+    for one in (days, parts):
+        out = out.withColumn("_one", F.lit(1)).join(one.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return out
+
+
+def pooled_scope(rows: DataFrame, cross_project: bool) -> DataFrame:
+    """Rows of a single-project report under its one name, unnamed rows too; other rows as they are."""
+    if intelligence.scope(rows, cross_project) == "per_project":
+        return rows
+    named = intelligence.normalize(rows).where("project != ''").select("project").first()
+    return rows.withColumn("project", F.lit(named["project"] if named else ""))
+
+
 def explained_samples(result: TrainingResult, test: DataFrame, mode: str) -> DataFrame:
     """Scored and explained test rows of the selected model, in the column names of a ranking."""
     best = result.best
@@ -123,10 +151,11 @@ def report_tables(samples: DataFrame, cross_project: bool, cutoff: float = DEFAU
     calibration.check_options(bins, thresholds)
     samples = stage(samples, "samples")
     rows = stage(ranking.build_ranking(samples), "ranking")
+    scoped, named = pooled_scope(rows, cross_project), pooled_scope(samples, cross_project)
     retained = stage(explain.to_long(samples, explain_top_k), "explanations")
-    queue = stage(intelligence.priority_queue(rows, cutoff), "queue")
+    queue = stage(intelligence.priority_queue(scoped, cutoff), "queue")
     tiered = stage(brief.assign_tiers(queue, cutoff), "tiers")
-    actions = stage(brief.action_queue(tiered, samples, cutoff), "actions")
+    actions = stage(brief.action_queue(tiered, named, cutoff), "actions")
     return {
         "risk_ranking": rows,
         "risk_summary": ranking.risk_summary(rows, cutoff),
@@ -134,10 +163,10 @@ def report_tables(samples: DataFrame, cross_project: bool, cutoff: float = DEFAU
         "prediction_explanations": retained,
         **explanation_tables(with_top(samples, explain_top_k)),
         **insight_tables(samples),
-        **intelligence_tables(rows, samples, cutoff),
+        **intelligence_tables(scoped, named, cutoff),
         "developer_priority": queue,
         "top_priorities": intelligence.top_priorities(queue),
-        "developer_risk_brief": brief.executive_summary(rows, samples, tiered, cutoff),
+        "developer_risk_brief": brief.executive_summary(scoped, named, tiered, cutoff),
         "developer_actions": actions,
         "top_actions": brief.top_actions(actions),
         **diagnostics.evaluate_actions(
@@ -152,6 +181,7 @@ def resume_report(tables: dict[str, DataFrame], cutoff: float = DEFAULT_CUTOFF,
     out = dict(tables)
     rows, retained = out["risk_ranking"], out["prediction_explanations"]
     samples = stage(explain.from_long(retained), "samples")
+    scoped, named = pooled_scope(rows, cross_project), pooled_scope(samples, cross_project)
 
     def missing(*names: str) -> bool:
         return any(n not in out for n in names)
@@ -167,13 +197,13 @@ def resume_report(tables: dict[str, DataFrame], cutoff: float = DEFAULT_CUTOFF,
     if missing("actionable_insights"):
         fill(insight_tables(samples))
     if missing("project_summary", "hotspots"):
-        fill(intelligence_tables(rows, samples, cutoff))
+        fill(intelligence_tables(scoped, named, cutoff))
     if missing("developer_priority"):
-        fill({"developer_priority": stage(intelligence.priority_queue(rows, cutoff), "queue")})
+        fill({"developer_priority": stage(intelligence.priority_queue(scoped, cutoff), "queue")})
     if missing("developer_risk_brief", "developer_actions"):
         tiered = stage(brief.assign_tiers(out["developer_priority"], cutoff), "tiers")
-        fill({"developer_risk_brief": brief.executive_summary(rows, samples, tiered, cutoff),
-              "developer_actions": stage(brief.action_queue(tiered, samples, cutoff), "actions")})
+        fill({"developer_risk_brief": brief.executive_summary(scoped, named, tiered, cutoff),
+              "developer_actions": stage(brief.action_queue(tiered, named, cutoff), "actions")})
     if missing("action_quality", "explanation_stability"):
         fill(diagnostics.evaluate_actions(rows, retained, out["developer_actions"], cutoff))
     if missing("calibration", "threshold_analysis", "calibration_summary"):
@@ -208,7 +238,7 @@ def evaluate_within(dataset: Dataset, validation_start: str | None = None, test_
         "model_comparison": comparison,
         "feature_importance": result.importance.withColumn("fold_count", F.lit(1).cast("long")),
         "confusion_matrix": comparison.where("selected_model").select("tn", "fp", "fn", "tp"),
-        "dataset_summary": snapshot_summary(parted.where(F.col("partition").isNotNull())),
+        "dataset_summary": dataset_summary(parted),
         "partition_summary": partitions.partition_summary(parted),
         "exclusion_ledger": partitions.exclusion_ledger(parted),
         "leakage_audit": audit,
@@ -221,15 +251,16 @@ def evaluate_cross(dataset: Dataset, validation_start: str, test_start: str, tes
                    same_project: DataFrame | None = None, **report_options) -> dict[str, DataFrame]:
     """Leave-one-project-out folds, stability across folds and the report of the held-out rows.
 
-    The folds share one stored snapshot table; a fold only adds a partition column to it.
+    The folds share one stored snapshot table: a fold is a filter over it and stores no rows.
     """
     spark = dataset.features.sparkSession
     require(feature_report(dataset.features, multi_repository=True))
     verify_provenance(dataset.provenance, dataset.features)
+    dataset = Dataset(stage(dataset.features, "snapshots"), dataset.provenance)
     calendar = partitions.fix_calendar(dataset.ends, validation_start, test_start, test_end)
     folds, selections, samples, importances, audits, linear, forest, digests = ([] for _ in range(8))
     for held_out, parted in partitions.lopo_folds(dataset.features, dataset.ends, calendar):
-        parted, audit = _audited(parted, dataset, calendar, held_out)
+        audit = _fold_audited(parted, dataset, calendar, held_out)
         result = train_baselines(parted, trees, max_depth, seed)
         audit = partitions.fold_audit(audit, parted, held_out, MODEL_FEATURES,
                                       result.models["logistic_regression"].fitted_rows)
@@ -259,7 +290,9 @@ def evaluate_cross(dataset: Dataset, validation_start: str, test_start: str, tes
         selections, "held_out_repository string, selected_model string, selected_threshold double")
     out = {
         "folds": fold_rows, "aggregate": aggregate, "model_selection": selection,
-        "selected_thresholds": selection.select("held_out_repository", "selected_threshold"),
+        "selected_thresholds": fold_rows.where(F.col("threshold_strategy") == STRATEGIES[1]).select(
+            "held_out_repository", "model", "is_selected_model", "selected_validation_threshold",
+            "validation_pr_auc", "validation_f1"),
         "coefficient_stability": stability.coefficient_stability(spark.createDataFrame(
             linear, "held_out_repository string, feature string, coefficient double")),
         "feature_importance_stability": stability.importance_stability(spark.createDataFrame(

@@ -198,7 +198,7 @@ CTES: dict[str, tuple[list[str], str]] = {
               FROM confusion JOIN areas USING (project, model))"""),
     "effects": (["parted"], f"""
         SELECT e.repository AS held_out, x.feature AS feature,
-               avg(x.value) FILTER ({TARGET} = 1) - avg(x.value) FILTER ({TARGET} = 0) AS coefficient
+               (avg(x.value) FILTER ({TARGET} = 1) - avg(x.value) FILTER ({TARGET} = 0)) / stddev_pop(x.value) AS coefficient
         FROM (SELECT repository, {TARGET}, unnest([{STACK}]) AS x FROM parted WHERE part IS NOT NULL) p
              JOIN (SELECT DISTINCT repository FROM parted) e ON p.repository <> e.repository
         GROUP BY 1, 2"""),

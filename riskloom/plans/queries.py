@@ -110,22 +110,24 @@ def folds_of(spark, d):
 
 
 def effects_of(spark, d):
-    """Mean difference of each standardized predictor between classes, per held-out fold."""
-    from functools import reduce
-
-    rows = parted_of(spark, d).where("partition is not null")
-    means = rows.groupBy("repository", TARGET).agg(
-        *[F.sum(f).alias(f) for f in MODEL_FEATURES], F.count(F.lit(1)).alias("n"))
-    pieces = []
-    for name in partitions.repository_names(ends_of(spark, d)):
-        fold = means.where(F.col("repository") != name)
-        pieces.append(fold.select(F.inline(F.array(*[
-            F.struct(F.lit(f).alias("feature"), F.col(f).alias("s"), F.col("n"), F.col(TARGET).alias("label"))
-            for f in MODEL_FEATURES]))).groupBy("feature").agg(
-            (F.sum(F.when(F.col("label") == 1, F.col("s"))) / F.sum(F.when(F.col("label") == 1, F.col("n")))
-             - F.sum(F.when(F.col("label") == 0, F.col("s"))) / F.sum(F.when(F.col("label") == 0, F.col("n"))))
-            .alias("coefficient")).withColumn("held_out", F.lit(name)))
-    return reduce(DataFrame.unionByName, pieces)
+    """Mean difference of each standardized predictor between classes, per held-out fold.
+
+    Totals per repository are taken once; those of a fold are the pooled ones less its own.
+    """
+    def build() -> DataFrame:
+        return parted_of(spark, d).where("partition is not null").select("repository", TARGET, F.inline(F.array(*[
+            F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in MODEL_FEATURES]))).groupBy(
+            "repository", "feature").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"),
+            F.sum(F.col(TARGET).cast("double")).alias("n1"), F.sum(F.col("v") * F.col(TARGET)).alias("s1"))
+
+    own = stage_once(spark, f"totals {d}", build)
+    sums = ["n", "s", "q", "n1", "s1"]
+    pooled = own.groupBy("feature").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
+    fold = own.join(pooled, "feature").withColumns({c: F.col(f"all_{c}") - F.col(c) for c in sums})
+    spread = F.sqrt(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2))
+    gap = F.col("s1") / F.col("n1") - (F.col("s") - F.col("s1")) / (F.col("n") - F.col("n1"))
+    return fold.select("feature", (gap / spread).alias("coefficient"), F.col("repository").alias("held_out"))
 
 
 # Sources, text rules and snapshots.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.text import is_java_path, strip
+from riskloom.functions.text import is_java_path, read_number, strip
+from riskloom.operators.models import FittedModel
 from riskloom.operators.partitions import PartitionError
 from riskloom.operators.provenance import verify_provenance
-from riskloom.operators.quality import DataQualityError, clean_features, clean_history
+from riskloom.operators.quality import (
+    DataQualityError, clean_features, clean_history, require, require_columns, unit_rule, violations,
+)
 from riskloom.schemas import (
     COMMIT_SCHEMA, FEATURE_SCHEMA, HISTORY_COLUMNS, HISTORY_SCHEMA, PROVENANCE_SCHEMA, RANKING_SCHEMA,
 )
@@ -90,9 +94,60 @@ def read_feature_sets(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return combine_feature_sets([read_tabular(spark, p, FEATURE_SCHEMA) for p in paths])
 
 
-def read_ranking(spark: SparkSession, path: str) -> DataFrame:
-    """A stored ranking for analyses that need no model."""
-    return read_tabular(spark, path, RANKING_SCHEMA)
+# The columns of stored report tables that hold numbers.
+_WHOLE = ("rank", "predicted_label", "true_label", "risk_signal_count", "feature_rank", "recurring_high_risk_count",
+          "priority_rank")
+_REAL = ("risk_score", "decision_threshold", "top_risk_contribution", "top_protective_contribution", "feature_value",
+         "model_input_value", "contribution", "absolute_contribution", "normalized_contribution", "predicted_risk",
+         "recurring_high_risk_rate", "recurring_hotspot_evidence", "priority_score")
+
+
+def read_artifact(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """A stored report table (parquet, csv or json) with numbers as numbers; texts that are none become null."""
+    kind = kind or {"csv": "csv", "json": "json"}.get(path.rstrip("/").rsplit(".", 1)[-1], "parquet")
+    if kind == "csv":
+        rows = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
+                .option("escape", '"').csv(path))
+    else:
+        rows = spark.read.format(kind).load(path)
+    labels = {f.name: f.dataType.simpleString() for f in RANKING_SCHEMA if f.name.endswith("_label")}
+    return rows.withColumns({
+        c: read_number(F.col(c).cast("string")).cast("double" if c in _REAL else labels.get(c, "bigint"))
+        for c in rows.columns if c in (*_WHOLE, *_REAL)})
+
+
+def read_ranking(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """A stored ranking for analyses that need no model; scores and thresholds must be in [0, 1]."""
+    rows = read_artifact(spark, path, kind)
+    require_columns(rows, ["risk_score"])
+    require(violations(rows, [unit_rule("risk_score")]))
+    return rows
+
+
+def read_report(spark: SparkSession, root: str, kind: str = "parquet") -> dict[str, DataFrame]:
+    """The tables of a stored report by name, as ``write_tables`` laid them out; enough to resume it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = sorted(s.getPath().getName() for s in found if s.isDirectory())
+    return {n: read_artifact(spark, f"{root.rstrip('/')}/{n}", stored_kind(n, kind)) for n in names}
+
+
+def stored_kind(name: str, kind: str) -> str:
+    """Summaries of a CSV report are JSON."""
+    return "json" if kind == "csv" and name.endswith("summary") else kind
+
+
+def load_model(spark: SparkSession, root: str) -> FittedModel:
+    """The model that ``save_model`` stored, ready to score and explain."""
+    facts = json.loads(spark.read.json(f"{root}/metadata").first()["model"])
+    forest = None
+    if facts["model_type"] == "random_forest":
+        from pyspark.ml.classification import RandomForestClassificationModel
+
+        forest = RandomForestClassificationModel.load(f"{root}/model")
+    return FittedModel(
+        facts["model_type"], prior=facts["prior"], intercept=facts["intercept"], forest=forest,
+        linear={k: tuple(v) for k, v in facts["linear_terms"].items()})
 
 
 def read_provenance(spark: SparkSession, path: str, features: DataFrame | None = None,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.operators.provenance import verify_provenance
+from riskloom.sources.readers import stored_kind
 from riskloom.schemas import FEATURE_COLUMNS, HISTORY_COLUMNS, MODEL_FEATURES, TARGET
 
 REPORT_TABLES = [
@@ -66,7 +67,7 @@ def write_tables(tables: Mapping[str, DataFrame], root: str, kind: str = "parque
     paths = {}
     for name, df in tables.items():
         paths[name] = f"{root.rstrip('/')}/{name}"
-        write_table(df, paths[name], "json" if kind == "csv" and name.endswith("summary") else kind)
+        write_table(df, paths[name], stored_kind(name, kind))
     return paths
 
 
