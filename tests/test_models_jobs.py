@@ -115,6 +115,8 @@ def test_selection_ignores_test_rows(parted, fitted):
 
 def test_within_report(within, spark, tmp_path):
     assert within["risk_ranking"].count() == within["partition_summary"].where("partition = 'test'").first()["row_count"]
+    facts = within["dataset_summary"].first()
+    assert (facts["repositories"], facts["predictors"], len(facts["splits"])) == (1, MODEL_FEATURES, 3)
     assert within["metrics"].count() == 12 and within["feature_importance"].count() == 24
     assert within["prediction_explanations"].agg(F.max("feature_rank")).first()[0] == 4
     paths = writers.write_report(within, str(tmp_path / "report"))
@@ -123,6 +125,45 @@ def test_within_report(within, spark, tmp_path):
     assert again == within["calibration_summary"].drop("score_methods").collect()
 
 
+def test_explanation_summary_counts_the_retained_rows(within):
+    retained = within["prediction_explanations"].count()
+    assert within["explanation_summary"].first()["contributions"] == retained < 8 * within["risk_ranking"].count()
+
+
+def test_report_from_csv_equals_the_report(within, spark, tmp_path):
+    kept = {k: within[k] for k in ("risk_ranking", "prediction_explanations", "developer_actions", "calibration_summary")}
+    writers.write_tables(kept, str(tmp_path / "csv"), "csv")
+    stored = readers.read_report(spark, str(tmp_path / "csv"), "csv")
+    assert set(stored) == set(kept)
+    assert stored["risk_ranking"].select("rank", "risk_score", "true_label").dtypes == \
+        within["risk_ranking"].select("rank", "risk_score", "true_label").dtypes
+    names = ("risk_ranking", "prediction_explanations")
+    again, want = (jobs.resume_report({n: t[n] for n in names}) for t in (stored, kept))
+    for name in ("project_summary", "developer_priority", "monthly_trend", "calibration_summary", "explanation_summary"):
+        drop = [c for c in want[name].columns if c in ("score_methods",)]
+        assert sorted(map(str, again[name].drop(*drop).collect())) == sorted(map(str, want[name].drop(*drop).collect()))
+
+
+def test_bad_stored_scores_are_refused(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("rank,risk_score\n1,0.5\n2,0x1p-1\n")
+    with pytest.raises(ValueError, match="risk_score"):
+        readers.read_ranking(spark, str(tmp_path / "r.csv"))
+
+
+def test_one_named_project_takes_the_unnamed_rows(spark):
+    rows = spark.createDataFrame([("a", 1), (" ", 2), (None, 3)], "project string, file_path string".replace(
+        "file_path string", "n long")).withColumn("file_path", F.lit("f"))
+    assert {r["project"] for r in jobs.pooled_scope(rows, False).collect()} == {"a"}
+    both = rows.unionByName(rows.limit(1).withColumn("project", F.lit("b")))
+    assert {r["project"] for r in jobs.pooled_scope(both, False).collect()} == {"a", " ", None, "b"}
+    assert {r["project"] for r in jobs.pooled_scope(rows, True).collect()} == {"a", " ", None}
+
+
+def test_depth_beyond_spark_is_refused(parted):
+    with pytest.raises(ValueError, match="depth"):
+        models.fit_baselines(parted.where("partition = 'train'"), trees=1, max_depth=31)
+
+
 def test_missing_tables_are_derived(within):
     kept = {k: within[k] for k in ("risk_ranking", "prediction_explanations")}
     full = jobs.resume_report(kept)
@@ -143,6 +184,10 @@ def test_cross_report(spark, data, within, tmp_path):
     out = jobs.evaluate_cross(data, V, T, trees=3, max_depth=3, same_project=same)
     assert out["folds"].count() == 12 and out["model_selection"].count() == 2
     assert {r["project"] for r in out["risk_ranking"].select("project").distinct().collect()} == set(NAMES)
+    locked = out["selected_thresholds"]
+    assert locked.count() == 6 and locked.where("is_selected_model").count() == 2
+    assert set(locked.columns) == {"held_out_repository", "model", "is_selected_model", "selected_validation_threshold",
+                                   "validation_pr_auc", "validation_f1"}
     assert out["coefficient_stability"].count() == 8 and out["dataset_shift"].count() == 16
     assert out["leakage_audit"].where(~F.col("passed")).count() == 0
     assert out["same_project_comparison"].count() == 0  # other test rows, so nothing is compared
@@ -159,6 +204,10 @@ def test_saved_model_documents_its_choice(spark, parted, tmp_path):
     row = spark.read.json(str(tmp_path / "m" / "metadata")).first()
     facts = json.loads(row["model"])
     assert facts["model_type"] == result.selected_model and facts["feature_columns"] == MODEL_FEATURES
+    loaded = readers.load_model(spark, str(tmp_path / "m"))
+    test = parted.where("partition = 'test'")
+    old, new = (m.score(test).agg(F.sum("risk_score")).first()[0] for m in (result.best, loaded))
+    assert loaded.name == result.selected_model and new == pytest.approx(old)
     assert len(json.loads(row["test"])) == 6 and len(json.loads(row["date_ranges"])) == 3
 
 
