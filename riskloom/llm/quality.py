@@ -8,16 +8,37 @@ from __future__ import annotations
 
 import math
 import re
+from operator import eq
 
 from pyspark.sql import DataFrame
 
-from riskloom.llm.common import SPACE
 from riskloom.llm.pu import PuSettings, kept_rows, score, train
 
 SETTINGS = PuSettings(folds=5, held=0, z=1.0)  # few features, so weak ones may come along
-_SPACE = re.compile(SPACE)
 _SIGN = re.compile(r"[^\w\s.,;:'\"?()\-]")
 _MARKS = re.compile(r"([^\w\s])\1")
+#: Flags of a word, each in a field of its own, so that words are counted by one sum.
+_FLAGS = ("signs", "marks", "bars", "capitals", "digits", "long")
+_FIELD = 32
+_MASK = (1 << _FIELD) - 1
+MEMO_WORDS = 200_000
+
+
+class _WordFlags(dict):
+    """Memo of packed word flags; emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        found = (bool(_SIGN.search(word)), bool(_MARKS.search(word)), word == "|", len(word) > 1 and word.isupper(),
+                 any(map(str.isdigit, word)), len(word) > 30)
+        packed = sum(1 << _FIELD * i for i, flag in enumerate(found) if flag)
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        if len(word) < 40:
+            self[word] = packed
+        return packed
+
+
+_MEMO = _WordFlags()
 
 
 def _level(share: float) -> int:
@@ -25,32 +46,33 @@ def _level(share: float) -> int:
     return 0 if share <= 0 else max(1, 9 + math.floor(math.log2(min(share, 1.0))))
 
 
-def _measures(words: list[str]) -> dict[str, float]:
-    n = max(1, len(words))
-    return {
-        "signs": sum(1 for w in words if _SIGN.search(w)) / n,
-        "marks": sum(1 for w in words if _MARKS.search(w)) / n,
-        "bars": sum(1 for w in words if w == "|") / n,
-        "capitals": sum(1 for w in words if len(w) > 1 and w.isupper()) / n,
-        "digits": sum(1 for w in words if any(map(str.isdigit, w))) / n,
-        "echo": sum(1 for a, b in zip(words, words[1:]) if a == b) / n,
-        "same": 1 - len(set(words)) / n,
-        "long": sum(1 for w in words if len(w) > 30) / n,
-    }
+def _levels(packed: int, echoes: int, distinct: int, n: int) -> list[int]:
+    counts = [packed >> _FIELD * i & _MASK for i in range(len(_FLAGS))]
+    return [_level(c / n) for c in (*counts, echoes, n - distinct)]
 
 
 def style_features(text: str) -> set[str]:
-    """Coded measures of the whole text and of its worst line of five words or more."""
-    words = [w for w in _SPACE.split(text) if w]
-    found = {f"all {k} {_level(v)}" for k, v in _measures(words).items()}
-    found.add(f"words {min(12, len(words).bit_length())}")
-    worst: dict[str, float] = {}
+    """Coded measures of the whole text and of its worst line of five words or more.
+
+    Measures are shares of the words: with signs, with doubled signs, bars, capitals, with digits, very
+    long, equal to the word before in the line, and repeated.
+    """
+    names = (*_FLAGS, "echo", "same")
+    packed = echoes = n = 0
+    distinct: set[str] = set()
+    worst = [-1] * len(names)
     for line in text.split("\n"):
-        part = [w for w in _SPACE.split(line) if w]
-        if len(part) >= 5:
-            for k, v in _measures(part).items():
-                worst[k] = max(v, worst.get(k, 0.0))
-    found.update(f"line {k} {_level(v)}" for k, v in worst.items())
+        words = line.split()
+        if not words:
+            continue
+        own, again, different = sum(map(_MEMO.__getitem__, words)), sum(map(eq, words, words[1:])), set(words)
+        packed, echoes, n = packed + own, echoes + again, n + len(words)
+        distinct |= different
+        if len(words) >= 5:
+            worst = list(map(max, worst, _levels(own, again, len(different), len(words))))
+    found = {f"all {k} {v}" for k, v in zip(names, _levels(packed, echoes, len(distinct), max(1, n)))}
+    found.add(f"words {min(12, n.bit_length())}")
+    found.update(f"line {k} {v}" for k, v in zip(names, worst) if v >= 0)
     return found
 
 
