@@ -415,6 +415,32 @@ _LOPO_REASON = f"""CASE WHEN partition_ IS NOT NULL THEN NULL
     WHEN NOT src AND s >= {T} AND s + 90 > obs THEN 'incomplete_test_label' WHEN NOT src AND s >= {T} THEN 'after_test_end'
     WHEN NOT src THEN 'held_out_history' ELSE 'source_at_or_after_test_start' END"""
 
+
+
+def _logistic(columns: dict[str, str]) -> str:
+    """Score of the given linear model over columns by feature, summed in the order of the features."""
+    terms = " + ".join(f"(CAST({columns[f]} AS DOUBLE) - '{m}'::DOUBLE) * '{c / s}'::DOUBLE"
+                       for f, (c, m, s) in LINEAR_MODEL.items())
+    return f"(1 / (1 + exp(-({terms}))))"
+
+
+def _tree_term(feature: str) -> str:
+    """What the given forest of two trees adds along its paths, by split feature."""
+    return {
+        "commit_count": "(CASE WHEN commit_count <= 5.5 THEN 0.1 - 0.25 ELSE 0.5 - 0.25 END)::DOUBLE / 2",
+        "previous_bug_fixes": """(CASE WHEN commit_count <= 5.5 THEN 0 WHEN previous_bug_fixes <= 0.5 THEN 0.3 - 0.5
+                                       ELSE 0.7 - 0.5 END)::DOUBLE / 2""",
+        "code_churn": "(CASE WHEN code_churn <= 250.5 THEN 0.15 - 0.2 ELSE 0.35 - 0.2 END)::DOUBLE / 2",
+        "days_since_last_change": """(CASE WHEN code_churn <= 250.5 THEN 0 WHEN days_since_last_change <= 60.5
+                                           THEN 0.6 - 0.35 ELSE 0.2 - 0.35 END)::DOUBLE / 2""",
+    }.get(feature, "0::DOUBLE")
+
+
+def _place(salt: int) -> str:
+    return f"""row_number() OVER (PARTITION BY rpt ORDER BY md5(repository || '|' || file_path || '|'
+        || strftime(snapshot_date, '%Y-%m-%d') || '|' || rpt || '|42|{salt}'), repository, file_path, snapshot_date)"""
+
+
 ORACLES: dict[str, str] = {
     "snapshots_monthly": sql("feats", f"SELECT repository, file_path, {day('snapshot_date')}, {FEATURE_LIST}, {TARGET} FROM feats"),
     "change_history": sql("history", "SELECT * FROM history"),
@@ -828,4 +854,38 @@ ORACLES: dict[str, str] = {
                {r('f1', 'recommended_f1')}, {r('spec', 'recommended_specificity')}, {r('fpr', 'recommended_false_positive_rate')},
                {big('flagged', 'recommended_files_flagged')}, {r('pct', 'recommended_percentage_files_flagged')}
         FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY f1 DESC, t DESC) AS i FROM sweep WHERE re IS NOT NULL) WHERE i = 1"""),
+    "prior_baseline": sql("parted", f"""
+        SELECT repository AS project, {r('max(prior)', 'prior')}, count(*) AS row_count,
+               {r(f'avg((prior - {TARGET}) * (prior - {TARGET}))', 'squared_error')}
+        FROM parted, (SELECT avg({TARGET}) AS prior FROM parted WHERE part = 'train') WHERE part = 'test' GROUP BY 1"""),
+    "tree_explanations": sql("parted", f"""
+        SELECT repository AS project, x.feature AS feature, {r('avg(x.c)', 'mean_contribution')},
+               {r('avg(abs(x.c))', 'mean_size')}, count(*) FILTER (x.c > 0) AS raised, count(*) AS samples
+        FROM (SELECT repository, unnest([{', '.join(f"{{'feature': '{f}', 'c': {_tree_term(f)}}}" for f in MODEL_FEATURES)}]) AS x
+              FROM parted WHERE part = 'test') GROUP BY 1, 2"""),
+    "median_perturbation": sql("parted", f"""
+        SELECT repository AS project, x.feature AS feature, {r('avg(x.c)', 'mean_contribution')},
+               {r('avg(abs(x.c))', 'mean_size')}, count(*) AS samples
+        FROM (SELECT repository, unnest([{', '.join(
+            f"{{'feature': '{f}', 'c': {_logistic({g: 'p.' + g for g in MODEL_FEATURES})} - {_logistic({g: ('m.' if g == f else 'p.') + g for g in MODEL_FEATURES})}}}"
+            for f in MODEL_FEATURES)}]) AS x
+              FROM parted p, (SELECT {', '.join(f'median(CAST({f} AS DOUBLE)) AS {f}' for f in MODEL_FEATURES)}
+                              FROM parted WHERE part = 'test') m
+              WHERE part = 'test') GROUP BY 1, 2"""),
+    "permutation_importance": sql("parted", f"""
+        SELECT 'logistic_regression' AS model, feature, {r('abs(avg(gap))', 'importance')}, {r('avg(gap)', 'effect')},
+               'not_applicable' AS direction, 'permutation_average_precision' AS method, {r('stddev_pop(gap)', 'standard_deviation')}
+        FROM (SELECT a.feature, b.ap - a.ap AS gap FROM areas_ a, areas_ b WHERE b.rpt = -1 AND a.rpt >= 0) GROUP BY 2""".replace(
+        "FROM (SELECT a.feature", f"""FROM (WITH v AS (SELECT * FROM parted WHERE part = 'validation'),
+            o AS (SELECT v.*, rpt, {_place(0)} AS place FROM v, range(5) t(rpt)),
+            q AS (SELECT v.*, rpt, {_place(1)} AS place FROM v, range(5) t(rpt)),
+            s AS ({' UNION ALL '.join(
+                f"SELECT o.rpt, '{f}' AS feature, o.{TARGET} AS y, {_logistic({g: ('q.' if g == f else 'o.') + g for g in MODEL_FEATURES})} AS score FROM o JOIN q USING (rpt, place)"
+                for f in MODEL_FEATURES)}
+                UNION ALL SELECT -1, '', {TARGET}, {_logistic({g: g for g in MODEL_FEATURES})} FROM v),
+            g AS (SELECT rpt, feature, score, sum(y) AS pos, count(*) AS n FROM s GROUP BY 1, 2, 3),
+            w AS (SELECT *, sum(pos) OVER k AS tp, sum(n) OVER k AS seen FROM g
+                  WINDOW k AS (PARTITION BY rpt, feature ORDER BY score DESC)),
+            areas_ AS (SELECT rpt, feature, sum(pos * (tp / CAST(seen AS DOUBLE))) / sum(pos) AS ap FROM w GROUP BY 1, 2)
+            SELECT a.feature""")),
 }

@@ -693,10 +693,10 @@ def recommended_thresholds(spark, d):
     return calibration.recommended_thresholds(calibration.threshold_sweep(ranking_of(spark, d)))
 
 
-# Fitted models: no SQL counterpart, compared by rows only.
+# Fitted models. What a fit gives has no SQL counterpart; what follows from a given model has.
 
 def _baselines(spark, d):
-    """Baselines over all training rows; a short forest keeps the check quick."""
+    """Baselines over all training rows; the forest has five trees of depth five at most."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
         train = parted_of(spark, d).where("partition = 'train'")
@@ -719,27 +719,61 @@ def native_importance(spark, d):
     return models.native_importance(spark, _baselines(spark, d))
 
 
+@query
+def prior_baseline(spark, d):
+    """The prior that the first baseline fits on the training rows, and its squared error on the test rows."""
+    stats = models.scaler_row(parted_of(spark, d).where("partition = 'train'")).first()
+    fitted = models.FittedModel("dummy", prior=stats["positives"] / stats["n"], fitted_rows=stats["n"])
+    test = fitted.score(parted_of(spark, d).where("partition = 'test'"))
+    return test.groupBy(F.col("repository").alias("project")).agg(
+        F.first("risk_score").alias("prior"), F.count(F.lit(1)).alias("row_count"),
+        F.avg(F.pow(F.col("risk_score") - F.col(TARGET), 2)).alias("squared_error"))
+
+
+# A forest of two trees, as node rows: tree, node, left, right, split feature, threshold, positive share.
+FOREST = [
+    (0, 0, 1, 2, "commit_count", 5.5, 0.25), (0, 1, -1, -1, None, None, 0.1),
+    (0, 2, 3, 4, "previous_bug_fixes", 0.5, 0.5), (0, 3, -1, -1, None, None, 0.3), (0, 4, -1, -1, None, None, 0.7),
+    (1, 0, 1, 2, "code_churn", 250.5, 0.2), (1, 1, -1, -1, None, None, 0.15),
+    (1, 2, 3, 4, "days_since_last_change", 60.5, 0.35), (1, 3, -1, -1, None, None, 0.6), (1, 4, -1, -1, None, None, 0.2),
+]
+
+
+def _literal_linear():
+    return models.FittedModel("logistic_regression", linear=dict(tables.LINEAR_MODEL))
+
+
+def _test_rows(spark, d):
+    return parted_of(spark, d).where("partition = 'test'").select(*SNAPSHOT_KEYS, *MODEL_FEATURES)
+
+
 @query
 def tree_explanations(spark, d):
-    """Per feature: mean absolute path contribution; the sums rebuild every probability."""
-    forest = _baselines(spark, d)["random_forest"]
-    test = parted_of(spark, d).where("partition = 'test'").select(*SNAPSHOT_KEYS, *MODEL_FEATURES)
-    rows = forest.explain(forest.score(test))
-    return rows.select(F.explode("drivers").alias("x")).groupBy(F.col("x.feature").alias("feature")).agg(
-        F.avg(F.abs("x.contribution")).alias("mean_absolute_contribution"), F.count(F.lit(1)).alias("samples"))
+    """Path contributions of a given forest, per repository and feature."""
+    nodes = spark.createDataFrame(
+        [(t, n, a, b, -1 if f is None else MODEL_FEATURES.index(f), c, p) for t, n, a, b, f, c, p in FOREST],
+        "tree int, node int, left int, right int, feature int, threshold double, p double")
+    rows = explain.forest_drivers(_test_rows(spark, d), nodes, MODEL_FEATURES)
+    return rows.select("repository", F.explode("drivers").alias("x")).groupBy(
+        F.col("repository").alias("project"), F.col("x.feature").alias("feature")).agg(
+        F.avg("x.contribution").alias("mean_contribution"), F.avg(F.abs("x.contribution")).alias("mean_size"),
+        F.count_if(F.col("x.contribution") > 0).alias("raised"), F.count(F.lit(1)).alias("samples"))
 
 
 @query
 def median_perturbation(spark, d):
-    fitted = _baselines(spark, d)["logistic_regression"]
-    test = fitted.score(parted_of(spark, d).where("partition = 'test'").select(*SNAPSHOT_KEYS, *MODEL_FEATURES))
-    rows = explain.median_drivers(test, fitted.score, models.feature_medians(test), MODEL_FEATURES)
-    return rows.select(F.explode("drivers").alias("x")).groupBy(F.col("x.feature").alias("feature")).agg(
-        F.avg("x.contribution").alias("mean_contribution"), F.count(F.lit(1)).alias("samples"))
+    """Moves of a given linear score to the medians, per repository and feature."""
+    model = _literal_linear()
+    test = model.score(_test_rows(spark, d))
+    rows = explain.median_drivers(test, model.score, models.feature_medians(test), MODEL_FEATURES)
+    return rows.select("repository", F.explode("drivers").alias("x")).groupBy(
+        F.col("repository").alias("project"), F.col("x.feature").alias("feature")).agg(
+        F.avg("x.contribution").alias("mean_contribution"), F.avg(F.abs("x.contribution")).alias("mean_size"),
+        F.count(F.lit(1)).alias("samples"))
 
 
 @query
 def permutation_importance(spark, d):
-    fitted = _baselines(spark, d)["logistic_regression"]
+    """Drop of average precision of a given linear score, five shuffles of each feature."""
     rows = parted_of(spark, d).where("partition = 'validation'").select(*SNAPSHOT_KEYS, *MODEL_FEATURES, TARGET)
-    return models.shuffled_importance(fitted, rows, repeats=2)
+    return models.shuffled_importance(_literal_linear(), rows).drop("importance_rank")
