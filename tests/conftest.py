@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from riskloom.schemas import FEATURE_COLUMNS, HISTORY_COLUMNS  # noqa: E402
+from riskloom.staging import drop_staged  # noqa: E402
 
 HISTORY = ("repository string, commit_hash string, author_name string, author_email string, commit_date string, "
            "commit_message string, file_path string, lines_added bigint, lines_deleted bigint")
@@ -27,6 +28,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_staged(session)
     session.stop()
 
 
