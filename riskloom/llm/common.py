@@ -14,9 +14,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space of the contracts: space and the control characters from tab to carriage return.
-SPACE = r"[\x20\x09-\x0D]+"
-
 
 def keyed_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The two columns that an operator reads, as ``key`` and ``text``; a null text is empty."""

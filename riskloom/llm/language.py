@@ -228,7 +228,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     trained, tuned = both[0] or 0, both[1] or 0
 
     def back(counts: DataFrame, name: str) -> DataFrame:
-        return counts.repartition(buckets, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("slice", "trained", "tuned"))).alias(name))
+        return counts.repartition(buckets, "block").groupBy("block").agg(
+            F.array_sort(F.collect_list(F.struct("slice", "trained", "tuned"))).alias(name))
 
     joined = blocks.join(back(ones, "ones"), "block").join(back(twos, "twos"), "block")
 
@@ -295,7 +296,8 @@ def _bucketed(blocks: DataFrame, docs: DataFrame, text: str) -> tuple[DataFrame,
     """The written blocks in buckets by their number: joins bring the small counts to them, not them to the counts."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    buckets = min(BUCKETS_MOST, max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES + 1))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    buckets = min(BUCKETS_MOST, max(int(parts) if parts.isdigit() else 1, size // BUCKET_BYTES + 1))
     name = f"blocks_{uuid.uuid4().hex}"
     blocks.write.bucketBy(buckets, "block").options(
         compression="zstd", path=f"{staging_root(spark)}/{name}").saveAsTable(name)

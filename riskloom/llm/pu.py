@@ -123,8 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, extract: Callable[[str
                           .select("key", F.lit(True).alias("p")))
     sample = stage(rows.join(trusted, "key", "left").select(
         "key", "text", F.coalesce("p", F.lit(False)).alias("p"),
-        _share(F.col("key"), s.seed + 1, s.unlabelled / total).alias("u")).where("p or u").groupBy("text").agg(  # copies are one text
-        F.min("key").alias("key"), F.max("p").alias("p"), F.max("u").alias("u")), "sample")
+        _share(F.col("key"), s.seed + 1, s.unlabelled / total).alias("u")).where("p or u")
+        .groupBy("text")  # copies are one text
+        .agg(F.min("key").alias("key"), F.max("p").alias("p"), F.max("u").alias("u")), "sample")
     sizes = sample.agg(F.sum(F.col("p").cast("long")), F.sum(F.col("u").cast("long"))).first()
     n_p, n_u = sizes[0] or 0, sizes[1] or 0
 
@@ -152,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, extract: Callable[[str
     best = (sample.mapInArrow(count, "name string, np long, nu long").groupBy("name")
             .agg(F.sum("np").alias("np"), F.sum("nu").alias("nu"))
             .withColumn("z", F.when(spread > 0, F.abs(a - b) / spread).otherwise(0.0))
-            .where((F.col("z") >= s.z) & (a >= s.lift * b) & (F.greatest("np", "nu") >= s.least)).orderBy(F.col("z").desc(), "name").limit(s.features).select("name").collect())
+            .where((F.col("z") >= s.z) & (a >= s.lift * b) & (F.greatest("np", "nu") >= s.least))
+            .orderBy(F.col("z").desc(), "name").limit(s.features).select("name").collect())
     names = {r["name"]: i for i, r in enumerate(best)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
