@@ -11,7 +11,7 @@ from riskloom.functions.text import blank, sample_id
 from riskloom.operators.explain import strongest, total_magnitude
 from riskloom.operators.guidance import with_guidance
 from riskloom.operators.intelligence import (
-    hotspots, monthly_trend, normalize, project_summary, risk_concentration, signal_profile,
+    monthly_trend, normalize, project_summary, risk_concentration, signal_profile, top_hotspot,
     trend_direction,
 )
 from riskloom.operators.scan import lookup, ranked
@@ -144,12 +144,12 @@ def executive_summary(ranking: DataFrame, samples: DataFrame, tiered: DataFrame,
     """One row per project; every joined table has one row per project as well."""
     summary = project_summary(ranking, cutoff)
     shares = risk_concentration(ranking)
-    hot = hotspots(ranking, samples, cutoff, registry).where("hotspot_rank = 1").select(
+    hot = top_hotspot(ranking, samples, cutoff, registry).select(
         "project", F.col("identifier").alias("top_hotspot"),
         F.col("high_risk_count").alias("top_hotspot_high_risk_count"),
         F.col("high_risk_rate").alias("top_hotspot_high_risk_rate"),
         F.col("mean_risk").alias("top_hotspot_mean_risk"),
-        F.try_element_at("dominant_risk_signals", F.lit(1))["feature"].alias("top_hotspot_signal"))
+        F.col("signal").alias("top_hotspot_signal"))
     signal = signal_profile(samples, registry).where(
         "direction = 'increases_risk' and strength_position = 1").select(
         "project", F.col("feature").alias("highest_risk_signal"),

@@ -97,7 +97,7 @@ def limit_explanations(explanations: DataFrame, top_k: int | None) -> DataFrame:
 
 def canonical_order() -> list[Column]:
     return [F.desc("risk_score"), F.asc_nulls_last("project"), F.asc_nulls_last("file_path"),
-            F.asc_nulls_last("snapshot_date"), F.asc_nulls_last("model")]
+            F.asc_nulls_last("snapshot_date"), F.asc_nulls_last("model"), F.asc_nulls_last("evaluation_mode")]
 
 
 def sort_explanations(explanations: DataFrame) -> DataFrame:

@@ -194,6 +194,25 @@ def top_signals(samples: DataFrame, keys: Sequence[str], top: int = 3, registry=
         s["aggregate_contribution"].alias("aggregate_contribution"))).alias("signals"))
 
 
+def _signals_of(samples: DataFrame, files: DataFrame, registry) -> DataFrame:
+    """Dominant signals of the given files (project, identifier); contributions of others are not exploded."""
+    wanted = files.select("project", F.col("identifier").alias("file_path"))
+    mine = normalize(samples).join(wanted, FILE, "left_semi")
+    return top_signals(mine, FILE, 3, registry).withColumnRenamed("file_path", "identifier")
+
+
+def top_hotspot(ranking: DataFrame, samples: DataFrame, cutoff: float = DEFAULT_CUTOFF, registry=REGISTRY) -> DataFrame:
+    """The first hotspot of every project with its first signal, without ranking the others."""
+    hot = entity_statistics(ranking, cutoff).where("high_risk_count >= 2")
+    place = F.struct(-F.col("high_risk_count"), -F.col("high_risk_rate"), -F.round("mean_risk", 12), -F.col("max_risk"),
+                     F.col("identifier"))
+    first = hot.groupBy("project").agg(F.min_by(F.struct(
+        "identifier", "high_risk_count", "high_risk_rate", "mean_risk"), place).alias("h")).select("project", "h.*")
+    first = lookup(first)
+    return first.join(_signals_of(samples, first, registry), ["project", "identifier"], "left").withColumn(
+        "signal", F.try_element_at("signals", F.lit(1))["feature"]).drop("signals")
+
+
 def hotspots(ranking: DataFrame, samples: DataFrame, cutoff: float = DEFAULT_CUTOFF,
              registry=REGISTRY) -> DataFrame:
     """Files with at least two high-risk observations, with dominant signals and actions.
@@ -201,9 +220,8 @@ def hotspots(ranking: DataFrame, samples: DataFrame, cutoff: float = DEFAULT_CUT
     ``hotspot_rank`` orders the hotspots of a project: count, rate, mean, maximum, identifier.
     The mean is compared to twelve places, so the order does not depend on the order of a sum.
     """
-    hot = entity_statistics(ranking, cutoff).where("high_risk_count >= 2")
-    signals = top_signals(normalize(samples).where("file_path != ''"), FILE, 3, registry
-                          ).withColumnRenamed("file_path", "identifier")
+    hot = lookup(entity_statistics(ranking, cutoff).where("high_risk_count >= 2"))
+    signals = _signals_of(samples, hot, registry)
     rows = hot.join(signals, ["project", "identifier"], "left").withColumns({
         "dominant_risk_signals": F.coalesce("signals", F.array().cast(
             "array<struct<feature:string,category:string,occurrence_count:bigint,aggregate_contribution:double>>")),
