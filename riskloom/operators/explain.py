@@ -176,34 +176,62 @@ def tree_nodes(model, path: str) -> DataFrame:
         (F.element_at(stats, 2) / F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)).alias("p"))
 
 
-def forest_drivers(df: DataFrame, nodes: DataFrame, features: Sequence[str]) -> DataFrame:
+FOREST_NODES = 1_000_000
+
+
+def _tree_groups(nodes: DataFrame, most: int) -> list[list[int]]:
+    """Trees in groups of at most ``most`` nodes; a larger tree is a group of its own."""
+    groups: list[list[int]] = []
+    size = 0
+    for row in nodes.groupBy("tree").count().orderBy("tree").collect():  # one row per tree
+        if not groups or size + row["count"] > most:
+            groups.append([])
+            size = 0
+        groups[-1].append(row["tree"])
+        size += row["count"]
+    return groups
+
+
+def forest_drivers(df: DataFrame, nodes: DataFrame, features: Sequence[str],
+                   most_nodes: int = FOREST_NODES) -> DataFrame:
     """Path contributions of a forest, averaged over its trees.
 
     Every step from a node to its child adds the change in positive share to the split feature.
-    The fitted forest is already held by the driver, so its node table is broadcast by nature;
-    rows are walked in Arrow batches, all rows of a batch one tree level at a time.
+    Trees are taken in groups of at most ``most_nodes`` nodes, each sent to the tasks and walked in one
+    pass over Arrow batches, all rows of a batch one tree level at a time.
     """
+    from pyspark.sql import types as T
+
+    names = list(features)
+    groups = _tree_groups(nodes, most_nodes)
+    paths = df.withColumn("_paths", F.array(*[F.lit(0.0)] * len(names)))
+    schema = T.StructType([*df.schema.fields, T.StructField("_paths", T.ArrayType(T.DoubleType()), True)])
+    for group in groups:
+        paths = paths.mapInPandas(_path_walk(nodes.where(F.col("tree").isin(group)), names), schema)
+    count = max(sum(map(len, groups)), 1)
+    entries = [driver(n, F.col(n), F.col(n), F.col("_paths")[i] / count) for i, n in enumerate(names)]
+    return paths.withColumns({
+        "drivers": F.sort_array(F.array(*entries)),
+        "explanation_method": F.lit("tree_path_probability"),
+        "contribution_space": F.lit("probability_delta")}).drop("_paths")
+
+
+def _path_walk(nodes: DataFrame, names: list[str]):
+    """A batch function that adds the path sums of the trees in ``nodes`` to ``_paths``."""
     import numpy as np
     import pandas as pd
-    from pyspark.sql import types as T
 
     table = nodes.orderBy("tree", "node").toPandas()
-    trees = []
-    for _, t in table.groupby("tree", sort=True):
-        t = t.sort_values("node")
-        trees.append(tuple(t[c].to_numpy() for c in ("left", "right", "feature", "threshold", "p")))
-    shared = df.sparkSession.sparkContext.broadcast(trees)
-    names = list(features)
-    schema = T.StructType([*df.schema.fields,
-                           T.StructField("_paths", T.ArrayType(T.DoubleType()), True)])
+    trees = [tuple(t[c].to_numpy() for c in ("left", "right", "feature", "threshold", "p"))
+             for _, t in table.groupby("tree", sort=True)]
+    shared = nodes.sparkSession.sparkContext.broadcast(trees)
 
     def walk(batches):
-        forest = shared.value
         for batch in batches:
             x = batch[names].to_numpy(dtype=float)
             rows = np.arange(len(x))
-            out = np.zeros((len(x), len(names)))
-            for left, right, feature, threshold, p in forest:
+            out = np.stack(batch["_paths"].to_list()).astype(float) if len(x) else np.zeros((0, len(names)))
+            for left, right, feature, threshold, p in shared.value:
                 at = np.zeros(len(x), dtype=int)
                 live = rows[left[at] >= 0]
                 while live.size:
@@ -213,14 +241,9 @@ def forest_drivers(df: DataFrame, nodes: DataFrame, features: Sequence[str]) ->
                     np.add.at(out, (live, split), p[nxt] - p[here])
                     at[live] = nxt
                     live = live[left[nxt] >= 0]
-            out /= max(len(forest), 1)
             yield batch.assign(_paths=pd.Series(list(out), index=batch.index))
 
-    entries = [driver(n, F.col(n), F.col(n), F.col("_paths")[i]) for i, n in enumerate(names)]
-    return df.mapInPandas(walk, schema).withColumns({
-        "drivers": F.sort_array(F.array(*entries)),
-        "explanation_method": F.lit("tree_path_probability"),
-        "contribution_space": F.lit("probability_delta")}).drop("_paths")
+    return walk
 
 
 def median_drivers(df: DataFrame, score, medians: Mapping[str, float],

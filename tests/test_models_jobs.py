@@ -83,6 +83,16 @@ def test_tree_paths_rebuild_the_probability(parted, fitted, spark, tmp_path):
     assert gap.agg(F.max("g")).first()[0] < 1e-9
 
 
+def test_tree_groups_give_the_same_paths(parted, fitted, tmp_path):
+    nodes = explain.tree_nodes(fitted["random_forest"].forest, str(tmp_path / "forest"))
+    test = parted.where("partition = 'test'").select("file_path", *MODEL_FEATURES)
+    whole, parts = (explain.forest_drivers(test, nodes, MODEL_FEATURES, most).select(
+        F.explode("drivers").alias("x")).groupBy("x.feature").agg(F.sum(F.abs("x.contribution")).alias("s")).collect()
+        for most in (10 ** 6, 1))
+    assert len(explain._tree_groups(nodes, 1)) == 4
+    assert {r[0]: round(r[1], 9) for r in whole} == {r[0]: round(r[1], 9) for r in parts}
+
+
 def test_median_fallback(parted, fitted):
     model = fitted["logistic_regression"]
     test = model.score(parted.where("partition = 'test'").select("repository", "file_path", "snapshot_date", *MODEL_FEATURES))
