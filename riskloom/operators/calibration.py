@@ -109,7 +109,10 @@ def recommended_thresholds(sweep: DataFrame) -> DataFrame:
 
 def calibration_summary(ranking: DataFrame, cross_project: bool = False, bins: int = CALIBRATION_BINS,
                         thresholds: Sequence[float] | None = None) -> DataFrame:
-    """Counts, Brier score, expected calibration error and recommendation per project."""
+    """Counts, Brier score, expected calibration error and recommendation per project.
+
+    A within-project ranking without rows is one unnamed project of zero samples.
+    """
     valid = F.col("valid")
     error = F.pow(F.col("score") - F.col("label"), F.lit(2.0))
     counts = prepared(ranking, cross_project).groupBy("project").agg(
@@ -120,6 +123,12 @@ def calibration_summary(ranking: DataFrame, cross_project: bool = False, bins: i
         F.avg(F.when(valid, error)).alias("brier_score"),
         F.sort_array(F.collect_set(F.when(valid, F.col("method")))).alias("score_methods"),
         F.count_if(valid & F.col("method").isNull()).alias("unknown_score_method_samples"))
+    if not cross_project:
+        zero = {f.name: F.lit(None if f.name in ("project", "brier_score") else 0).cast(f.dataType)
+                for f in counts.schema if f.name != "score_methods"}
+        nothing = counts.agg(F.count(F.lit(1)).alias("_n")).where("_n = 0").select(
+            *[c.alias(n) for n, c in zero.items()], F.array().cast("array<string>").alias("score_methods"))
+        counts = counts.unionByName(nothing)
     table = calibration_bins(ranking, cross_project, bins)
     gap = F.col("sample_count") * F.abs(F.col("mean_predicted_risk") - F.col("observed_defect_rate"))
     ece = table.groupBy("project").agg(
@@ -137,7 +146,8 @@ def calibration_summary(ranking: DataFrame, cross_project: bool = False, bins: i
         (F.col("total_samples") - F.col("valid_samples")).alias("excluded_samples"),
         "invalid_score_samples", "invalid_label_samples", "positive_labels",
         (F.col("valid_samples") - F.col("positive_labels")).alias("negative_labels"),
-        "populated_bins", "brier_score", "ece", "recommended_threshold",
+        F.coalesce("populated_bins", F.lit(0).cast("long")).alias("populated_bins"), "brier_score", "ece",
+        "recommended_threshold",
         F.when(F.col("recommended_threshold").isNotNull(), "available")
         .when(F.col("valid_samples") == 0, "no_valid_samples")
         .otherwise("no_positive_labels").alias("recommendation_status"),

@@ -261,6 +261,14 @@ def test_recommendation(spark):
     assert (none["recommended_threshold"], none["recommendation_status"]) == (None, "no_positive_labels")
 
 
+def test_no_rows_at_all(spark):
+    none = labelled(spark, [(.5, 1)]).limit(0)
+    row = calibration.calibration_summary(none).first()
+    assert (row["project"], row["total_samples"], row["valid_samples"], row["populated_bins"]) == (None, 0, 0, 0)
+    assert (row["brier_score"], row["ece"], row["recommendation_status"]) == (None, None, "no_valid_samples")
+    assert calibration.calibration_summary(none, cross_project=True).count() == 0
+
+
 def test_unknown_projects(spark):
     df = labelled(spark, [(.5, 1)]).unionByName(labelled(spark, [(.4, 0)]).withColumn("project", F.lit(" ")))
     assert calibration.calibration_summary(df, cross_project=True).count() == 1
