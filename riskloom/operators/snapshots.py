@@ -146,19 +146,20 @@ def snapshot_summary(features: DataFrame) -> DataFrame:
 
 
 def repository_summary(features: DataFrame) -> DataFrame:
-    """Per repository: snapshots, distinct files, class counts, rate and date range."""
+    """Per repository: snapshots, distinct files, class counts, rate and date range, and its source if known."""
+    source = ["source"] if "source" in features.columns else []  # one per repository
     return (
-        features.groupBy(*FILE).agg(
+        features.groupBy(*FILE, *source).agg(
             F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("p"),
             F.min("snapshot_date").alias("lo"), F.max("snapshot_date").alias("hi"))
-        .groupBy("repository").agg(
+        .groupBy("repository", *source).agg(
             F.sum("n").alias("snapshots"), F.count(F.lit(1)).alias("distinct_files"),
             F.sum("p").alias("positives"), F.min("lo").alias("start_date"),
             F.max("hi").alias("end_date"))
         .select("repository", "snapshots", "distinct_files", "positives",
                 (F.col("snapshots") - F.col("positives")).alias("negatives"),
                 (F.col("positives") / F.col("snapshots")).alias("positive_rate"),
-                "start_date", "end_date")
+                "start_date", "end_date", *source)
     )
 
 

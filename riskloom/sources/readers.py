@@ -76,22 +76,25 @@ def source_collisions(tagged: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("sources")).where("sources > 1")
 
 
-def combine_feature_sets(frames: Sequence[DataFrame]) -> DataFrame:
-    """Union of snapshot tables; a repository may come from one table only, at least two exist."""
+def combine_feature_sets(frames: Sequence[DataFrame], names: Sequence[str] | None = None) -> DataFrame:
+    """Union of snapshot tables; a repository may come from one table only, at least two exist.
+
+    With ``names``, a column ``source`` says which table a row is from.
+    """
     if not frames:
         raise DataQualityError("At least one snapshot table is needed.")
-    tagged = [df.withColumn("source", F.lit(i)) for i, df in enumerate(frames)]
+    tagged = [df.withColumn("source", F.lit(names[i] if names else str(i))) for i, df in enumerate(frames)]
     combined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     clash = source_collisions(combined).first()
     if clash:
         raise DataQualityError(f"Repository {clash['repository']} occurs in several sources.")
     if combined.select("repository").distinct().limit(2).count() < 2:
         raise DataQualityError("At least two repositories are needed.")
-    return clean_features(combined.drop("source"), multi_repository=True)
+    return clean_features(combined if names else combined.drop("source"), multi_repository=True)
 
 
 def read_feature_sets(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    return combine_feature_sets([read_tabular(spark, p, FEATURE_SCHEMA) for p in paths])
+    return combine_feature_sets([read_tabular(spark, p, FEATURE_SCHEMA) for p in paths], paths)
 
 
 # The columns of stored report tables that hold numbers.

@@ -7,7 +7,7 @@ from conftest import HISTORY, feature_rows, features_frame, history_frame
 from riskloom.operators.partitions import PartitionError
 from riskloom.operators.provenance import build_provenance, frame_digest, verify_provenance
 from riskloom.operators.quality import DataQualityError, clean_features, clean_history, history_report, require_columns
-from riskloom.operators.snapshots import build_snapshots
+from riskloom.operators.snapshots import build_snapshots, repository_summary
 from riskloom.sources import readers, writers
 from test_snapshots import BASE
 
@@ -80,6 +80,9 @@ def test_commit_records(spark, tmp_path):
 def test_feature_sets(spark):
     one, two = (features_frame(spark, feature_rows(n)) for n in ("alpha", "beta"))
     assert readers.combine_feature_sets([one, two]).count() == 204
+    named = repository_summary(readers.combine_feature_sets([one, two], ["a.parquet", "b.parquet"]))
+    assert {(r["repository"], r["source"]) for r in named.collect()} == {("alpha", "a.parquet"), ("beta", "b.parquet")}
+    assert "source" not in repository_summary(one).columns
     with pytest.raises(DataQualityError, match="several sources"):
         readers.combine_feature_sets([one, two, one])
     with pytest.raises(DataQualityError, match="two repositories"):
