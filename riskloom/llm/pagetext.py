@@ -46,6 +46,8 @@ HINTS = frozenset((
 BLOCK = frozenset((
     "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "caption blockquote pre figure figcaption address hr center details summary").split()) | BESIDE
+#: Blocks whose end tag may be left out.
+OPEN_ENDED = frozenset("p li dt dd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 _TOKEN = re.compile(
@@ -77,7 +79,7 @@ def _beside(tag: str, marks: str, inside: bool) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order with their place; blocks without text are left out."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open block elements: tag, beside the article, article
+    stack: list[tuple[str, bool, int]] = []  # open block and marked inline elements: tag, beside the article, article
     words: list[str] = []
     links = breaks = articles = 0
     anchor = False
@@ -112,6 +114,14 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[i][0] == tag:
                         del stack[i:]
                         break
+            else:  # an inline element ends at its own tag, over unclosed paragraphs and items but no other block
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        close()
+                        del stack[i:]
+                        break
+                    if stack[i][0] in BLOCK and stack[i][0] not in OPEN_ENDED:
+                        break
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
@@ -128,16 +138,21 @@ def blocks_of(page: str) -> list[Block]:
             breaks, anchor = 0, False
             if tag in VOID:
                 continue
-            if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                stack.pop()
+            last = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
+            if last >= 0 and (stack[last][0] == tag == "li" or stack[last][0] == "p" and tag not in ("button", "select")):
+                del stack[last:]  # with the inline elements left open in it
             beside, article = stack[-1][1:] if stack else (False, 0)
             if tag in ("article", "main") and not article:
                 articles += 1
                 article = articles
             stack.append((tag, beside or _beside(tag, token[3], article > 0), article))
+        elif tag in VOID:
+            continue
         elif _beside("", token[3], False):  # a marked inline element is a part of its own
             close()
             stack.append((tag, True, stack[-1][2] if stack else 0))
+        elif any(entry[0] == tag for entry in stack):  # one of the same name in a marked one: counted, so that each end tag finds its own
+            stack.append((tag, *stack[-1][1:]))
     close()
     return found
 

@@ -39,6 +39,18 @@ def test_broken_pages():
     assert text_of('<article><p title="a > b">c</p></article>') == "c"
 
 
+def test_marked_inline_elements_end_at_their_own_tag():
+    assert text_of('<article><img class="banner" src=x><p>A</p><p>B</p></article>') == "A\n\nB"
+    assert text_of('<article><p>One <img class="ad" src=x> two</p><p>B</p></article>') == "One two\n\nB"
+    assert text_of('<head><link id="search-css"><body><article><p>A <link class=ad> b</p></article>') == "A b"
+    assert text_of('<article><p>One <span class="ad">buy</span> two</p><p>B</p></article>') == "One\n\ntwo\n\nB"
+    assert text_of('<article><span class="ad">buy <span>now</span> or never</span><p>A</p></article>') == "A"
+    assert text_of('<article><span class="ad"><div>buy</span> now</div></span><p>A</p></article>') == "A"
+    assert text_of('<article><span class="ad"><p>buy</span><p>A</p></article>') == "A"
+    assert text_of('<article><p>One <i class="ad">buy<p>A</p><div>B</div></article>') == "One\n\nA\n\nB"
+    assert text_of('<article><video class="promo">no video</video><p>A</p><label class=social>x</label>B</article>') == "A\n\nB"
+
+
 def test_pages_give_their_articles(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.page_id: r for r in queries.op5_html(spark, sf).collect()}
