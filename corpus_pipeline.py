@@ -1,9 +1,9 @@
 """From raw documents to token ids: five stages over whole tables.
 
 Each stage is a function of (spark, docs, sf_dir), where ``docs`` is what the stage before kept. All
-but the last return the columns of ``documents``. ``doc_id`` names a document: rows that share one are
-decided together, and a row without one is only judged by the first stage. Null texts count as empty
-everywhere. Columns beside ``doc_id`` and ``text`` travel along and are never read.
+but the last return the columns of ``documents``. Every stage decides by row: rows that share a ``doc_id``
+do not decide for each other, and of rows that repeat id and text one stays. A row without an id is judged
+for quality and contamination; it is never dropped as a copy. Null texts count as empty everywhere. Columns beside ``doc_id`` and ``text`` travel along and are never read.
 """
 
 from __future__ import annotations
@@ -16,9 +16,26 @@ from riskloom.llm import fingerprints, owners, phrases, pieces, quality
 from riskloom.staging import stage
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``dropped``. Few ids are dropped, so the optimizer may broadcast them."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number per row, and the name of that column. Written once, so a retry sees the same numbers."""
+    row = "_row"
+    while row.lower() in (c.lower() for c in docs.columns):
+        row += "_"
+    return stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", compression="zstd"), row
+
+
+def _without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the numbers of ``dropped``. Few rows are dropped, so the optimizer may broadcast them."""
+    return docs.join(dropped.select(row), row, "left_anti").drop(row)
+
+
+def _copies(docs: DataFrame, row: str, found: DataFrame, group: str) -> DataFrame:
+    """Numbers of the rows with an id that are not the first of their group, by id, then by number; rows without an id come last."""
+    named = stage(found.select(F.col(row), F.col(group).alias("_group")).join(
+        docs.select(row, F.col("doc_id").cast("long").alias("_id")), row).where("_id IS NOT NULL"), "named")
+    first = named.groupBy("_group").agg(F.min(F.struct("_id", row)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    first = stage(first.where("_n > 1").select("_group", F.col(f"_first.{row}").alias("_kept")), "first")
+    return stage(named.join(first, "_group").where(F.col(row) != F.col("_kept")).select(row), "copies")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,21 +44,25 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def exact_owners(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal up to white space, the one with the smallest id."""
-    found = stage(owners.exact_owners(docs), "exact")
-    return _without(docs, found.where(~F.col("kept")))
+    """Of texts that are equal up to white space, the row with the smallest id."""
+    docs, row = _numbered(docs)
+    found = stage(owners.exact_owners(docs, row).where("group_size > 1").select(row, "keep_id"), "exact")
+    return _without(docs, row, _copies(docs, row, found, "keep_id"))
 
 
 def near_representatives(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash, the one with the smallest id."""
-    found = stage(fingerprints.near_components(fingerprints.fingerprints(docs)), "near")
-    return _without(docs, found.where(F.col("doc_id") != F.col("component_id")))
+    """Of documents linked by SimHash, the row with the smallest id."""
+    docs, row = _numbered(docs)
+    found = stage(fingerprints.near_components(fingerprints.fingerprints(docs, row), row), "near")
+    return _without(docs, row, _copies(docs, row, found, "component_id"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than one in twenty lies in a benchmark window."""
-    found = stage(phrases.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "phrases")
-    return _without(docs, found.where("contaminated"))
+    docs, row = _numbered(docs)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = stage(phrases.contamination(docs, benchmark, key=row).where("contaminated").select(row), "phrases")
+    return _without(docs, row, found)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

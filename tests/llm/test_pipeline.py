@@ -66,6 +66,21 @@ def test_odd_rows(spark, odd_docs, no_docs, name, step):
     assert step(spark, no_docs, SF).count() == 0
 
 
+def test_rows_decide_for_themselves(spark):
+    """Rows that share an id neither drop nor keep each other; a repeated row stays once."""
+    item = next(r.text for r in queries.table(spark, SF, "benchmark").collect() if len((r.text or "").split()) > 20)
+    fish = "Seven silver fish swam below the old stone bridge while the miller counted sacks of oats in the morning"
+    ship = "A tall ship from the north brought amber furs and salted herring to the quiet harbour before winter came"
+    rows = [(1, fish), (7, fish), (7, ship), (7, ship), (7, item), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    steps = dict(corpus_pipeline.STAGES)
+    for name in ("exact", "near"):
+        got = [tuple(r) for r in steps[name](spark, docs, SF).collect()]
+        assert sorted(got, key=str) == sorted([(1, fish), (7, ship), (7, item), (None, item)], key=str)
+    got = [tuple(r) for r in steps["benchmark"](spark, docs, SF).collect()]
+    assert sorted(got) == sorted([(1, fish), (7, fish), (7, ship), (7, ship)])
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
     assert corpus_pipeline.ORACLE_SQL is None
