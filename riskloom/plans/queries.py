@@ -696,11 +696,11 @@ def recommended_thresholds(spark, d):
 # Fitted models. What a fit gives has no SQL counterpart; what follows from a given model has.
 
 def _baselines(spark, d):
-    """Baselines over all training rows; the forest has five trees of depth five at most."""
+    """Baselines over all training rows, with the settings of the jobs."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
         train = parted_of(spark, d).where("partition = 'train'")
-        _FITTED[key] = models.fit_baselines(train, trees=5, max_depth=5)
+        _FITTED[key] = models.fit_baselines(train)
     return _FITTED[key]
 
 

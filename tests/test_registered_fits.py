@@ -1,0 +1,23 @@
+"""The registered fits use the settings of the operator."""
+
+import inspect
+from types import SimpleNamespace
+
+from riskloom.operators import models
+from riskloom.plans import queries
+from riskloom.schemas import FOREST_TREES
+
+
+def test_registered_forest_is_the_whole_one(monkeypatch):
+    seen, form = {}, inspect.signature(models.fit_baselines)
+
+    def fit(*args, **named):
+        bound = form.bind(*args, **named)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+
+    monkeypatch.setattr(models, "fit_baselines", fit)
+    monkeypatch.setattr(queries, "parted_of", lambda spark, d: SimpleNamespace(where=lambda condition: condition))
+    monkeypatch.setattr(queries, "_FITTED", {})
+    queries._baselines(SimpleNamespace(sparkContext=SimpleNamespace(applicationId="a")), "d")
+    assert (seen["train"], seen["trees"], seen["max_depth"]) == ("partition = 'train'", FOREST_TREES, 30)
