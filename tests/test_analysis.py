@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import DRIVERS, OBSERVATIONS, samples_frame
+from support import DRIVERS, OBSERVATIONS, samples_frame
 from riskloom.functions.registry import NEUTRAL_REASON, NO_RISK_REASON, REGISTRY
 from riskloom.operators import brief, calibration, diagnostics, explain, guidance, intelligence, ranking
 from riskloom.staging import stage

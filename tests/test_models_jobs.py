@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ends_frame, feature_rows, features_frame
+from support import ends_frame, feature_rows, features_frame
 from riskloom.operators import explain, models, partitions, stability
 from riskloom.operators.provenance import frame_digest
 from riskloom.plans import jobs

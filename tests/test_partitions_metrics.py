@@ -3,7 +3,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ends_frame, feature_rows, features_frame
+from support import ends_frame, feature_rows, features_frame
 from riskloom.operators import metrics, partitions
 from riskloom.operators.partitions import PartitionError
 from riskloom.operators.provenance import frame_digest

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import HISTORY, feature_rows, features_frame, history_frame
+from support import HISTORY, feature_rows, features_frame, history_frame
 from riskloom.operators.partitions import PartitionError
 from riskloom.operators.provenance import build_provenance, frame_digest, verify_provenance
 from riskloom.operators.quality import DataQualityError, clean_features, clean_history, history_report, require_columns

@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import history_frame
+from support import history_frame
 from riskloom.operators.snapshots import build_snapshots, file_month_grid, prepare_history, quarter_ends
 from riskloom.schemas import FEATURE_COLUMNS, TARGET
 
