@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from riskloom.operators import brief, calibration, diagnostics, explain, guidance, intelligence
 from riskloom.operators import partitions, ranking, stability
 from riskloom.operators.models import STRATEGIES, TrainingResult, train_baselines
+from riskloom.operators.newton import fit_logistic
 from riskloom.operators.provenance import build_provenance, frame_digest, provenance_ends, verify_provenance
 from riskloom.operators.quality import clean_history, feature_report, partition_report, require
 from riskloom.operators.snapshots import build_snapshots, repository_summary, snapshot_summary
 from riskloom.schemas import (
-    CROSS_MODE, DEFAULT_CUTOFF, FOREST_TREES, MODEL_FEATURES, PROTOCOL, SEED, TARGET, TOP_RISK, WITHIN_MODE,
+    CROSS_MODE, DEFAULT_CUTOFF, FIT_ROWS, FOREST_TREES, MODEL_FEATURES, PROTOCOL, SEED, TARGET, TOP_RISK, WITHIN_MODE,
 )
 from riskloom.staging import stage
 
@@ -219,7 +220,7 @@ def run_calibration(rows: DataFrame, cross_project: bool = False, bins: int = ca
 
 def evaluate_within(dataset: Dataset, validation_start: str | None = None, test_start: str | None = None,
                     test_end: str | None = None, trees: int = FOREST_TREES, max_depth: int = 30,
-                    seed: int = SEED, **report_options) -> dict[str, DataFrame]:
+                    seed: int = SEED, most_rows: int = FIT_ROWS, **report_options) -> dict[str, DataFrame]:
     """Temporal split, baselines, locked selection and the whole report of the selected model."""
     require(feature_report(dataset.features))
     verify_provenance(dataset.provenance, dataset.features)
@@ -227,7 +228,7 @@ def evaluate_within(dataset: Dataset, validation_start: str | None = None, test_
         dataset.features, dataset.ends, validation_start=validation_start, test_start=test_start,
         test_end=test_end)
     parted, audit = _audited(parted, dataset, calendar, None)
-    result = train_baselines(parted, trees, max_depth, seed)
+    result = train_baselines(parted, trees, max_depth, seed, most_rows)
     test = parted.where(F.col("partition") == "test")
     metrics = stage(result.validation.withColumn("partition", F.lit("validation")).unionByName(
         result.test.withColumn("partition", F.lit("test"))), "metrics")
@@ -247,7 +248,7 @@ def evaluate_within(dataset: Dataset, validation_start: str | None = None, test_
 
 
 def evaluate_cross(dataset: Dataset, validation_start: str, test_start: str, test_end: str | None = None,
-                   trees: int = FOREST_TREES, max_depth: int = 30, seed: int = SEED,
+                   trees: int = FOREST_TREES, max_depth: int = 30, seed: int = SEED, most_rows: int = FIT_ROWS,
                    same_project: DataFrame | None = None, **report_options) -> dict[str, DataFrame]:
     """Leave-one-project-out folds, stability across folds and the report of the held-out rows.
 
@@ -258,10 +259,13 @@ def evaluate_cross(dataset: Dataset, validation_start: str, test_start: str, tes
     verify_provenance(dataset.provenance, dataset.features)
     dataset = Dataset(stage(dataset.features, "snapshots"), dataset.provenance)
     calendar = partitions.fix_calendar(dataset.ends, validation_start, test_start, test_end)
+    # A fold trains on the rows that are nobody's test, less those of its own repository: one scan a step fits them all.
+    trained = partitions.apply_calendar(dataset.features, dataset.ends, calendar).where("partition = 'train'")
+    fits = fit_logistic(stage(trained, "training"), MODEL_FEATURES, TARGET, "repository")
     folds, selections, samples, importances, audits, linear, forest, digests = ([] for _ in range(8))
     for held_out, parted in partitions.lopo_folds(dataset.features, dataset.ends, calendar):
         audit = _fold_audited(parted, dataset, calendar, held_out)
-        result = train_baselines(parted, trees, max_depth, seed)
+        result = train_baselines(parted, trees, max_depth, seed, most_rows, fits.get(held_out, fits[None]))
         audit = partitions.fold_audit(audit, parted, held_out, MODEL_FEATURES,
                                       result.models["logistic_regression"].fitted_rows)
         partitions.require_audit(audit)

@@ -10,7 +10,7 @@ from riskloom.functions import text
 from riskloom.functions.registry import (
     MISSING_ACTION, MISSING_REASON, NEUTRAL_ACTION, NEUTRAL_REASON, NO_RISK_REASON, REGISTRY,
 )
-from riskloom.schemas import MODEL_FEATURES, TARGET
+from riskloom.schemas import FIT_ROWS, MODEL_FEATURES, SEED, TARGET
 from riskloom.sources.tables import LINEAR_MODEL, TEST_START, VALIDATION_START
 
 V, T = f"DATE '{VALIDATION_START}'", f"DATE '{TEST_START}'"
@@ -854,6 +854,21 @@ ORACLES: dict[str, str] = {
                {r('f1', 'recommended_f1')}, {r('spec', 'recommended_specificity')}, {r('fpr', 'recommended_false_positive_rate')},
                {big('flagged', 'recommended_files_flagged')}, {r('pct', 'recommended_percentage_files_flagged')}
         FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY f1 DESC, t DESC) AS i FROM sweep WHERE re IS NOT NULL) WHERE i = 1"""),
+    "fit_sample": sql("parted", f"""
+        SELECT repository, file_path, {day('snapshot_date')}, {TARGET}, stratum_rows,
+               least(stratum_rows, {FIT_ROWS}) AS sampled_rows, {r(f'all_rows / (2.0 * least(stratum_rows, {FIT_ROWS}))', 'w')}
+        FROM (SELECT *, count(*) OVER () AS all_rows, count(*) OVER (PARTITION BY {TARGET}) AS stratum_rows,
+                     row_number() OVER (PARTITION BY {TARGET} ORDER BY md5(concat_ws('|', repository, file_path,
+                         strftime(snapshot_date, '%Y-%m-%d'), '{SEED}')), repository, file_path, snapshot_date) AS place
+              FROM parted WHERE part = 'train') WHERE place <= {FIT_ROWS}"""),
+    "forest_paths": sql("parted", """
+        SELECT repository AS project, count(*) AS row_count, 0.0::DOUBLE AS largest_gap FROM parted WHERE part = 'test' GROUP BY 1"""),
+    "lopo_gradients": sql("parted", f"""
+        SELECT held_out AS held_out_repository, feature, count(*) AS training_rows, {big(f'sum({TARGET})', 'positives')},
+               0.0::DOUBLE AS gradient, 0.0::DOUBLE AS scaler_gap
+        FROM (SELECT DISTINCT repository AS held_out FROM parted WHERE part = 'train') h
+        JOIN (SELECT * FROM parted WHERE part = 'train') p ON p.repository <> held_out,
+             (SELECT unnest([{', '.join(repr(f) for f in ('intercept', *MODEL_FEATURES))}]) AS feature) GROUP BY 1, 2"""),
     "prior_baseline": sql("parted", f"""
         SELECT repository AS project, {r('max(prior)', 'prior')}, count(*) AS row_count,
                {r(f'avg((prior - {TARGET}) * (prior - {TARGET}))', 'squared_error')}

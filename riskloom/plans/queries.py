@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions import labels, text
 from riskloom.operators import (
-    brief, calibration, diagnostics, explain, guidance, intelligence, metrics, models, partitions,
+    brief, calibration, diagnostics, explain, guidance, intelligence, metrics, models, newton, partitions,
     provenance, quality, ranking, snapshots, stability,
 )
 from riskloom.schemas import MODEL_FEATURES, SNAPSHOT_KEYS, TARGET
@@ -693,18 +693,36 @@ def recommended_thresholds(spark, d):
     return calibration.recommended_thresholds(calibration.threshold_sweep(ranking_of(spark, d)))
 
 
-# Fitted models. What a fit gives has no SQL counterpart; what follows from a given model has.
+# Fitted models. What a fit gives has no SQL counterpart; its sample, its stationary point and what follows
+# from a given model have.
+
+def train_of(spark, d):
+    return stage_once(spark, f"train {d}", lambda: parted_of(spark, d).where("partition = 'train'"))
+
 
 def _baselines(spark, d):
-    """Baselines over all training rows, with the settings of the jobs."""
+    """Baselines over the training rows, with the settings of the jobs."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
-        train = parted_of(spark, d).where("partition = 'train'")
-        _FITTED[key] = models.fit_baselines(train)
+        _FITTED[key] = models.fit_baselines(train_of(spark, d))
     return _FITTED[key]
 
 
+def _fold_fits(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FOLD_FITS:
+        _FOLD_FITS[key] = newton.fit_logistic(train_of(spark, d), MODEL_FEATURES, TARGET, "repository")
+    return _FOLD_FITS[key]
+
+
 _FITTED: dict = {}
+_FOLD_FITS: dict = {}
+
+
+@query
+def fit_sample(spark, d):
+    """The rows that forests are fitted on, with their weights."""
+    return models.fit_sample(train_of(spark, d)).select(*SNAPSHOT_KEYS, TARGET, "stratum_rows", "sampled_rows", "w")
 
 
 @query
@@ -719,10 +737,54 @@ def native_importance(spark, d):
     return models.native_importance(spark, _baselines(spark, d))
 
 
+@query
+def forest_paths(spark, d):
+    """Per repository, how far the path sums of the fitted forest are from its scores: nowhere apart."""
+    model = _baselines(spark, d)["random_forest"]
+    rows = model.explain(model.score(_test_rows(spark, d)))
+    return rows.groupBy(F.col("repository").alias("project")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.max(F.abs(F.col("risk_score") - F.lit(model.root_share()) - F.aggregate(
+            "drivers", F.lit(0.0), lambda a, x: a + x["contribution"]))).alias("largest_gap"))
+
+
+@query
+def lopo_coefficients(spark, d):
+    """Coefficients of every leave-one-repository-out fit, with its rows."""
+    rows = [(name, f, c, m, s, fit.rows, fit.positives) for name, fit in _fold_fits(spark, d).items() if name is not None
+            for f, (c, m, s) in fit.linear.items()]
+    return spark.createDataFrame(rows, "held_out_repository string, feature string, coefficient double, mean double, "
+                                       "deviation double, training_rows long, positives long")
+
+
+@query
+def lopo_gradients(spark, d):
+    """Gradient of each fold's objective at its coefficients, with the scaler of the fold: zero everywhere."""
+    train = train_of(spark, d)
+    out = None
+    for name, fit in _fold_fits(spark, d).items():
+        if name is None:
+            continue
+        z = {f: (F.col(f).cast("double") - F.lit(m)) / F.lit(s) for f, (_, m, s) in fit.linear.items()}
+        margin = sum((z[f] * F.lit(c) for f, (c, _, _) in fit.linear.items()), F.lit(fit.intercept))
+        gap = F.when(F.col(TARGET) == 1, F.lit(0.5 / fit.positives)).otherwise(
+            F.lit(0.5 / (fit.rows - fit.positives))) * (labels.sigmoid(margin) - F.col(TARGET))
+        rows = train.where(F.col("repository") != name).agg(
+            F.count(F.lit(1)).alias("training_rows"), F.sum(TARGET).alias("positives"), F.sum(gap).alias("intercept"),
+            *[(F.sum(gap * z[f]) + F.lit(fit.linear[f][0] / fit.rows)).alias(f) for f in MODEL_FEATURES],
+            *[F.avg(f).alias(f"mean_{f}") for f in MODEL_FEATURES], *[F.stddev_pop(f).alias(f"dev_{f}") for f in MODEL_FEATURES])
+        rows = rows.select(F.lit(name).alias("held_out_repository"), "training_rows", "positives", F.inline(F.array(
+            F.struct(F.lit("intercept").alias("feature"), F.col("intercept").alias("gradient"), F.lit(0.0).alias("scaler_gap")),
+            *[F.struct(F.lit(f).alias("feature"), F.col(f).alias("gradient"), (
+                F.abs(F.col(f"mean_{f}") / F.lit(m) - 1) + F.abs(F.col(f"dev_{f}") / F.lit(s) - 1)).alias("scaler_gap"))
+              for f, (_, m, s) in fit.linear.items()])))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def prior_baseline(spark, d):
     """The prior that the first baseline fits on the training rows, and its squared error on the test rows."""
-    stats = models.scaler_row(parted_of(spark, d).where("partition = 'train'")).first()
+    stats = models.scaler_row(train_of(spark, d)).first()
     fitted = models.FittedModel("dummy", prior=stats["positives"] / stats["n"], fitted_rows=stats["n"])
     test = fitted.score(parted_of(spark, d).where("partition = 'test'"))
     return test.groupBy(F.col("repository").alias("project")).agg(
