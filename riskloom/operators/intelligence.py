@@ -17,7 +17,8 @@ from riskloom.functions.registry import (
     MISSING_ACTION, MISSING_REASON, REGISTRY, supported, text_of,
 )
 from riskloom.functions.text import blank, utc_timestamp
-from riskloom.operators.scan import lookup, quantiles, ranked, running
+from riskloom.operators.radix import quantiles
+from riskloom.operators.scan import lookup, ranked, running
 from riskloom.schemas import (
     DEFAULT_CUTOFF, PRIORITY_COLUMNS, PRIORITY_HOTSPOT_WEIGHT, PRIORITY_RISK_WEIGHT,
     RISK_BAND_EDGES,

@@ -1,4 +1,4 @@
-"""Skew-safe building blocks: ordered scans, exact quantiles and stored lookups.
+"""Skew-safe building blocks: ordered scans and stored lookups.
 
 ``Window.partitionBy(project)`` would send a whole project to one task, and a project may hold
 a third of all rows. The operators here range-partition on (group, order keys) instead, so a
@@ -86,36 +86,3 @@ def running(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         .withColumns({f"running_{c}": F.col(f"running_{c}") + F.col(f"_s_{c}") for c in sums})
         .drop("_piece", "_n", *[f"_s_{c}" for c in sums])
     )
-
-
-def quantiles(df: DataFrame, group: Sequence[str], value: str,
-              probabilities: dict[str, float], weight: str | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, one column per name.
-
-    Works on (group, value) counts and an ordered scan, so no task holds a whole group.
-    """
-    if not group:
-        one = quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probabilities, weight)
-        return one.drop("_all")
-    group = list(group)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(
-        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
-    scan = running(counts, group, [F.col("_v").asc()], ["n"])
-    sizes = counts.groupBy(*group).agg(F.sum("n").alias("_size"))
-    placed = scan.join(lookup(sizes), group)
-    first = F.col("running_n") - F.col("n")  # zero-based index of the first copy of the value
-    picks = []
-    for name, p in probabilities.items():
-        at = (F.col("_size") - 1) * F.lit(float(p))
-        low, high = F.floor(at), F.ceil(at)
-        picks += [
-            F.max(F.when((first <= low) & (low < F.col("running_n")), F.col("_v"))).alias(f"_lo_{name}"),
-            F.max(F.when((first <= high) & (high < F.col("running_n")), F.col("_v"))).alias(f"_hi_{name}"),
-        ]
-    out = placed.groupBy(*group).agg(F.max("_size").alias("_size"), *picks)
-    columns = []
-    for name, p in probabilities.items():
-        at = (F.col("_size") - 1) * F.lit(float(p))
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        columns.append((low + (high - low) * (at - F.floor(at))).cast("double").alias(name))
-    return out.select(*group, *columns)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.labels import ratio
-from riskloom.operators.partitions import Calendar, repository_names
-from riskloom.operators.scan import lookup, quantiles
+from riskloom.operators import radix
+from riskloom.operators.partitions import Calendar
+from riskloom.operators.scan import lookup
 from riskloom.schemas import LABEL_HORIZON_DAYS, MODEL_FEATURES, MODEL_ORDER
+from riskloom.staging import stage
 
 SELECTED = "threshold_strategy = 'validation_selected'"
 
@@ -76,8 +78,8 @@ def cross_importance(importances: DataFrame) -> DataFrame:
 def dataset_shift(features: DataFrame, ends: DataFrame, calendar: Calendar) -> DataFrame:
     """Median shift of every predictor between the sources and the held-out rows of each fold.
 
-    Values are counted per repository first. Fanning those counts out to the folds replaces
-    fanning out snapshots, and exact quartiles come from an ordered scan over the counts.
+    Values are counted per repository once. The quartiles of a fold's sources are order statistics of the
+    pooled counts less its own, so the folds copy neither snapshots nor counts, however many there are.
     """
     d = F.col("snapshot_date")
     label_end = F.date_add(d, LABEL_HORIZON_DAYS)
@@ -86,17 +88,26 @@ def dataset_shift(features: DataFrame, ends: DataFrame, calendar: Calendar) -> D
         F.when((label_end < v) | ((d >= v) & (label_end < t)), "training")
         .when((d >= t) & (d <= e) & (label_end <= F.col("observation_end")), "held_out"))
     rows = features.join(lookup(ends), "repository").withColumn("side", side).where("side is not null")
-    counts = rows.select("repository", "side", F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
-        for f in MODEL_FEATURES]))).groupBy("repository", "side", "feature", "value").agg(
-        F.count(F.lit(1)).alias("n"))
-    everyone = F.array(*map(F.lit, repository_names(ends)))
-    others = F.filter(everyone, lambda r: r != F.col("repository"))
-    folds = counts.select("side", "feature", "value", "n", F.explode(
-        F.when(F.col("side") == "training", others).otherwise(F.array("repository"))).alias("held_out_repository"))
-    q = quantiles(folds, ["held_out_repository", "feature", "side"], "value",
-                  {"q1": 0.25, "q2": 0.5, "q3": 0.75}, "n")
-    wide = q.groupBy("held_out_repository", "feature").agg(*[
+    counts = stage(rows.select("repository", "side", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), radix.image(F.col(f)).alias("image"))
+        for f in MODEL_FEATURES]))).where("image IS NOT NULL").groupBy("repository", "side", "feature", "image").agg(
+        F.count(F.lit(1)).alias("n")), "counts")
+    own = counts.groupBy("repository", "side", "feature").agg(F.sum("n").alias("own"))
+    pooled = counts.where("side = 'training'").groupBy("feature").agg(F.sum("n").alias("pooled"))
+    # Every repository is held out once; without training rows of its own it is left out of nothing.
+    names = ends.select("repository").distinct()
+    sources = names.withColumn("feature", F.explode(F.array(*map(F.lit, MODEL_FEATURES)))).join(
+        lookup(pooled), "feature").join(own.where("side = 'training'").drop("side"), ["repository", "feature"], "left")
+    sizes = sources.select(
+        "repository", "feature", F.lit("training").alias("side"), F.lit(radix.WITHOUT).alias("mode"),
+        (F.col("pooled") - F.coalesce("own", F.lit(0))).alias("size")).unionByName(own.where("side = 'held_out'").select(
+            "repository", "feature", "side", F.lit(radix.ONLY).alias("mode"), F.col("own").alias("size")))
+    points = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    wanted = sizes.where("size > 0").select(
+        "repository", "feature", "side", "mode", F.inline(radix.ranks(F.col("size"), points)))
+    q = radix.interpolated(radix.order_statistics(counts, wanted, ["side", "feature"], "repository"),
+                           ["repository", "feature", "side"], list(points))
+    wide = q.groupBy(F.col("repository").alias("held_out_repository"), "feature").agg(*[
         F.max(F.when(F.col("side") == s, value)).alias(f"{s}_{name}")
         for s in ("training", "held_out")
         for name, value in (("median", F.col("q2")), ("iqr", F.col("q3") - F.col("q1")))])

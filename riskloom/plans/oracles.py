@@ -436,9 +436,14 @@ def _tree_term(feature: str) -> str:
     }.get(feature, "0::DOUBLE")
 
 
-def _place(salt: int) -> str:
-    return f"""row_number() OVER (PARTITION BY rpt ORDER BY md5(repository || '|' || file_path || '|'
-        || strftime(snapshot_date, '%Y-%m-%d') || '|' || rpt || '|42|{salt}'), repository, file_path, snapshot_date)"""
+def _network(x: str) -> str:
+    """Four Feistel rounds over (x div b, x mod b), keyed by the seed and ``rpt``."""
+    halves, sides = [f"(({x}) // b)", f"(({x}) % b)"], ("a", "b")
+    for turn in range(4):
+        i = turn % 2
+        halves[i] = (f"(({halves[i]} + ('0x' || substr(md5(({halves[1 - i]}) || '|42|' || rpt || '|{turn}'), 1, 15))::BIGINT) "
+                     f"% {sides[i]})")
+    return f"{halves[0]} * b + {halves[1]}"
 
 
 ORACLES: dict[str, str] = {
@@ -890,17 +895,22 @@ ORACLES: dict[str, str] = {
     "permutation_importance": sql("parted", f"""
         SELECT 'logistic_regression' AS model, feature, {r('abs(avg(gap))', 'importance')}, {r('avg(gap)', 'effect')},
                'not_applicable' AS direction, 'permutation_average_precision' AS method, {r('stddev_pop(gap)', 'standard_deviation')}
-        FROM (SELECT a.feature, b.ap - a.ap AS gap FROM areas_ a, areas_ b WHERE b.rpt = -1 AND a.rpt >= 0) GROUP BY 2""".replace(
-        "FROM (SELECT a.feature", f"""FROM (WITH v AS (SELECT * FROM parted WHERE part = 'validation'),
-            o AS (SELECT v.*, rpt, {_place(0)} AS place FROM v, range(5) t(rpt)),
-            q AS (SELECT v.*, rpt, {_place(1)} AS place FROM v, range(5) t(rpt)),
+        FROM (WITH RECURSIVE v AS (
+                SELECT *, row_number() OVER (ORDER BY repository, file_path, snapshot_date) - 1 AS place
+                FROM parted WHERE part = 'validation'),
+            side AS (SELECT n, a, ((n + a - 1) // a)::BIGINT AS b
+                     FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM v)),
+            walk AS (
+                SELECT place, rpt, n, a, b, {_network('place')} AS x FROM v, side, range(5) t(rpt)
+                UNION ALL SELECT place, rpt, n, a, b, {_network('x')} AS x FROM walk WHERE x >= n),
+            o AS (SELECT v.*, rpt, x FROM v JOIN walk USING (place) WHERE x < n),
             s AS ({' UNION ALL '.join(
-                f"SELECT o.rpt, '{f}' AS feature, o.{TARGET} AS y, {_logistic({g: ('q.' if g == f else 'o.') + g for g in MODEL_FEATURES})} AS score FROM o JOIN q USING (rpt, place)"
+                f"SELECT o.rpt, '{f}' AS feature, o.{TARGET} AS y, {_logistic({g: ('q.' if g == f else 'o.') + g for g in MODEL_FEATURES})} AS score FROM o JOIN v q ON q.place = o.x"
                 for f in MODEL_FEATURES)}
                 UNION ALL SELECT -1, '', {TARGET}, {_logistic({g: g for g in MODEL_FEATURES})} FROM v),
             g AS (SELECT rpt, feature, score, sum(y) AS pos, count(*) AS n FROM s GROUP BY 1, 2, 3),
             w AS (SELECT *, sum(pos) OVER k AS tp, sum(n) OVER k AS seen FROM g
                   WINDOW k AS (PARTITION BY rpt, feature ORDER BY score DESC)),
             areas_ AS (SELECT rpt, feature, sum(pos * (tp / CAST(seen AS DOUBLE))) / sum(pos) AS ap FROM w GROUP BY 1, 2)
-            SELECT a.feature""")),
+            SELECT a.feature, b.ap - a.ap AS gap FROM areas_ a, areas_ b WHERE b.rpt = -1 AND a.rpt >= 0) GROUP BY 2"""),
 }

@@ -346,7 +346,7 @@ def train_scaler(spark, d):
 def feature_medians(spark, d):
     rows = parted_of(spark, d).where("partition is not null").select("partition", F.inline(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in MODEL_FEATURES])))
-    from riskloom.operators.scan import quantiles
+    from riskloom.operators.radix import quantiles
 
     return quantiles(rows, ["partition", "feature"], "value", {"median": 0.5})
 

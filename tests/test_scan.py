@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.operators import scan
+from riskloom.operators import radix, scan
 
 
 @pytest.fixture(scope="module")
@@ -46,10 +46,10 @@ def test_quantiles_are_exact(spark, rows):
     values = defaultdict(list)
     for g, v, _ in rows:
         values[g].append(v)
-    got = {r["g"]: r for r in scan.quantiles(df, ["g"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()}
+    got = {r["g"]: r for r in radix.quantiles(df, ["g"], "v", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).collect()}
     for g, v in values.items():
         assert np.allclose([got[g]["q1"], got[g]["q2"], got[g]["q3"]], np.quantile(v, [0.25, 0.5, 0.75]))
-    whole = scan.quantiles(df, [], "v", {"m": 0.5}).first()["m"]
+    whole = radix.quantiles(df, [], "v", {"m": 0.5}).first()["m"]
     assert whole == pytest.approx(np.median([r[1] for r in rows]))
 
 
