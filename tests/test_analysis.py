@@ -230,17 +230,36 @@ def labelled(spark, rows):
                                   for s, y in rows], "project string, risk_score string, true_label string, score_method string")
 
 
-def test_brier_and_ece(spark):
-    df = labelled(spark, list(zip([.25] * 4 + [.75] * 4, [1, 0, 0, 0, 1, 1, 1, 0])))
-    s = calibration.calibration_summary(df, bins=4).first()
-    assert s["brier_score"] == pytest.approx(.1875) and s["ece"] == pytest.approx(0)
+def drawn(seed, n=70):
+    import random
+    rng = random.Random(seed)
+    return [(round(rng.random(), 3), int(rng.random() < .4)) for _ in range(n)]
 
 
-def test_bin_edges(spark):
-    b = calibration.calibration_bins(labelled(spark, [(0, 0), (.5, 1), (.75, 1), (1, 0)]), bins=4).orderBy("bin_lower").collect()
-    assert [r["sample_count"] for r in b] == [1, 0, 1, 2] and b[1]["observed_defect_rate"] is None
-    ten = calibration.calibration_bins(labelled(spark, [(.3, 0)]), bins=10).where("sample_count = 1").first()
-    assert ten["bin_lower"] == pytest.approx(.2)
+def by_bin(rows, bins):
+    out = {}
+    for score, label in rows:
+        out.setdefault(min(int(score * bins), bins - 1), []).append((score, label))
+    return out
+
+
+@pytest.mark.parametrize("seed, bins", [(1, 7), (2, 16)])
+def test_calibration_against_a_loop(spark, seed, bins):
+    rows = drawn(seed)
+    s = calibration.calibration_summary(labelled(spark, rows), bins=bins).first()
+    assert s["brier_score"] == pytest.approx(sum((p - y) ** 2 for p, y in rows) / len(rows))
+    assert s["ece"] == pytest.approx(sum(abs(sum(p - y for p, y in b)) for b in by_bin(rows, bins).values()) / len(rows))
+
+
+def test_bins_against_a_loop(spark):
+    rows = [*drawn(3, 25), (0, 1), (1, 0), (.375, 1), (.625, 0), (.5, 0)]
+    found = calibration.calibration_bins(labelled(spark, rows), bins=8).orderBy("bin_lower").collect()
+    want = by_bin(rows, 8)
+    for i, b in enumerate(found):
+        mine = want.get(i, [])
+        assert (b["bin_lower"], b["sample_count"]) == (pytest.approx(i / 8), len(mine))
+        assert b["observed_defect_rate"] == (pytest.approx(sum(y for _, y in mine) / len(mine)) if mine else None)
+    assert len(found) == 8
 
 
 def test_invalid_rows_are_left_out(spark):
@@ -249,16 +268,22 @@ def test_invalid_rows_are_left_out(spark):
     assert (s["valid_samples"], s["invalid_score_samples"], s["invalid_label_samples"], s["excluded_samples"]) == (2, 6, 4, 10)
 
 
-def test_recommendation(spark):
-    df = labelled(spark, list(zip([.9, .8, .4, .1], [1, 0, 1, 0])))
-    sweep = calibration.threshold_sweep(df, thresholds=[0, .4, .5, 1])
+def test_recommendation_against_a_loop(spark):
+    rows, cuts = drawn(5, 40), [i / 9 for i in range(10)]
+
+    def f1(cut):
+        tp = sum(y for p, y in rows if p >= cut)
+        return 2 * tp / (sum(p >= cut for p, _ in rows) + sum(y for _, y in rows))
+
+    sweep = calibration.threshold_sweep(labelled(spark, rows), thresholds=cuts)
     best = calibration.recommended_thresholds(sweep).first()
-    assert (best["recommended_threshold"], best["recommended_f1"]) == (.4, pytest.approx(.8))
+    assert best["recommended_f1"] == pytest.approx(max(map(f1, cuts))) == pytest.approx(f1(best["recommended_threshold"]))
     assert sweep.where("threshold = 1").first()["precision"] is None
-    tie = calibration.threshold_sweep(labelled(spark, [(.9, 1)]), thresholds=[.1, .9])
-    assert calibration.recommended_thresholds(tie).first()["recommended_threshold"] == .9
-    none = calibration.calibration_summary(labelled(spark, [(.5, 0)])).first()
-    assert (none["recommended_threshold"], none["recommendation_status"]) == (None, "no_positive_labels")
+    # Of equal thresholds the highest is taken; without a positive label none is.
+    equal = calibration.threshold_sweep(labelled(spark, [(.65, 1), (.05, 0)]), thresholds=[.2, .35, .6])
+    assert calibration.recommended_thresholds(equal).first()["recommended_threshold"] == .6
+    bare = calibration.calibration_summary(labelled(spark, [(.15, 0), (.7, 0)])).first()
+    assert (bare["recommended_threshold"], bare["recommendation_status"]) == (None, "no_positive_labels")
 
 
 def test_no_rows_at_all(spark):

@@ -101,13 +101,26 @@ def scored(spark, labels, scores):
     return spark.createDataFrame(list(zip(labels, scores)), "true_label int, risk_score double")
 
 
-def test_known_metrics(spark):
-    df = scored(spark, [0, 0, 1, 1], [.1, .7, .8, .9])
-    m = metrics.binary_metrics(df, 0.5).first()
-    assert (m["accuracy"], m["precision"], m["recall"], m["f1"]) == (.75, pytest.approx(2 / 3), 1, pytest.approx(.8))
-    assert (m["tn"], m["fp"], m["fn"], m["tp"]) == (1, 1, 0, 2)
-    r = metrics.rank_metrics(metrics.score_curve(df)).first()
-    assert (r["roc_auc"], r["pr_auc"]) == (1.0, 1.0)
+def drawn(seed, n, digits=2):
+    import random
+    rng = random.Random(seed)
+    return [int(rng.random() < .35) for _ in range(n)], [round(rng.random(), digits) for _ in range(n)]
+
+
+def confusion(labels, scores, cut):
+    flags = [(a, int(s >= cut)) for a, s in zip(labels, scores)]
+    tn, fp, fn, tp = (flags.count(x) for x in ((0, 0), (0, 1), (1, 0), (1, 1)))
+    return tn, fp, fn, tp, 2 * tp / (2 * tp + fp + fn) if tp else 0.0
+
+
+@pytest.mark.parametrize("seed, cut", [(21, .5), (22, .07), (23, .93)])
+def test_counts_and_rates_against_a_loop(spark, seed, cut):
+    labels, scores = drawn(seed, 90)
+    tn, fp, fn, tp, f1 = confusion(labels, scores, cut)
+    m = metrics.binary_metrics(scored(spark, labels, scores), cut).first()
+    assert (m["tn"], m["fp"], m["fn"], m["tp"]) == (tn, fp, fn, tp)
+    assert (m["accuracy"], m["f1"]) == (pytest.approx((tn + tp) / 90), pytest.approx(f1))
+    assert (m["precision"], m["recall"]) == (pytest.approx(tp / (tp + fp)), pytest.approx(tp / (tp + fn)))
 
 
 def test_no_positives(spark):
@@ -117,12 +130,17 @@ def test_no_positives(spark):
     assert (r["roc_auc"], r["pr_auc"], r["f1_threshold"]) == (None, None, 0.5)
 
 
-def test_threshold_and_step_wise_precision(spark):
-    r = metrics.rank_metrics(metrics.score_curve(scored(spark, [0, 1, 1, 0], [.1, .4, .35, .8]))).first()
-    assert r["f1_threshold"] == pytest.approx(.35)
-    assert r["pr_auc"] == pytest.approx(0.5 * 0.5 + 0.5 * 2 / 3)
-    constant = metrics.rank_metrics(metrics.score_curve(scored(spark, [0, 1, 0], [1 / 3] * 3))).first()
-    assert constant["f1_threshold"] <= 1 / 3 and constant["roc_auc"] == 0.5
+def test_threshold_has_the_best_f1(spark):
+    for seed in (31, 32):
+        labels, scores = drawn(seed, 60)
+        cut = metrics.rank_metrics(metrics.score_curve(scored(spark, labels, scores))).first()["f1_threshold"]
+        best = max(confusion(labels, scores, c)[4] for c in scores)
+        assert confusion(labels, scores, cut)[4] == pytest.approx(best)
+
+
+def test_one_score_for_all(spark):
+    r = metrics.rank_metrics(metrics.score_curve(scored(spark, [1, 0, 0, 1, 0], [2 / 7] * 5))).first()
+    assert r["f1_threshold"] <= 2 / 7 and r["roc_auc"] == 0.5 and r["pr_auc"] == pytest.approx(2 / 5)
 
 
 def test_areas_against_pair_counting(spark):
@@ -149,9 +167,38 @@ def test_selection_order(spark):
 
 
 def test_permutation_pairs_are_permutations(spark):
-    df = spark.createDataFrame([(f"r{i}",) for i in range(50)], "k string")
+    df = spark.createDataFrame([(f"r{i}", i) for i in range(50)], "k string, v long")
     rows = metrics.permutation_pairs(df, ["k"], 2, 42).collect()
+    assert all(r["k"] == f"r{r['v']}" and r["donor_k"] == f"r{r['donor_v']}" for r in rows)
     for repeat in (0, 1):
         mine = [r for r in rows if r["repeat"] == repeat]
         assert len({r["k"] for r in mine}) == len({r["donor_k"] for r in mine}) == 50
         assert any(r["k"] != r["donor_k"] for r in mine)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7, 16, 17, 50, 101, 1000])
+def test_keyed_permutations(spark, n):
+    from riskloom.operators.shuffles import permuted
+    rows = spark.range(n).select("id", *[permuted(F.col("id"), n, F.lit(k)).alias(k) for k in ("u", "v")]).collect()
+    for k in ("u", "v"):
+        assert sorted(r[k] for r in rows) == list(range(n))
+    if n > 40:
+        assert sum(r["u"] != r["v"] for r in rows) > n / 2 and sum(r["u"] != r["id"] for r in rows) > n / 2
+
+
+def test_shuffled_scores_side_by_side_or_row_by_row(spark):
+    """A model that gives its score as a column has the importances that scoring copies of the rows gives."""
+    import random
+    rng = random.Random(8)
+    rows = [(i, x := rng.random(), rng.random(), int(x + .3 * rng.random() > .7)) for i in range(80)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y int")
+
+    def of(c):
+        return c["a"] * 0.9 + c["b"] * 0.01
+
+    def score(frame):
+        return frame.withColumn("risk_score", of({f: F.col(f) for f in "ab"}))
+
+    one, two = ({r["feature"]: tuple(r)[1:] for r in metrics.permutation_importance(
+        df, ["k"], ["a", "b"], score, "y", 3, 1, column).collect()} for column in (of, None))
+    assert one == {f: pytest.approx(v) for f, v in two.items()} and one["a"][0] > 0.1 > abs(one["b"][0])

@@ -9,13 +9,13 @@ from support import history_frame
 from riskloom.operators.snapshots import build_snapshots, file_month_grid, prepare_history, quarter_ends
 from riskloom.schemas import FEATURE_COLUMNS, TARGET
 
-A, B = "src/A.java", "src/B.java"
-BASE = [
-    ("c1", "dev1", "2024-01-05T10:00:00+00:00", "Add parser", A, 10, 2),
-    ("c2", "dev2", "2024-01-20T10:00:00+00:00", "Refactor", A, 3, 4),
-    ("c3", "dev1", "2024-02-15T10:00:00+00:00", "Fix crash", A, 1, 1),
-    ("c4", "dev1", "2024-01-10T10:00:00+00:00", "Add file", B, 5, 0),
-    ("c5", "dev1", "2024-05-01T10:00:00+00:00", "Docs", "src/C.java", 1, 0),
+LEXER, CACHE = "kit/Lexer.java", "kit/Cache.java"
+PAST = [
+    ("p1", "ann", "2019-08-07T08:30:00+00:00", "Write lexer", LEXER, 40, 0),
+    ("p2", "bob", "2019-09-12T17:05:00+00:00", "Tidy names", LEXER, 6, 9),
+    ("p3", "cy", "2019-11-21T06:00:00+00:00", "Fix lost token", LEXER, 2, 5),
+    ("p4", "ann", "2019-08-30T21:45:00+00:00", "Write cache", CACHE, 17, 0),
+    ("p5", "bob", "2020-04-18T12:00:00+00:00", "Notes", "kit/Notes.java", 1, 1),
 ]
 
 
@@ -23,44 +23,39 @@ def at(df, path, day):
     return df.where((F.col("file_path") == path) & (F.col("snapshot_date") == day)).first()
 
 
-def test_features_of_a_file(spark):
-    r = at(build_snapshots(history_frame(spark, BASE)), A, "2024-01-31")
-    assert [r[c] for c in FEATURE_COLUMNS[3:]] == [2, 2, 13, 6, 19, 26, 11, 0, 1]
+def test_history_against_the_plain_version(spark):
+    rows = build_snapshots(history_frame(spark, PAST)).select(FEATURE_COLUMNS[1:]).collect()
+    assert {tuple(map(str, r)) for r in rows} == {tuple(map(str, r)) for r in brute_force(PAST)}
+    # August to December, the last month that ends ninety days before the last change.
+    assert sorted(str(r["snapshot_date"]) for r in rows if r["file_path"] == LEXER) == [
+        "2019-08-31", "2019-09-30", "2019-10-31", "2019-11-30", "2019-12-31"]
+    september = next(r for r in rows if r["file_path"] == LEXER and str(r["snapshot_date"]) == "2019-09-30")
+    assert list(september)[2:] == [2, 2, 46, 9, 55, 54, 18, 0, 1]
 
 
-def test_no_fix_means_label_zero(spark):
-    assert at(build_snapshots(history_frame(spark, BASE)), B, "2024-01-31")[TARGET] == 0
-
-
-def test_grid_stops_ninety_days_before_the_end(spark):
-    rows = BASE[:4] + [("c6", "dev1", "2024-06-30T01:00:00+00:00", "End", B, 1, 0)]
-    grid = file_month_grid(prepare_history(history_frame(spark, rows))).where(F.col("file_path") == A)
-    assert sorted(str(r["snapshot_date"]) for r in grid.collect()) == ["2024-01-31", "2024-02-29", "2024-03-31"]
-
-
-@pytest.mark.parametrize("days,label,prior", [(0, 0, 1), (1, 1, 0), (90, 1, 0), (91, 0, 0)])
-def test_window_edges(spark, days, label, prior):
-    fix = date(2024, 1, 31) + timedelta(days=days)
-    rows = [BASE[0], ("fix", "dev1", f"{fix}T12:00:00+00:00", "Fix bug", A, 1, 0),
-            ("end", "dev1", "2024-12-31T00:00:00+00:00", "End", B, 1, 0)]
-    r = at(build_snapshots(history_frame(spark, rows)), A, "2024-01-31")
-    assert (r[TARGET], r["previous_bug_fixes"]) == (label, prior)
+@pytest.mark.parametrize("days", [-3, 0, 1, 45, 90, 91, 130])
+def test_window_edges(spark, days):
+    fix = date(2019, 8, 31) + timedelta(days=days)
+    rows = [PAST[0], ("fix", "cy", f"{fix}T23:59:00+00:00", "Fix bug", LEXER, 1, 0),
+            ("end", "bob", "2020-12-05T00:00:00+00:00", "End", CACHE, 1, 0)]
+    r = at(build_snapshots(history_frame(spark, rows)), LEXER, "2019-08-31")
+    assert (r[TARGET], r["previous_bug_fixes"]) == (int(0 < days <= 90), int(days <= 0))
 
 
 def test_offsets_decide_the_utc_day(spark):
-    rows = [("c1", "d", "2024-01-31T23:30:00-02:00", "Add", A, 1, 0),
-            ("end", "d", "2024-12-31T00:00:00+00:00", "End", B, 1, 0)]
+    rows = [("p1", "d", "2019-10-31T22:10:00-03:30", "Add", LEXER, 1, 0),
+            ("end", "d", "2020-09-09T00:00:00+00:00", "End", CACHE, 1, 0)]
     days = [str(r["snapshot_date"]) for r in build_snapshots(history_frame(spark, rows)).where(
-        F.col("file_path") == A).orderBy("snapshot_date").collect()]
-    assert days[0] == "2024-02-29"
+        F.col("file_path") == LEXER).orderBy("snapshot_date").collect()]
+    assert days[0] == "2019-11-30"
 
 
 def test_future_changes_only_touch_labels(spark):
-    early = history_frame(spark, BASE)
-    late = history_frame(spark, [r for r in BASE if r[0] != "c3"])
+    early = history_frame(spark, PAST)
+    late = history_frame(spark, [r for r in PAST if r[0] != "p3"])
     features = FEATURE_COLUMNS[:-1]
-    jan = F.col("snapshot_date") == "2024-01-31"
-    left, right = (build_snapshots(h).where(jan & (F.col("file_path") == A)) for h in (early, late))
+    then = F.col("snapshot_date") == "2019-09-30"
+    left, right = (build_snapshots(h).where(then & (F.col("file_path") == LEXER)) for h in (early, late))
     assert left.select(*features).collect() == right.select(*features).collect()
     assert left.first()[TARGET] == 1 and right.first()[TARGET] == 0
 
@@ -100,13 +95,13 @@ def test_against_brute_force_with_a_hot_file(spark):
 
 
 def test_plan_does_not_shuffle_after_the_expansion(spark):
-    plan = build_snapshots(history_frame(spark, BASE))._jdf.queryExecution().executedPlan().toString()
+    plan = build_snapshots(history_frame(spark, PAST))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan
     assert "Exchange hashpartitioning" not in plan[:plan.index("Generate")]
 
 
 def test_quarter_ends(spark):
-    rows = BASE[:4] + [("c6", "dev1", "2024-12-31T01:00:00+00:00", "End", B, 1, 0)]
+    rows = PAST[:4] + [("p6", "bob", "2020-12-20T01:00:00+00:00", "End", CACHE, 1, 0)]
     days = {str(r["snapshot_date"]) for r in quarter_ends(
-        build_snapshots(history_frame(spark, rows)), "2024-01-01", "2024-06-30").collect()}
-    assert days == {"2024-03-31", "2024-06-30"}
+        build_snapshots(history_frame(spark, rows)), "2019-09-01", "2020-03-31").collect()}
+    assert days == {"2019-09-30", "2019-12-31", "2020-03-31"}
