@@ -4,12 +4,17 @@ A page is cut into blocks at block-level tags. The first pass judges each block
 part of the page that it stands in, by link density, by length and by the density of stop words. Short
 and middling blocks stay undecided; in the second pass they take the label of the nearest decided
 neighbours. Neighbours are looked for inside the same article or outside of all, never across.
+
+Stop words count only on pages that use the known ones; on others, length and links decide. A name that hints at a
+part beside the article does not count where it would hide the only articles of a page or, on a page
+without any, most of its text. Inside an article only such parts are left out. Time is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +26,8 @@ from riskloom.llm.common import portions
 
 BATCH_BYTES = 4_000_000
 SHORT, LONG = 70, 200
+#: Hinting containers within each other that are told apart; deeper ones count as the last of them.
+NESTED = 8
 LINKS, STOPS_LOW, STOPS_HIGH = 0.35, 0.15, 0.3
 
 #: Common words of four languages.
@@ -35,6 +42,8 @@ STOP_WORDS = frozenset((
     "por que se si sin su sus también un una y ya").split())
 #: Elements whose content is no text.
 RAW = ("script", "style", "title", "textarea", "noscript", "iframe", "svg", "canvas", "template", "object", "math")
+#: Elements whose names are no hints.
+ROOTS = ("html", "body", "article", "main")
 #: Elements that stand beside the article. A page header is one unless it stands inside an article.
 BESIDE = frozenset("nav aside footer form button select menu dialog fieldset header".split())
 #: Words in class, id or role that mark parts beside the article.
@@ -46,14 +55,19 @@ HINTS = frozenset((
 BLOCK = frozenset((
     "html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
     "caption blockquote pre figure figcaption address hr center details summary").split()) | BESIDE
+#: Words that a hinting name may hold besides.
+PLAIN = frozenset((
+    "area article bar block body bottom box btn button buttons col column container content elements entry form global "
+    "group header inner item items left link links list main outer page panel post posts primary reader right row "
+    "secondary section site slot text title top unit user wrap wrapper zone").split())
 #: Blocks whose end tag may be left out.
 OPEN_ENDED = frozenset("p li dt dd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*)?)/?>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)(?=[\s/>])|[^<]+|<", re.S)
+_UNQUOTED = re.compile(r"[^<>\"']*")
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
-_MARK = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MARK = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -61,43 +75,102 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Block:
     text: str
     links: int
-    beside: bool
+    beside: bool  # by its element, or hidden
+    hints: tuple[int, ...]  # the hinting containers around it
     article: int  # the number of the article around it, 0 outside
     label: str = ""
 
+    @property
+    def size(self) -> int:
+        """Code points; a text almost without spaces says as much in a third of them."""
+        n = len(self.text)
+        return n if self.text.count(" ") * 15 >= n else 3 * n
+
+    @property
+    def wordy(self) -> bool:
+        return self.links / len(self.text) <= LINKS
+
 
 def _beside(tag: str, marks: str, inside: bool) -> bool:
     if tag in BESIDE and not (tag == "header" and inside):
         return True
-    if not marks or tag in ("html", "body", "article", "main"):
+    return bool(marks) and tag not in ROOTS and bool(
+        re.search(r"(?:^|\s)hidden(?:\s|=|$)", marks) or re.search(r"display\s*:\s*none", marks, re.I))
+
+
+def _hinting(tag: str, marks: str) -> bool:
+    """Whether a class, id or role is made of hinting words, with none but plain words besides."""
+    if not marks or tag in ROOTS:
         return False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", marks) or re.search(r"display\s*:\s*none", marks, re.I):
-        return True
-    return any(p.lower() in HINTS for m in _MARK.finditer(marks) for p in _PARTS.findall(m[1] or m[2] or m[3] or ""))
+    for m in _MARK.finditer(marks):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in _PARTS.findall(name)]
+            if any(p in HINTS for p in parts) and all(p in HINTS or p in PLAIN for p in parts):
+                return True
+    return False
+
+
+class _Tags:
+    """Finds the ends of tags. Quotes hide what ends a tag, until one tag has run to the end of the page."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def end(self, at: int) -> int:
+        """The place behind the tag whose attributes begin at ``at``; -1 if another tag begins before it ends."""
+        begin = at
+        while True:
+            at = _UNQUOTED.match(self.page, at).end()
+            if at == len(self.page):
+                break
+            if self.page[at] in "<>":
+                return at + 1 if self.page[at] == ">" else -1
+            at = self.page.find(self.page[at], at + 1) + 1 if self.quotes else at + 1
+            if not at:
+                break
+        if self.quotes:
+            self.quotes = False
+            return self.end(begin)
+        return -1
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order with their place; blocks without text are left out."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open block and marked inline elements: tag, beside the article, article
+    # Open block and marked inline elements: tag, beside the article, hinting containers, article.
+    stack: list[tuple[str, bool, tuple[int, ...], int]] = []
+    opened: Counter[str] = Counter()
     words: list[str] = []
-    links = breaks = articles = 0
+    links = breaks = articles = containers = 0
     anchor = False
     at = 0
+    tags = _Tags(page)
 
     def close() -> None:
         nonlocal words, links
         text = " ".join("".join(words).split())
         if text:
-            _, beside, article = stack[-1] if stack else ("", False, 0)
-            found.append(Block(text, min(links, len(text)), beside, article))
+            found.append(Block(text, min(links, len(text)), *(stack[-1][1:] if stack else (False, (), 0))))
         words, links = [], 0
 
+    def push(tag: str, *place) -> None:
+        stack.append((tag, *place))
+        opened[tag] += 1
+
+    def cut(i: int) -> None:
+        for entry in stack[i:]:
+            opened[entry[0]] -= 1
+        del stack[i:]
+
     while (token := _TOKEN.match(page, at)) is not None:
-        at = token.end()
+        begin, at = at, token.end()
         tag = (token[2] or "").lower()
+        if tag:
+            behind = tags.end(at)
+            marks, at = (page[at:behind - 1], behind) if behind > 0 else ("", begin + 1)
+            tag = tag if behind > 0 else ""
         if not tag:
-            raw = token[0]
+            raw = page[begin:at]
             if raw[0] != "<" or raw == "<":
                 text = html.unescape(raw)
                 words.append(text)
@@ -110,15 +183,13 @@ def blocks_of(page: str) -> list[Block]:
                 anchor = False
             elif tag in BLOCK:
                 close()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-            else:  # an inline element ends at its own tag, over unclosed paragraphs and items but no other block
+                if opened[tag]:
+                    cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+            elif opened[tag]:  # an inline element ends at its own tag, over unclosed paragraphs and items but no other block
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         close()
-                        del stack[i:]
+                        cut(i)
                         break
                     if stack[i][0] in BLOCK and stack[i][0] not in OPEN_ENDED:
                         break
@@ -140,34 +211,72 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             last = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCK), -1)
             if last >= 0 and (stack[last][0] == tag == "li" or stack[last][0] == "p" and tag not in ("button", "select")):
-                del stack[last:]  # with the inline elements left open in it
-            beside, article = stack[-1][1:] if stack else (False, 0)
+                cut(last)  # with the inline elements left open in it
+            beside, hints, article = stack[-1][1:] if stack else (False, (), 0)
             if tag in ("article", "main") and not article:
                 articles += 1
                 article = articles
-            stack.append((tag, beside or _beside(tag, token[3], article > 0), article))
+            if len(hints) < NESTED and _hinting(tag, marks):
+                containers += 1
+                hints += (containers,)
+            push(tag, beside or _beside(tag, marks, article > 0), hints, article)
         elif tag in VOID:
             continue
-        elif _beside("", token[3], False):  # a marked inline element is a part of its own
+        elif (hidden := _beside("", marks, False)) or _hinting("", marks):  # a marked inline element is a part of its own
             close()
-            stack.append((tag, True, stack[-1][2] if stack else 0))
-        elif any(entry[0] == tag for entry in stack):  # one of the same name in a marked one: counted, so that each end tag finds its own
-            stack.append((tag, *stack[-1][1:]))
+            beside, hints, article = stack[-1][1:] if stack else (False, (), 0)
+            if not hidden and len(hints) < NESTED:
+                containers += 1
+                hints += (containers,)
+            push(tag, beside or hidden, hints, article)
+        elif opened[tag]:  # one of the same name in a marked one: counted, so that each end tag finds its own
+            push(tag, *stack[-1][1:])
     close()
     return found
 
 
-def judge(block: Block) -> str:
-    """First pass: good, bad, or undecided as near (to good) or short."""
-    if block.beside or block.links / len(block.text) > LINKS or block.text.startswith("©"):
+def place(blocks: list[Block]) -> None:
+    """Turn hints into places beside the article, but for hints that would hide what the page is about."""
+    open_ = [b for b in blocks if not b.beside]
+    around: dict[int, set[int]] = {}  # of each article, the hints that all of it stands in
+    for b in open_:
+        if b.article:
+            around[b.article] = around.get(b.article, set(b.hints)) & set(b.hints)
+    if around:
+        # One article outside of all hints shows that the others are parts beside it, such as comments.
+        void = set() if any(not hints for hints in around.values()) else set().union(*around.values())
+    else:
+        whole = sum(b.size for b in open_ if b.wordy)
+        sizes: Counter[int] = Counter()
+        for b in open_:
+            for h in b.hints if b.wordy else ():
+                sizes[h] += b.size
+        void = {h for h, n in sizes.items() if 2 * n > whole}
+    for b in blocks:
+        b.beside = b.beside or any(h not in void for h in b.hints)
+
+
+def _words(text: str) -> list[str]:
+    return [w.strip(".,;:!?*$%&#|()[]\"'").lower() for w in text.split()]
+
+
+def foreign(blocks: list[Block]) -> bool:
+    """Whether the text of a page holds too few of the known stop words to judge it by them."""
+    words = [w for b in blocks if not b.beside and b.wordy and b.size >= SHORT for w in _words(b.text)]
+    return sum(w in STOP_WORDS for w in words) < STOPS_LOW * len(words)
+
+
+def judge(block: Block, unknown: bool = False) -> str:
+    """First pass: good, bad, or undecided as near (to good) or short. ``unknown``: stop words say nothing."""
+    if block.beside or not block.article and (not block.wordy or block.text.startswith("©")):
         return "bad"
-    if len(block.text) < SHORT:
+    if block.size < SHORT:
         return "short"
-    words = [w.strip(".,;:!?*$%&#|()[]\"'").lower() for w in block.text.split()]
+    words = _words(block.text)
     stops = sum(w in STOP_WORDS for w in words) / len(words)
-    if stops >= STOPS_HIGH and len(block.text) >= LONG:
+    if (unknown or stops >= STOPS_HIGH) and block.wordy and block.size >= LONG:
         return "good"
-    return "near" if block.article or stops >= STOPS_LOW else "bad"
+    return "near" if unknown or block.article or stops >= STOPS_LOW else "bad"
 
 
 def settle(blocks: list[Block]) -> None:
@@ -190,7 +299,9 @@ def settle(blocks: list[Block]) -> None:
                 near[i] = (abs(i - seen[b.article][0]), seen[b.article][1])
         return near
 
-    first = [judge(b) for b in blocks]
+    place(blocks)
+    unknown = foreign(blocks)
+    first = [judge(b, unknown) for b in blocks]
     before, after = side(range(len(blocks))), side(range(len(blocks) - 1, -1, -1))
     for i, b in enumerate(blocks):
         b.label = first[i]
@@ -220,16 +331,19 @@ def extract(pages: DataFrame, key: str = "page_id", page: str = "html") -> DataF
     """``pages`` without ``page``, with ``text``, ``n_blocks`` and ``n_good`` instead.
 
     A null page is empty and has an empty text. Other columns travel along; one that is named as a
-    result is replaced by it. Repeated rows are kept; an empty table gives an empty one.
+    result, in any case, is replaced by it. Repeated rows are kept; an empty table gives an empty one.
     """
     results = ("text", "n_blocks", "n_good")
-    others = [c for c in pages.columns if c not in (page, *results)]
-    chosen = pages.select(*others, F.coalesce(F.col(page).cast("string"), F.lit("")).alias("_page"))
-    schema = chosen.drop("_page").schema.add("text", "string").add("n_blocks", "long").add("n_good", "long")
+    others = [c for c in pages.columns if c.lower() not in (page.lower(), *results)]
+    held = "_page"
+    while held in (c.lower() for c in others):
+        held += "_"
+    chosen = pages.select(*[F.col(f"`{c}`") for c in others], F.coalesce(F.col(page).cast("string"), F.lit("")).alias(held))
+    schema = chosen.drop(held).schema.add("text", "string").add("n_blocks", "long").add("n_good", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in portions(batches, BATCH_BYTES, "_page"):
-            found = [main_text(p) for p in batch.column("_page").to_pylist()]
+        for batch in portions(batches, BATCH_BYTES, held):
+            found = [main_text(p) for p in batch.column(held).to_pylist()]
             columns = [batch.column(c) for c in others]
             yield pa.RecordBatch.from_arrays(
                 columns + [pa.array([f[0] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int64()),

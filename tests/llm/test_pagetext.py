@@ -51,6 +51,55 @@ def test_marked_inline_elements_end_at_their_own_tag():
     assert text_of('<article><video class="promo">no video</video><p>A</p><label class=social>x</label>B</article>') == "A\n\nB"
 
 
+POLISH = "Wczoraj wieczorem mieszkańcy miasta zebrali się przed ratuszem, żeby posłuchać koncertu orkiestry dętej. " * 3
+CHINESE = "昨天晚上市民们聚集在市政厅前聆听管乐队的演奏，广场上灯火通明，孩子们跑来跑去。" * 4
+
+
+def test_names_that_only_hold_a_hint():
+    body = f"<p>{LONG}</p><p>Yes.</p>"
+    want = "\n\n".join([" ".join(LONG.split()), "Yes."])
+    for name in ("content has-sidebar", "post no-comments", "research-and-search", "adsorption", "unrelated"):
+        assert text_of(f'<div class="{name}"><article>{body}</article></div>') == want
+        assert text_of(f'<div class="{name}">{body}</div>') == want
+        assert text_of(f'<article><div class="{name}">{body}</div></article>') == want
+
+
+def test_hints_that_would_hide_the_page():
+    body, want = f"<p>{LONG}</p>", " ".join(LONG.split())
+    assert text_of(f'<div class="widget"><article>{body}</article></div>') == want
+    assert text_of(f'<div class="widget">{body}</div><div class="ad">Buy it now</div>') == want
+    # Comments are articles of their own, and longer; the one outside is the page's.
+    assert text_of(f'<article>{body}</article><div id="comments"><article>{LONG * 5}</article></div>') == want
+    assert text_of(f'<article>{body}<div id="post-comments"><p>{LONG * 5}</p></div></article>') == want
+
+
+def test_other_languages():
+    links = "<ul>" + "".join(f"<li><a href=/{i}>odnośnik {i}</a>" for i in range(9)) + "</ul>"
+    for long in (POLISH, CHINESE):
+        page = f"<div>{links}</div><div><p>{long}</p><p>Aż.</p><p>{long}</p></div><div>{links}</div><footer>© x</footer>"
+        assert text_of(page) == "\n\n".join([long.strip(), "Aż.", long.strip()])
+
+
+def test_links_and_signs_inside_an_article():
+    page = f"<article><p>{LONG}</p><p><a href=/x>the whole of this paragraph is one link to another page of it</a></p><p>© means copyright</p></article>"
+    assert text_of(page).split("\n\n")[1:] == ["the whole of this paragraph is one link to another page of it", "© means copyright"]
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+    for part in ("<a ", "<!x", '<a "', "<p title='", "<div>", '<span class="ad">', "</b></i>", "<p <p", "<b><div class=ad>"):
+        page = (part * (1_000_000 // len(part)))[:1_000_000]
+        start = time.perf_counter()
+        pagetext.main_text(page)
+        assert time.perf_counter() - start < 10, part
+
+
+def test_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "<article>a b</article>", "x", "y", 2)], "page_id long, html string, _page string, Text string, N_GOOD int")
+    got = pagetext.extract(rows)
+    assert got.columns == ["page_id", "_page", "text", "n_blocks", "n_good"] and tuple(got.first()) == (1, "x", "a b", 1, 1)
+
+
 def test_pages_give_their_articles(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.page_id: r for r in queries.op5_html(spark, sf).collect()}
