@@ -31,6 +31,7 @@ from riskloom.staging import stage
 BATCH_BYTES = 2_000_000
 BLOCK = 2048
 PANELS = 7
+SALTS = 64
 LOW, HIGH = 0x5555555555555555, 0xAAAAAAAAAAAAAAAA
 
 
@@ -171,6 +172,9 @@ def near_components(marked: DataFrame, key: str = "doc_id", distance: int = 4, p
     nodes = components(near_links(points.select("fingerprint"), distance, panels))
     whole = stage(points.join(nodes, points.fingerprint == nodes.node, "left").select(
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")), "nodes")
-    named = whole.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = whole.join(named, "component").select("fingerprint", "component_id")
+    # A component may hold most points: its name is sent to SALTS places, and its points are dealt to them.
+    named = whole.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("points")).where(
+        "points > 1").select("component", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    ids = whole.withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)).cast("int")).join(
+        named, ["component", "salt"], "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(ids, "fingerprint").select(key, "fingerprint", "component_id")

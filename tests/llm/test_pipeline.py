@@ -62,23 +62,25 @@ def test_odd_rows(spark, odd_docs, no_docs, name, step):
         assert out.columns == odd_docs.columns
         assert {r.doc_id for r in rows if r.doc_id is not None} or name == "quality"
         if name != "quality":
-            assert sum(r.doc_id is None for r in rows) == 2  # rows without an id are not dropped by id
+            # Copies of rows that have an id are dropped like any other where copies are what the stage drops.
+            assert sum(r.doc_id is None for r in rows) == (0 if name in ("exact", "near") else 2)
     assert step(spark, no_docs, SF).count() == 0
 
 
 def test_rows_decide_for_themselves(spark):
     """Rows that share an id neither drop nor keep each other; a repeated row stays once."""
     item = next(r.text for r in queries.table(spark, SF, "benchmark").collect() if len((r.text or "").split()) > 20)
+    only = "Nobody numbered this page about the slow green river that bends around the chapel and the empty orchard"
     fish = "Seven silver fish swam below the old stone bridge while the miller counted sacks of oats in the morning"
     ship = "A tall ship from the north brought amber furs and salted herring to the quiet harbour before winter came"
-    rows = [(1, fish), (7, fish), (7, ship), (7, ship), (7, item), (None, item)]
+    rows = [(1, fish), (7, fish), (None, fish), (7, ship), (7, ship), (7, item), (None, item), (None, only), (None, only)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     steps = dict(corpus_pipeline.STAGES)
     for name in ("exact", "near"):
         got = [tuple(r) for r in steps[name](spark, docs, SF).collect()]
-        assert sorted(got, key=str) == sorted([(1, fish), (7, ship), (7, item), (None, item)], key=str)
+        assert sorted(got, key=str) == sorted([(1, fish), (7, ship), (7, item), (None, only)], key=str)
     got = [tuple(r) for r in steps["benchmark"](spark, docs, SF).collect()]
-    assert sorted(got) == sorted([(1, fish), (7, fish), (7, ship), (7, ship)])
+    assert sorted(got, key=str) == sorted([r for r in rows if r[1] != item], key=str)
 
 
 def test_run_gives_the_last_stage(spark):
