@@ -2,8 +2,9 @@
 
 Each stage is a function of (spark, docs, sf_dir), where ``docs`` is what the stage before kept. All
 but the last return the columns of ``documents``. Every stage decides by row: rows that share a ``doc_id``
-do not decide for each other, and of rows that repeat id and text one stays. A row without an id is judged
-for quality and contamination; it is never dropped as a copy. Null texts count as empty everywhere. Columns beside ``doc_id`` and ``text`` travel along and are never read.
+do not decide for each other, and of rows that repeat id and text one stays. A row without an id is judged like any
+other; it stays as the first of its copies only where none of them has an id. Null texts count as empty everywhere.
+Columns beside ``doc_id`` and ``text`` travel along and are never read.
 """
 
 from __future__ import annotations
@@ -30,10 +31,11 @@ def _without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
 
 
 def _copies(docs: DataFrame, row: str, found: DataFrame, group: str) -> DataFrame:
-    """Numbers of the rows with an id that are not the first of their group, by id, then by number; rows without an id come last."""
+    """Numbers of the rows that are not the first of their group, by id, then by number; rows without an id come last."""
     named = stage(found.select(F.col(row), F.col(group).alias("_group")).join(
-        docs.select(row, F.col("doc_id").cast("long").alias("_id")), row).where("_id IS NOT NULL"), "named")
-    first = named.groupBy("_group").agg(F.min(F.struct("_id", row)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+        docs.select(row, F.col("doc_id").cast("long").alias("_id")), row), "named")
+    order = F.struct(F.isnull("_id").alias("_unnamed"), "_id", row)
+    first = named.groupBy("_group").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n"))
     first = stage(first.where("_n > 1").select("_group", F.col(f"_first.{row}").alias("_kept")), "first")
     return stage(named.join(first, "_group").where(F.col(row) != F.col("_kept")).select(row), "copies")
 
