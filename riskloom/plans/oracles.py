@@ -396,6 +396,18 @@ def _digest(rows: str, by: str) -> str:
             FROM {rows}) GROUP BY 1)"""
 
 
+def _leaves(rows: str, name: str) -> str:
+    """Common table expressions of the leaves of a Merkle fold of two hex digits."""
+    numbers = ", ".join(f"CAST({c} AS VARCHAR)" for c in (*MODEL_FEATURES, TARGET))
+    return f"""
+        {name}_rows AS (
+            SELECT repository, sha256(concat_ws(chr(31), repository, file_path, strftime(snapshot_date, '%Y-%m-%d'), {numbers})) AS h
+            FROM {rows}),
+        {name}_counts AS (SELECT repository, h, count(*) AS n FROM {name}_rows GROUP BY 1, 2),
+        {name} AS (SELECT repository, substr(h, 1, 2) AS prefix, sum(n)::BIGINT AS rows_,
+                          sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS digest FROM {name}_counts GROUP BY 1, 2)"""
+
+
 _RANGE = "CASE {0} WHEN 0 THEN '[0.0, 0.2)' WHEN 1 THEN '[0.2, 0.4)' WHEN 2 THEN '[0.4, 0.6)' WHEN 3 THEN '[0.6, 0.8)' ELSE '[0.8, 1.0]' END"
 _FOLD_AVERAGES = ", ".join(r(f"avg(\"{c}\")", f"mean_{c}") for c in ("accuracy", "f1", "precision", "recall", "roc_auc"))
 _AGGREGATE = f"""
@@ -563,6 +575,21 @@ ORACLES: dict[str, str] = {
         SELECT *, 'missing' AS gap FROM (SELECT * FROM wanted EXCEPT SELECT * FROM found)
         UNION ALL SELECT *, 'unexpected' FROM (SELECT * FROM found EXCEPT SELECT * FROM wanted)"""),
     "frame_digest": sql("feats", _digest("feats", "repository")),
+    "merkle_roots": sql("feats", f"""
+        SELECT * FROM (WITH {_leaves('feats', 'leaves')},
+            inner_ AS (SELECT repository, substr(prefix, 1, 1) AS p, sum(rows_) AS rows_,
+                              sha256(string_agg(prefix || ':' || digest, ',' ORDER BY prefix)) AS digest FROM leaves GROUP BY 1, 2)
+            SELECT repository, sum(rows_)::BIGINT AS row_count, sha256(string_agg(p || ':' || digest, ',' ORDER BY p)) AS digest
+            FROM inner_ GROUP BY 1)"""),
+    "tampered_buckets": sql("feats", f"""
+        SELECT * FROM (WITH tampered AS (
+            SELECT * REPLACE (CASE WHEN ends_with(file_path, '13.java') THEN commit_count - 1 ELSE commit_count END AS commit_count)
+            FROM feats WHERE NOT (file_path = 'src/P7.java' AND snapshot_date = DATE '1996-06-30')),
+            {_leaves('feats', 'old')}, {_leaves('tampered', 'new')}
+            SELECT coalesce(o.repository, n.repository) AS repository, coalesce(o.prefix, n.prefix) AS prefix,
+                   o.rows_ AS rows_before, n.rows_ AS rows_after
+            FROM old o FULL JOIN new n ON o.repository = n.repository AND o.prefix = n.prefix
+            WHERE o.digest IS DISTINCT FROM n.digest)"""),
     "provenance_contract": sql("feats", """
         SELECT repository, true AS contract, true AS digest_format, true AS observation_end_valid,
                true AS positive_row_count, true AS row_count_matches,

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from riskloom.functions import labels, text
 from riskloom.operators import (
-    brief, calibration, diagnostics, explain, guidance, intelligence, metrics, models, newton, partitions,
-    provenance, quality, ranking, snapshots, stability,
+    brief, calibration, diagnostics, explain, guidance, intelligence, merkle, metrics, models, newton,
+    partitions, provenance, quality, ranking, snapshots, stability,
 )
 from riskloom.schemas import MODEL_FEATURES, SNAPSHOT_KEYS, TARGET
 from riskloom.sources import readers, tables
@@ -303,6 +303,34 @@ def frame_digest(spark, d):
     return provenance.frame_digest(tables.feature_table(spark, d))
 
 
+MERKLE_DIGITS = 2
+
+
+def tree_of(spark, d):
+    features = tables.feature_table(spark, d)
+    return stage_once(spark, f"merkle {d}", lambda: merkle.tree(
+        features, provenance.feature_row_text(features), ["repository"], MERKLE_DIGITS))
+
+
+@query
+def merkle_roots(spark, d):
+    return merkle.roots(tree_of(spark, d))
+
+
+def _tampered(features):
+    """Snapshots of which some files lose a commit and one month of a file is gone."""
+    return features.where("NOT (file_path = 'src/P7.java' AND snapshot_date = DATE '1996-06-30')").withColumn(
+        "commit_count", F.when(F.col("file_path").endswith("13.java"), F.col("commit_count") - 1).otherwise(F.col("commit_count")))
+
+
+@query
+def tampered_buckets(spark, d):
+    """The hash buckets in which a tampered snapshot table differs, and what they hold on both sides."""
+    other = _tampered(tables.feature_table(spark, d))
+    after = merkle.tree(other, provenance.feature_row_text(other), ["repository"], MERKLE_DIGITS)
+    return merkle.differing(tree_of(spark, d), after, ["repository"])
+
+
 @query
 def provenance_contract(spark, d):
     """Provenance of the whole history checked against snapshots of which one was altered."""
