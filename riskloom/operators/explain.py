@@ -100,10 +100,6 @@ def canonical_order() -> list[Column]:
             F.asc_nulls_last("snapshot_date"), F.asc_nulls_last("model"), F.asc_nulls_last("evaluation_mode")]
 
 
-def sort_explanations(explanations: DataFrame) -> DataFrame:
-    return explanations.orderBy(*canonical_order(), F.asc("feature_rank"))
-
-
 DRIVER_COLUMNS = ["top_risk_feature", "top_risk_contribution", "top_protective_feature",
                   "top_protective_contribution"]
 

@@ -314,10 +314,27 @@ def evaluate_cross(dataset: Dataset, validation_start: str, test_start: str, tes
     if same_project is not None:
         cross = comparison_rows(fold_rows, union(digests), calendar)
         out["same_project_comparison"] = stability.same_project_comparison(same_project, cross)
+    out["report"] = cross_report(out, calendar)
     out.update(report_tables(union(samples), True, **report_options))
     return out
 
 
+#: Sections of the cross-project record: each has a few rows a fold, model or predictor.
+CROSS_SECTIONS = ("folds", "aggregate", "model_selection", "selected_thresholds", "coefficient_stability",
+                  "feature_importance_stability", "dataset_shift", "generalization", "leakage_audit", "repository_summary")
+
+
+def cross_report(tables: dict[str, DataFrame], calendar) -> DataFrame:
+    """One nested record of a cross-project run: protocol, calendar, and each section as a sorted array of its rows."""
+    row = tables["folds"].sparkSession.range(1).select(
+        F.lit(1).alias("_one"), F.lit(PROTOCOL).alias("protocol"), F.lit(CROSS_MODE).alias("evaluation_mode"),
+        *[F.lit(str(getattr(calendar, day))).alias(day) for day in ("validation_start", "test_start", "test_end")])
+    for name in CROSS_SECTIONS:
+        table = tables[name]
+        row = row.join(table.agg(F.lit(1).alias("_one"), F.sort_array(F.collect_list(F.struct(*table.columns))).alias(name)), "_one")
+    return row.drop("_one")
+
+
 def comparison_rows(fold_rows: DataFrame, digests: DataFrame, calendar) -> DataFrame:
     """Fold metrics with the protocol, calendar and test digest that a comparison must share."""
     rows = fold_rows.where(F.col("threshold_strategy") == STRATEGIES[1]).withColumnRenamed(

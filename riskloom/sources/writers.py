@@ -13,14 +13,6 @@ from riskloom.operators.provenance import verify_provenance
 from riskloom.sources.readers import stored_kind
 from riskloom.schemas import FEATURE_COLUMNS, HISTORY_COLUMNS, MODEL_FEATURES, TARGET
 
-REPORT_TABLES = [
-    "metrics", "model_comparison", "feature_importance", "confusion_matrix", "risk_ranking",
-    "risk_summary", "prediction_explanations", "explanation_summary", "actionable_insights",
-    "project_intelligence", "developer_priority", "developer_risk_brief", "developer_actions",
-    "explanation_action_evaluation", "action_quality", "calibration", "threshold_analysis",
-    "calibration_summary",
-]
-
 
 def finite_or_null(df: DataFrame) -> DataFrame:
     """NaN and infinities become null, as JSON has neither."""
@@ -29,7 +21,6 @@ def finite_or_null(df: DataFrame) -> DataFrame:
     return df.withColumns(bad) if bad else df
 
 
-
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     """Write as parquet, csv or json; nested columns of a CSV become JSON text."""
     if kind == "csv":

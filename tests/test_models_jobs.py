@@ -202,7 +202,12 @@ def test_cross_report(spark, data, within, tmp_path):
     assert out["leakage_audit"].where(~F.col("passed")).count() == 0
     assert out["same_project_comparison"].count() == 0  # other test rows, so nothing is compared
     assert out["confusion_matrix"].select(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).first()[0] == 36
-    assert set(writers.write_cross_project(out, str(tmp_path / "cross"))) >= {"folds", "aggregate", "dataset_shift"}
+    paths = writers.write_cross_project(out, str(tmp_path / "cross"))
+    assert set(paths) >= {"folds", "aggregate", "dataset_shift", "report"}
+    record = spark.read.parquet(paths["report"]).collect()
+    assert len(record) == 1 and record[0]["test_start"] == T
+    assert len(record[0]["folds"]) == out["folds"].count() == 2 * 3 * 2  # folds, models, thresholds
+    assert {r["held_out_repository"] for r in record[0]["model_selection"]} == set(NAMES)
 
 
 def test_saved_model_documents_its_choice(spark, parted, tmp_path):
