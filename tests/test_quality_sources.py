@@ -9,7 +9,7 @@ from riskloom.operators.provenance import build_provenance, frame_digest, verify
 from riskloom.operators.quality import DataQualityError, clean_features, clean_history, history_report, require_columns
 from riskloom.operators.snapshots import build_snapshots, repository_summary
 from riskloom.sources import readers, writers
-from test_snapshots import BASE
+from test_snapshots import PAST
 
 
 @pytest.mark.parametrize("column,value,rule", [
@@ -17,14 +17,14 @@ from test_snapshots import BASE
     ("lines_added", "1.5", "not_whole_lines_added"), ("lines_deleted", "-2", "not_whole_lines_deleted"),
 ])
 def test_history_rules(spark, column, value, rule):
-    bad = history_frame(spark, BASE).withColumn(column, F.when(
-        F.col("commit_hash") == "c1", F.lit(value)).otherwise(F.col(column).cast("string")))
+    bad = history_frame(spark, PAST).withColumn(column, F.when(
+        F.col("commit_hash") == "p1", F.lit(value)).otherwise(F.col(column).cast("string")))
     with pytest.raises(DataQualityError, match=rule):
         clean_history(bad)
 
 
 def test_duplicate_changes(spark):
-    df = history_frame(spark, BASE + BASE[:1])
+    df = history_frame(spark, PAST + PAST[:1])
     report = {r["rule"]: r["violations"] for r in history_report(df).collect()}
     assert report["duplicate_key"] == 2
     with pytest.raises(DataQualityError, match="duplicate_key"):
@@ -59,11 +59,11 @@ def test_feature_label_duplicates_and_dates(spark):
 
 
 def test_csv_round_trip_keeps_line_breaks(spark, tmp_path):
-    rows = [(c[0], c[1], c[2], 'Fix "it"\nsecond, line', *c[4:]) if c[0] == "c3" else c for c in BASE]
+    rows = [(c[0], c[1], c[2], 'Fix "it"\nsecond, line', *c[4:]) if c[0] == "p3" else c for c in PAST]
     path = str(tmp_path / "history.csv")
     writers.write_history(history_frame(spark, rows), path, "csv")
     back = readers.read_history(spark, path)
-    assert back.where("commit_hash = 'c3'").first()["commit_message"] == 'Fix "it"\nsecond, line'
+    assert back.where("commit_hash = 'p3'").first()["commit_message"] == 'Fix "it"\nsecond, line'
     assert build_snapshots(back).count() == build_snapshots(history_frame(spark, rows)).count()
 
 
@@ -103,7 +103,7 @@ def test_digest_ignores_order_and_sees_changes(spark):
 @pytest.mark.parametrize("column,value", [("target", "other"), ("horizon_days", 30), ("feature_digest", "xyz"),
                                           ("observation_end", "never"), ("row_count", 1), ("schema_version", 2)])
 def test_tampered_provenance(spark, column, value):
-    history = history_frame(spark, BASE)
+    history = history_frame(spark, PAST)
     features = build_snapshots(history)
     made = build_provenance(history, features)
     verify_provenance(made, features)
@@ -112,7 +112,7 @@ def test_tampered_provenance(spark, column, value):
 
 
 def test_provenance_files(spark, tmp_path):
-    history = history_frame(spark, BASE + [("end", "dev1", "2024-12-31T00:00:00+00:00", "End", "src/B.java", 1, 0)])
+    history = history_frame(spark, PAST + [("end", "dev1", "2024-12-31T00:00:00+00:00", "End", "src/B.java", 1, 0)])
     features = build_snapshots(history)
     path = str(tmp_path / "features")
     writers.write_features(features, path, build_provenance(history, features))
