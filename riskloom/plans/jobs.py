@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators import brief, calibration, diagnostics, explain, guidance, intelligence
-from riskloom.operators import partitions, ranking, stability
+from riskloom.operators import partitions, ranking, records, stability
 from riskloom.operators.models import STRATEGIES, TrainingResult, train_baselines
 from riskloom.operators.newton import fit_logistic
 from riskloom.operators.provenance import build_provenance, frame_digest, provenance_ends, verify_provenance
@@ -140,6 +140,23 @@ def insight_tables(samples: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def stored(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables that are written as they are and read by a nested record as well."""
+    return {name: stage(table, name) for name, table in tables.items()}
+
+
+def intelligence_records(tables: dict[str, DataFrame], cutoff: float, cross_project: bool) -> dict[str, DataFrame]:
+    nested = stage(records.project_records(tables, cutoff), "records")
+    return {"project_intelligence": nested,
+            "project_intelligence_summary": records.project_overview(nested, cross_project)}
+
+
+def evaluation_records(tables: dict[str, DataFrame], cross_project: bool) -> dict[str, DataFrame]:
+    nested = stage(records.evaluation_records(tables), "records")
+    return {"explanation_action_evaluation": nested,
+            "action_evaluation_summary": records.evaluation_overview(nested, cross_project)}
+
+
 def report_tables(samples: DataFrame, cross_project: bool, cutoff: float = DEFAULT_CUTOFF,
                   top_risk: int = TOP_RISK, explain_top_k: int | None = None,
                   bins: int = calibration.CALIBRATION_BINS,
@@ -157,6 +174,9 @@ def report_tables(samples: DataFrame, cross_project: bool, cutoff: float = DEFAU
     queue = stage(intelligence.priority_queue(scoped, cutoff), "queue")
     tiered = stage(brief.assign_tiers(queue, cutoff), "tiers")
     actions = stage(brief.action_queue(tiered, named, cutoff), "actions")
+    sections = stored(intelligence_tables(scoped, named, cutoff))
+    evaluation = stored(diagnostics.evaluate_actions(
+        rows, diagnostics.sample_contexts(samples, explain_top_k), actions, cutoff))
     return {
         "risk_ranking": rows,
         "risk_summary": ranking.risk_summary(rows, cutoff),
@@ -164,14 +184,15 @@ def report_tables(samples: DataFrame, cross_project: bool, cutoff: float = DEFAU
         "prediction_explanations": retained,
         **explanation_tables(with_top(samples, explain_top_k)),
         **insight_tables(samples),
-        **intelligence_tables(scoped, named, cutoff),
+        **sections,
+        **intelligence_records(sections | {"developer_priority": queue}, cutoff, cross_project),
         "developer_priority": queue,
         "top_priorities": intelligence.top_priorities(queue),
         "developer_risk_brief": brief.executive_summary(scoped, named, tiered, cutoff),
         "developer_actions": actions,
         "top_actions": brief.top_actions(actions),
-        **diagnostics.evaluate_actions(
-            rows, diagnostics.sample_contexts(samples, explain_top_k), actions, cutoff),
+        **evaluation,
+        **evaluation_records(evaluation, cross_project),
         **calibration.calibrate(rows, cross_project, bins, thresholds),
     }
 
@@ -198,7 +219,7 @@ def resume_report(tables: dict[str, DataFrame], cutoff: float = DEFAULT_CUTOFF,
     if missing("actionable_insights"):
         fill(insight_tables(samples))
     if missing("project_summary", "hotspots"):
-        fill(intelligence_tables(scoped, named, cutoff))
+        fill(stored(intelligence_tables(scoped, named, cutoff)))
     if missing("developer_priority"):
         fill({"developer_priority": stage(intelligence.priority_queue(scoped, cutoff), "queue")})
     if missing("developer_risk_brief", "developer_actions"):
@@ -206,7 +227,11 @@ def resume_report(tables: dict[str, DataFrame], cutoff: float = DEFAULT_CUTOFF,
         fill({"developer_risk_brief": brief.executive_summary(scoped, named, tiered, cutoff),
               "developer_actions": stage(brief.action_queue(tiered, named, cutoff), "actions")})
     if missing("action_quality", "explanation_stability"):
-        fill(diagnostics.evaluate_actions(rows, retained, out["developer_actions"], cutoff))
+        fill(stored(diagnostics.evaluate_actions(rows, retained, out["developer_actions"], cutoff)))
+    if missing("project_intelligence"):
+        fill(intelligence_records(out, cutoff, cross_project))
+    if missing("explanation_action_evaluation"):
+        fill(evaluation_records(out, cross_project))
     if missing("calibration", "threshold_analysis", "calibration_summary"):
         fill(calibration.calibrate(rows, cross_project))
     return out

@@ -135,9 +135,13 @@ def read_report(spark: SparkSession, root: str, kind: str = "parquet") -> dict[s
     return {n: read_artifact(spark, f"{root.rstrip('/')}/{n}", stored_kind(n, kind)) for n in names}
 
 
+#: Tables of a report whose rows are nested records.
+NESTED_TABLES = ("report", "project_intelligence", "explanation_action_evaluation")
+
+
 def stored_kind(name: str, kind: str) -> str:
-    """Summaries of a CSV report are JSON."""
-    return "json" if kind == "csv" and name.endswith("summary") else kind
+    """Summaries and nested records of a CSV report are JSON."""
+    return "json" if kind == "csv" and (name.endswith("summary") or name in NESTED_TABLES) else kind
 
 
 def load_model(spark: SparkSession, root: str) -> FittedModel:
