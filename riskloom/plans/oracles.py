@@ -408,6 +408,28 @@ def _leaves(rows: str, name: str) -> str:
                           sha256(string_agg(h || ':' || n, ',' ORDER BY h)) AS digest FROM {name}_counts GROUP BY 1, 2)"""
 
 
+def _split_checks(rows: str) -> str:
+    """The temporal checks over split rows (part, reason, obs), as tables of a WITH clause."""
+    return f"""
+        per_part AS (SELECT part, bool_and(snapshot_date + 90 <= obs) AS observed,
+                            bool_and(CASE part WHEN 'train' THEN snapshot_date + 90 < {V}
+                                     WHEN 'validation' THEN snapshot_date >= {V} AND snapshot_date + 90 < {T}
+                                     ELSE snapshot_date >= {T} AND snapshot_date <= (SELECT min(obs) - 90 FROM ends) END) AS eligible
+                     FROM {rows} WHERE part IS NOT NULL GROUP BY 1),
+        checks AS (
+            SELECT part || '_not_empty' AS "check", true AS passed FROM per_part
+            UNION ALL SELECT part || '_labels_observed', observed FROM per_part
+            UNION ALL SELECT part || '_temporal_eligibility', eligible FROM per_part
+            UNION ALL SELECT 'row_accounting', count(part) + count(reason) = count(*) FROM {rows}
+            UNION ALL SELECT 'exclusion_accounting', count(*) FILTER (part IS NOT NULL AND reason IS NOT NULL) = 0 FROM {rows}
+            UNION ALL SELECT 'disjoint_sample_identities', count(*) = 0 FROM (SELECT 1 FROM {rows} WHERE part IS NOT NULL
+                             GROUP BY repository, file_path, snapshot_date HAVING count(DISTINCT part) > 1)
+            UNION ALL SELECT 'whole_repository_date_groups', count(*) = 0 FROM (SELECT 1 FROM {rows} WHERE part IS NOT NULL
+                             GROUP BY repository, snapshot_date HAVING count(DISTINCT part) > 1)
+            UNION ALL SELECT 'ordered_calendar_boundaries', {V} < {T} AND {T} <= min(obs) - 90 FROM ends
+            UNION ALL SELECT 'common_observation_coverage', (min(obs) - 90) + 90 <= min(obs) FROM ends)"""
+
+
 _RANGE = "CASE {0} WHEN 0 THEN '[0.0, 0.2)' WHEN 1 THEN '[0.2, 0.4)' WHEN 2 THEN '[0.4, 0.6)' WHEN 3 THEN '[0.6, 0.8)' ELSE '[0.8, 1.0]' END"
 _FOLD_AVERAGES = ", ".join(r(f"avg(\"{c}\")", f"mean_{c}") for c in ("accuracy", "f1", "precision", "recall", "roc_auc"))
 _AGGREGATE = f"""
@@ -595,6 +617,49 @@ ORACLES: dict[str, str] = {
                true AS positive_row_count, true AS row_count_matches,
                repository <> 'EUROPE' OR count(*) FILTER (file_age_days = 0) = 0 AS digest_matches
         FROM feats GROUP BY 1"""),
+    "tampered_audit": sql("parted", f"""
+        WITH d AS (SELECT * REPLACE (CASE WHEN repository = 'ASIA' AND part = 'test' AND starts_with(file_path, 'src/P1') THEN 'train'
+                          WHEN repository = 'EUROPE' AND part = 'train' AND month(snapshot_date) % 3 = 0
+                               AND ends_with(file_path, '7.java') THEN 'test' ELSE part END AS part)
+                   FROM parted WHERE NOT (repository = 'AMERICA' AND coalesce(part, '') = 'validation')),
+             {_split_checks('d')},
+             now_ AS (SELECT repository, file_path, snapshot_date, part FROM d WHERE part IS NOT NULL),
+             then_ AS (SELECT repository, file_path, snapshot_date, part FROM parted WHERE part IS NOT NULL)
+        SELECT * FROM checks
+        UNION ALL SELECT 'repository_coverage', count(DISTINCT (part, repository)) = 3 * (SELECT count(*) FROM ends) FROM d WHERE part IS NOT NULL
+        UNION ALL SELECT 'source_row_accounting', bool_and(r.n + CAST(repository = 'AFRICA' AS INT) = l.n)
+                  FROM (SELECT repository, count(*) AS n FROM parted GROUP BY 1) r
+                  JOIN (SELECT repository, count(*) AS n FROM d GROUP BY 1) l USING (repository)
+        UNION ALL SELECT 'fixed_90_day_horizon', bool_and(CASE WHEN repository = 'AFRICA' THEN 60 ELSE 90 END = 90) FROM ends
+        UNION ALL SELECT 'rows_unchanged', count(*) = 0 FROM ((FROM now_ EXCEPT ALL FROM then_) UNION ALL (FROM then_ EXCEPT ALL FROM now_))"""),
+    "fold_leakage": sql("feats ends", f"""
+        WITH split AS (
+            SELECT *, CASE WHEN src AND s + 90 < {V} THEN 'train' WHEN src AND s >= {V} AND s + 90 < {T} THEN 'validation'
+                           WHEN NOT src AND s >= {T} AND s + 90 <= obs AND s <= (SELECT min(obs) - 90 FROM ends) THEN 'test' END AS own
+            FROM (SELECT f.*, f.snapshot_date AS s, e.obs, f.repository <> 'ASIA' AS src FROM feats f JOIN ends e USING (repository))),
+        d AS (SELECT *, CASE WHEN own IS NULL THEN 'some' END AS reason,
+                     CASE WHEN NOT src AND strftime(s, '%Y-%m') = '1994-06' THEN 'train' ELSE own END AS part FROM split),
+        {_split_checks('d')}
+        SELECT * FROM checks
+        UNION ALL SELECT 'repository_coverage', bool_and((part = 'test') <> src)
+                         AND count(DISTINCT (part, repository)) = 2 * (SELECT count(*) FROM ends) - 1 FROM d WHERE part IS NOT NULL
+        UNION ALL SELECT 'held_out_absent_from_training', count(*) = 0 FROM d WHERE NOT src AND part = 'train'
+        UNION ALL SELECT 'held_out_absent_from_validation', count(*) = 0 FROM d WHERE NOT src AND part = 'validation'
+        UNION ALL SELECT 'held_out_only_in_test', count(*) = 0 FROM d WHERE src AND part = 'test'
+        UNION ALL SELECT 'preprocessing_rows_match_training', count(*) FILTER (part = 'train') = count(*) FILTER (own = 'train') FROM d
+        UNION ALL SELECT unnest(['repository_excluded', 'file_path_excluded', 'snapshot_date_excluded', 'target_excluded',
+                                 'future_fields_excluded', 'predictors_match_whitelist']), true"""),
+    "damaged_provenance": sql("feats ends", """
+        SELECT repository, horizon = 90 AS contract, length(digest) = 64 AS digest_format,
+               try_cast(observed AS DATE) IS NOT NULL AS observation_end_valid, recorded > 0 AS positive_row_count,
+               recorded = live AS row_count_matches, length(digest) = 64 AND live = made AS digest_matches
+        FROM (SELECT repository, CASE WHEN repository = 'AFRICA' THEN 60 ELSE 90 END AS horizon,
+                     substr(sha256(repository), 1, CASE WHEN repository = 'AMERICA' THEN 63 ELSE 64 END) AS digest,
+                     CASE WHEN repository = 'ASIA' THEN '1998-02-30' ELSE CAST(obs AS VARCHAR) END AS observed,
+                     CASE WHEN repository = 'EUROPE' THEN 0 ELSE made END AS recorded, made, live
+              FROM (SELECT repository, count(*) AS made,
+                           count(*) FILTER (repository <> 'MIDDLE EAST' OR file_age_days > 0) AS live FROM feats GROUP BY 1)
+                   JOIN ends USING (repository))"""),
     "binary_metrics": sql("scored", f"""
         SELECT project, {r("'0.45'::DOUBLE", 'threshold')}, {r('(tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE)', 'accuracy')},
                {r('coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0)', '"precision"')},
@@ -860,6 +925,45 @@ ORACLES: dict[str, str] = {
                CAST(0 AS BIGINT) AS samples_with_unknown_risk
         FROM (SELECT project, count(*) AS evaluated_sample_count, count(*) FILTER (nonzero) AS explained_sample_count FROM vectors GROUP BY 1) v
         LEFT JOIN (SELECT project, count(*) AS action_count FROM quality GROUP BY 1) q ON v.project = q.project"""),
+    "project_intelligence": sql("hot profile shares trend queue files", f"""
+        SELECT g.project, CAST(g.part AS BIGINT) AS part, s.n AS total_evaluated_samples, {r('s.middle', 'median_predicted_risk')},
+               CASE WHEN g.part = 0 THEN 'file_path' END AS identifier_type, s.top_band AS top_band_count,
+               up.names AS dominant_risk_signals, down.names AS dominant_protective_signals,
+               {big('c.half', 'samples_for_half_of_risk')}, f.repeated_entities, coalesce(h.k, 0) AS hotspot_count, h.first_hotspot,
+               h.last_hotspot, up.strongest, t.periods, t.direction, {r('t.last_change', 'last_change')}, s.n AS queue_size, q.top_priorities
+        FROM (SELECT project, 0 AS part FROM shares UNION SELECT project, (i - 1) // 500 FROM hot) g
+        LEFT JOIN (SELECT project, 0 AS part, count(*) AS n, median(risk_score) AS middle,
+                          count(*) FILTER (risk_score >= '0.8'::DOUBLE) AS top_band FROM ranked GROUP BY 1) s USING (project, part)
+        LEFT JOIN (SELECT *, 0 AS part FROM shares) c USING (project, part)
+        LEFT JOIN (SELECT project, 0 AS part, count(*) FILTER (high >= 2) AS repeated_entities FROM files GROUP BY 1) f USING (project, part)
+        LEFT JOIN (SELECT project, 0 AS part, arg_min(feature, strong) AS strongest,
+                          string_agg(feature || ':' || k, '|' ORDER BY common) FILTER (common <= 3) AS names
+                   FROM profile WHERE direction = 'increases_risk' GROUP BY 1) up USING (project, part)
+        LEFT JOIN (SELECT project, 0 AS part, string_agg(feature || ':' || k, '|' ORDER BY common) FILTER (common <= 3) AS names
+                   FROM profile WHERE direction = 'decreases_risk' GROUP BY 1) down USING (project, part)
+        LEFT JOIN (SELECT project, (i - 1) // 500 AS part, count(*) AS k, arg_min(file_path, i) AS first_hotspot,
+                          arg_max(file_path, i) AS last_hotspot FROM hot GROUP BY 1, 2) h USING (project, part)
+        LEFT JOIN (SELECT project, 0 AS part, count(*) AS periods, arg_max(delta, period) AS last_change,
+                          CASE WHEN count(*) < 2 THEN 'not_available' WHEN arg_max(mean_risk, period) > arg_min(mean_risk, period)
+                          THEN 'increasing' WHEN arg_max(mean_risk, period) < arg_min(mean_risk, period) THEN 'decreasing'
+                          ELSE 'stable' END AS direction FROM trend GROUP BY 1) t USING (project, part)
+        LEFT JOIN (SELECT project, 0 AS part, string_agg(file_path || '@' || snapshot_date, '|' ORDER BY queue_rank) AS top_priorities
+                   FROM queue WHERE queue_rank <= 5 GROUP BY 1) q USING (project, part)"""),
+    "record_hotspots": sql("hot", f"""
+        SELECT project, i AS hotspot_rank, file_path AS identifier, high AS high_risk_count, {r('mass / n', 'mean_risk')} FROM hot"""),
+    "action_evaluation": sql("vectors pairs quality", f"""
+        SELECT v.project, v.n AS evaluated_sample_count, coalesce(a.n, 0) AS action_count, p.k AS stability_pair_count,
+               {r('p.mean_s', 'mean_explanation_similarity')}, {r('a.coverage', 'mean_evidence_coverage_score')},
+               coalesce(a.hot, 0) AS has_hotspot_evidence, coalesce(a.signalled, 0) AS has_signal_evidence,
+               {r('a.specific', 'mean_specificity_score')}, coalesce(a.moderate, 0) AS moderate_count,
+               coalesce(a.strong, 0) AS high_count, v.high AS high_risk_sample_count, {r('v.share', 'mean_top_feature_share')}
+        FROM (SELECT project, count(*) AS n, count(*) FILTER (risk_score >= 0.5::DOUBLE) AS high,
+                     avg(peak / total) FILTER (risk_score >= 0.5::DOUBLE AND nonzero) AS share FROM vectors GROUP BY 1) v
+        JOIN (SELECT project, count(similarity) AS k, avg(similarity) AS mean_s FROM pairs GROUP BY 1) p USING (project)
+        LEFT JOIN (SELECT project, count(*) AS n, avg(flags / 5::DOUBLE) AS coverage, count(*) FILTER (hotspot) AS hot,
+                          count(*) FILTER (signals > 0) AS signalled, avg(checks / 4::DOUBLE) AS specific,
+                          count(*) FILTER (checks = 2) AS moderate, count(*) FILTER (checks >= 3) AS strong
+                   FROM quality GROUP BY 1) a USING (project)"""),
     "calibration_bins": sql("bins", f"""
         SELECT project, {r('lo', 'bin_lower')}, {r('hi', 'bin_upper')}, k AS sample_count, {r('mean_score', 'mean_predicted_risk')},
                {r('rate', 'observed_defect_rate')} FROM bins"""),

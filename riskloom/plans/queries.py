@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from riskloom.functions import labels, text
 from riskloom.operators import (
     brief, calibration, diagnostics, explain, guidance, intelligence, merkle, metrics, models, newton,
-    partitions, provenance, quality, ranking, snapshots, stability,
+    partitions, provenance, quality, ranking, records, snapshots, stability,
 )
 from riskloom.schemas import MODEL_FEATURES, SNAPSHOT_KEYS, TARGET
 from riskloom.sources import readers, tables
@@ -342,6 +342,53 @@ def provenance_contract(spark, d):
     return provenance.contract_report(made, altered)
 
 
+@query
+def tampered_audit(spark, d):
+    """The audit of a split that was damaged after its digests were recorded.
+
+    Test rows of P1* files of ASIA are moved to training, quarter ends of P*7 files of EUROPE from training to
+    test, AMERICA has lost its validation rows, and AFRICA is recorded with a row too many and a short horizon.
+    """
+    parted = parted_of(spark, d)
+    part, repository, file = F.col("partition"), F.col("repository"), F.col("file_path")
+    moved = F.when((repository == "ASIA") & (part == "test") & file.startswith("src/P1"), "train").when(
+        (repository == "EUROPE") & (part == "train") & (F.month("snapshot_date") % 3 == 0) & file.endswith("7.java"), "test")
+    damaged = parted.withColumn("partition", F.coalesce(moved, part)).where(
+        ~((repository == "AMERICA") & (part == "validation")))
+    recorded = provenance.frame_digest(parted.where(part.isNotNull()), ["partition"])
+    rows = parted.groupBy("repository").agg(F.count(F.lit(1)).alias("row_count"))
+    facts = rows.select("repository", (F.col("row_count") + (repository == "AFRICA").cast("long")).alias("row_count"),
+                        F.when(repository == "AFRICA", 60).otherwise(90).cast("long").alias("horizon_days"))
+    return partitions.audit_partitions(damaged, ends_of(spark, d), calendar_of(spark, d), None, facts, recorded)
+
+
+@query
+def fold_leakage(spark, d):
+    """The audit of the fold that holds out ASIA, with its rows of one month leaked into training."""
+    calendar = calendar_of(spark, d)
+    parted = partitions.apply_calendar(tables.feature_table(spark, d), ends_of(spark, d), calendar, "ASIA")
+    leaked = parted.withColumn("partition", F.when(
+        (F.col("repository") == "ASIA") & (F.date_format("snapshot_date", "yyyy-MM") == "1994-06"), "train").otherwise(
+        F.col("partition")))
+    fitted = parted.where("partition = 'train'").count()
+    audit = partitions.audit_partitions(leaked, ends_of(spark, d), calendar, "ASIA")
+    return partitions.fold_audit(audit, leaked, "ASIA", MODEL_FEATURES, fitted)
+
+
+@query
+def damaged_provenance(spark, d):
+    """Contract flags of provenance rows of which each repository breaks another clause."""
+    features = tables.feature_table(spark, d)
+    rows = provenance.build_provenance(tables.history_table(spark, d), features)
+    at = F.col("repository")
+    broken = rows.withColumns({
+        "horizon_days": F.when(at == "AFRICA", 60).otherwise(F.col("horizon_days")).cast("long"),
+        "feature_digest": F.when(at == "AMERICA", F.substring("feature_digest", 1, 63)).otherwise(F.col("feature_digest")),
+        "observation_end": F.when(at == "ASIA", "1998-02-30").otherwise(F.col("observation_end")),
+        "row_count": F.when(at == "EUROPE", F.lit(0).cast("long")).otherwise(F.col("row_count"))})
+    return provenance.contract_report(broken, features.where("repository <> 'MIDDLE EAST' or file_age_days > 0"))
+
+
 # Metrics.
 
 @query
@@ -694,6 +741,80 @@ def evaluation_counts(spark, d):
     return diagnostics.evaluation_counts(vectors_of(spark, d), quality_of(spark, d))
 
 
+RECORD_PAGE = 500
+
+
+def records_of(spark, d):
+    """The stored intelligence records, with pages small enough that large projects have several parts."""
+    def build() -> DataFrame:
+        rows, samples = ranking_of(spark, d), tables.scored_table(spark, d)
+        sections = {name: f(rows) for name, f in (
+            ("project_summary", intelligence.project_summary), ("risk_bands", intelligence.risk_bands),
+            ("risk_concentration", intelligence.risk_concentration),
+            ("repeated_concentration", intelligence.repeated_concentration))}
+        trend = intelligence.monthly_trend(rows, samples)
+        return records.project_records(sections | {
+            "hotspots": intelligence.hotspots(rows, samples), "signal_profile": intelligence.signal_profile(samples),
+            "monthly_trend": trend, "trend_direction": intelligence.trend_direction(trend),
+            "unsupported_analyses": intelligence.unsupported_analyses(rows, samples),
+            "developer_priority": queue_of(spark, d)}, page=RECORD_PAGE)
+
+    return stage_once(spark, f"records {d}", build)
+
+
+@query
+def project_intelligence(spark, d):
+    """Fields of every part of the nested records; those of later parts are null but for the hotspots."""
+    def named(signals) -> F.Column:
+        return F.transform(signals, lambda s: F.concat_ws(":", s["feature"], s["occurrence_count"].cast("string")))
+
+    s, t, q = F.col("summary"), F.col("temporal_analysis"), F.col("developer_priority")
+    return records_of(spark, d).select(
+        "project", "part", s["total_evaluated_samples"].alias("total_evaluated_samples"),
+        s["median_predicted_risk"].alias("median_predicted_risk"), s["identifier_type"].alias("identifier_type"),
+        F.try_element_at(s["risk_score_distribution"], F.lit(5))["sample_count"].alias("top_band_count"),
+        named(s["dominant_risk_signals"]).alias("dominant_risk_signals"),
+        named(s["dominant_protective_signals"]).alias("dominant_protective_signals"),
+        F.col("risk_concentration.samples_for_half_of_risk").alias("samples_for_half_of_risk"),
+        F.col("risk_concentration.repeated_high_risk_entities.repeated_high_risk_entity_count").alias("repeated_entities"),
+        F.array_size("hotspots").alias("hotspot_count"),
+        F.try_element_at("hotspots", F.lit(1))["identifier"].alias("first_hotspot"),
+        F.try_element_at("hotspots", F.lit(-1))["identifier"].alias("last_hotspot"),
+        F.try_element_at(F.col("risk_signal_profile.strongest_risk_contributors"), F.lit(1))["feature"].alias("strongest"),
+        F.array_size(t["periods"]).alias("periods"), t["direction"].alias("direction"),
+        F.try_element_at(t["periods"], F.lit(-1))["change_in_mean_risk"].alias("last_change"),
+        q["queue_size"].alias("queue_size"),
+        F.transform(q["top_priorities"], lambda p: F.concat_ws(
+            "@", p["identifier"], p["snapshot_date"])).alias("top_priorities"))
+
+
+@query
+def record_hotspots(spark, d):
+    """The hotspots flattened from all parts of the stored records."""
+    return records.project_sections(records_of(spark, d))["hotspots"].select(
+        "project", "hotspot_rank", "identifier", "high_risk_count", "mean_risk")
+
+
+@query
+def action_evaluation(spark, d):
+    """The nested diagnostics of every project, field by field."""
+    vectors, quality_rows = vectors_of(spark, d), quality_of(spark, d)
+    nested = records.evaluation_records({
+        "evaluation_counts": diagnostics.evaluation_counts(vectors, quality_rows),
+        "explanation_stability": diagnostics.stability(vectors),
+        "evidence_coverage": diagnostics.coverage_summary(quality_rows),
+        "action_specificity": diagnostics.specificity_summary(quality_rows),
+        "risk_explanation_alignment": diagnostics.alignment(vectors)})
+    return nested.select(
+        "project", "evaluation_counts.evaluated_sample_count", "evaluation_counts.action_count",
+        "explanation_stability.stability_pair_count", "explanation_stability.mean_explanation_similarity",
+        "evidence_coverage.mean_evidence_coverage_score", "evidence_coverage.flag_counts.has_hotspot_evidence",
+        "evidence_coverage.flag_counts.has_signal_evidence", "action_specificity.mean_specificity_score",
+        F.col("action_specificity.specificity_label_counts.MODERATE").alias("moderate_count"),
+        F.col("action_specificity.specificity_label_counts.HIGH").alias("high_count"),
+        "risk_explanation_alignment.high_risk_sample_count", "risk_explanation_alignment.mean_top_feature_share")
+
+
 @query
 def calibration_bins(spark, d):
     return calibration.calibration_bins(ranking_of(spark, d))
