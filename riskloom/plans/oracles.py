@@ -272,6 +272,22 @@ CTES: dict[str, tuple[list[str], str]] = {
               FROM actions a JOIN (SELECT sample_id, count(*) FILTER (c <> 0) AS k,
                                           list(feature) FILTER (c <> 0) AS names
                                    FROM expl GROUP BY 1) USING (sample_id))"""),
+    "muddled": (["ranked", "expl"], """
+        SELECT *, copies = 1 AND fit AS ok, copies = 1 AND fit AND complete_ AND nz AS usable
+        FROM (SELECT project, file_path, snapshot_date, model, sum(n) AS copies, sum(n * high) AS high_copies,
+                     bool_and(fit) AND project IS NOT NULL AS fit, any_value(kept) AS kept, any_value(k % 5 <> 0) AS complete_,
+                     any_value(nz) AS nz, any_value(names) AS names, any_value(weights) AS weights, any_value(peak) AS peak,
+                     any_value(total) AS total, any_value(space) AS space
+              FROM (SELECT CASE WHEN k % 13 <> 0 THEN r.project END AS project, r.file_path, r.snapshot_date,
+                           CASE WHEN k % 17 <> 0 THEN 'logistic_regression' END AS model, CASE WHEN k % 11 = 0 THEN 2 ELSE 1 END AS n,
+                           CAST(r.risk_score >= 0.5::DOUBLE AS INT) AS high, k % 7 <> 0 AND k % 19 <> 0 AS fit, v.*,
+                           CASE WHEN r.project = 'AFRICA' AND k % 2 = 0 THEN 'probability' ELSE 'log_odds' END AS space
+                    FROM ranked r JOIN (
+                        SELECT sample_id, k, count(*) AS kept, bool_or(c <> 0) AS nz, list(feature ORDER BY feature) AS names,
+                               list(c ORDER BY feature) AS weights, max(abs(c)) AS peak, sum(abs(c)) AS total
+                        FROM (SELECT *, CAST(regexp_extract(file_path, '([0-9]+)', 1) AS INT) AS k FROM expl)
+                        WHERE feature <> 'code_churn' OR k % 5 <> 0 GROUP BY 1, 2) v USING (sample_id))
+              GROUP BY 1, 2, 3, 4)"""),
     "damaged": (["history"], """
         SELECT repository, commit_hash, CASE WHEN n % 97 = 0 THEN '  ' ELSE author_name END AS author_name,
                CASE WHEN n % 89 = 0 THEN 'not a date' ELSE strftime(commit_date, '%Y-%m-%d') END AS commit_date,
@@ -925,6 +941,48 @@ ORACLES: dict[str, str] = {
                CAST(0 AS BIGINT) AS samples_with_unknown_risk
         FROM (SELECT project, count(*) AS evaluated_sample_count, count(*) FILTER (nonzero) AS explained_sample_count FROM vectors GROUP BY 1) v
         LEFT JOIN (SELECT project, count(*) AS action_count FROM quality GROUP BY 1) q ON v.project = q.project"""),
+    "muddled_match": sql("muddled", f"""
+        SELECT project, file_path AS path, snapshot_date, model, {big('copies', 'copies')}, {big('high_copies', 'high_copies')},
+               CASE WHEN ok THEN kept END AS features, CASE WHEN ok THEN complete_ END AS complete, ok AND nz AS nonzero FROM muddled"""),
+    "muddled_stability": sql("muddled", f"""
+        SELECT project, {r('avg(similarity)', 'mean_explanation_similarity')}, {r('median(similarity)', 'median_explanation_similarity')},
+               count(*) FILTER (similarity IS NOT NULL OR following IS NOT NULL) AS stability_sample_count,
+               count(similarity) AS stability_pair_count
+        FROM (SELECT *, lead(similarity) OVER (PARTITION BY project, file_path ORDER BY snapshot_date) AS following
+              FROM (SELECT *, CASE WHEN usable AND p_usable AND names = p_names AND gap <= 62 THEN
+                           least(1::DOUBLE, greatest(-1::DOUBLE, list_cosine_similarity(weights, p_weights))) END AS similarity
+                    FROM (SELECT *, lag(usable) OVER w AS p_usable, lag(names) OVER w AS p_names, lag(weights) OVER w AS p_weights,
+                                 date_diff('day', CAST(lag(snapshot_date) OVER w AS DATE), CAST(snapshot_date AS DATE)) AS gap
+                          FROM muddled WHERE project IS NOT NULL
+                          WINDOW w AS (PARTITION BY project, file_path ORDER BY snapshot_date)))) GROUP BY 1"""),
+    "muddled_alignment": sql("muddled", f"""
+        SELECT project, {big('sum(high_copies)', 'high_risk_sample_count')}, count(*) FILTER (explained) AS explained_high_risk_count,
+               {r('count(*) FILTER (explained) / nullif(CAST(sum(high_copies) AS DOUBLE), 0)', 'explanation_coverage_rate')},
+               {r('avg(peak / total) FILTER (explained AND complete_)', 'mean_top_feature_share')},
+               {r('CASE WHEN count(DISTINCT space) FILTER (explained) = 1 THEN avg(total) FILTER (explained AND complete_) END', 'mean_explanation_strength')},
+               count(*) FILTER (explained AND complete_) AS top_feature_share_sample_count,
+               CASE WHEN count(DISTINCT space) FILTER (explained) = 1 THEN count(*) FILTER (explained AND complete_) ELSE 0 END AS explanation_strength_sample_count
+        FROM (SELECT *, ok AND nz AND high_copies > 0 AS explained FROM muddled) GROUP BY 1"""),
+    "excluded_projects": sql("ranked", f"""
+        SELECT count(*) FILTER (rank % 9 = 0 OR rank % 14 = 0) AS excluded_unknown_project_samples, count(*) AS total_samples,
+               count(DISTINCT project) FILTER (rank % 9 <> 0 AND rank % 14 <> 0) AS projects,
+               count(*) FILTER (rank % 9 <> 0 AND rank % 14 <> 0) AS calibrated_samples FROM ranked"""),
+    "partition_quality": sql("parted", f"""
+        WITH d AS (SELECT part, repository, file_path, {TARGET} AS y, code_churn AS c,
+                          CASE WHEN file_age_days % 53 <> 4 THEN snapshot_date END AS s
+                   FROM parted, (SELECT unnest([1, 2]) AS copy) WHERE part IS NOT NULL AND (copy = 1 OR file_age_days % 61 = 7))
+        SELECT CAST(0 AS BIGINT) AS position, 'invalid_date_snapshot_date' AS rule, count(*) FILTER (s IS NULL) AS violations FROM d
+        UNION ALL SELECT 1, 'not_binary_{TARGET}', count(*) FILTER (c % 37 = 5) FROM d
+        UNION ALL SELECT 2, 'duplicate_key', CAST(coalesce(sum(n), 0) AS BIGINT)
+                  FROM (SELECT count(*) AS n FROM d GROUP BY part, repository, file_path, s HAVING count(*) > 1)"""),
+    "dataset_summary": sql("parted", f"""
+        SELECT count(*) AS snapshots, count(DISTINCT repository || '|' || file_path) AS distinct_files,
+               {big(f'sum({TARGET})', 'positives')}, {big(f'count(*) - sum({TARGET})', 'negatives')},
+               {r(f'sum({TARGET}) * 100.0 / count(*)', 'positive_percentage')}, CAST(8 AS BIGINT) AS predictors,
+               count(DISTINCT repository) AS repositories, {day('min(snapshot_date)', 'start_date')}, {day('max(snapshot_date)', 'end_date')},
+               (SELECT string_agg(part || ':' || n || ':' || p, '|' ORDER BY part) FROM (
+                    SELECT part, count(*) AS n, CAST(sum({TARGET}) AS BIGINT) AS p FROM parted WHERE part IS NOT NULL GROUP BY 1)) AS splits
+        FROM parted WHERE part IS NOT NULL"""),
     "project_intelligence": sql("hot profile shares trend queue files", f"""
         SELECT g.project, CAST(g.part AS BIGINT) AS part, s.n AS total_evaluated_samples, {r('s.middle', 'median_predicted_risk')},
                CASE WHEN g.part = 0 THEN 'file_path' END AS identifier_type, s.top_band AS top_band_count,

@@ -243,6 +243,28 @@ def score_quality(spark, d):
     return quality.score_report(rows)
 
 
+@query
+def partition_quality(spark, d):
+    """The rules of retained partitions over rows with lost days, bad labels and copies."""
+    rows = parted_of(spark, d)
+    rows = rows.unionByName(rows.where(F.col("file_age_days") % 61 == 7)).withColumns({
+        "snapshot_date": F.when(F.col("file_age_days") % 53 != 4, F.col("snapshot_date")),
+        TARGET: F.when(F.col("code_churn") % 37 == 5, 2).otherwise(F.col(TARGET))})
+    return quality.partition_report(rows)
+
+
+@query
+def dataset_summary(spark, d):
+    """The summary row of a run, with the rows and positives of its partitions as text."""
+    from riskloom.plans.jobs import dataset_summary as summarize
+
+    rows = summarize(parted_of(spark, d))
+    return rows.withColumns({
+        "predictors": F.size("predictors"),
+        "splits": F.transform("splits", lambda s: F.concat_ws(
+            ":", s["partition"], s["row_count"].cast("string"), s["positives"].cast("string")))})
+
+
 @query
 def snapshot_summary(spark, d):
     return snapshots.snapshot_summary(tables.feature_table(spark, d))
@@ -741,6 +763,53 @@ def evaluation_counts(spark, d):
     return diagnostics.evaluation_counts(vectors_of(spark, d), quality_of(spark, d))
 
 
+def muddled_of(spark, d):
+    """Identities matched after damage by the number k in a file's name.
+
+    In the ranking copies (11), blanked projects (13) and unknown models (17); in the explanations a second context
+    (7), an unreadable contribution (5), a repeated feature (19), and in AFRICA another space for even numbers.
+    """
+    k = F.regexp_extract("file_path", "([0-9]+)", 1).cast("long")
+
+    def build() -> DataFrame:
+        rows = ranking_of(spark, d).select(
+            "project", "file_path", "snapshot_date", "model", "evaluation_mode", "risk_score", k.alias("k"))
+        rows = rows.select(
+            F.when(F.col("k") % 13 == 0, "  ").otherwise(F.col("project")).alias("project"), "file_path", "snapshot_date",
+            F.when(F.col("k") % 17 != 0, F.col("model")).alias("model"), "evaluation_mode", "risk_score",
+            F.explode(F.when(F.col("k") % 11 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+        long = retained_of(spark, d).withColumn("k", k)
+        churn = F.col("feature") == "code_churn"
+        long = long.withColumns({
+            "contribution": F.when(~(churn & (F.col("k") % 5 == 0)), F.col("contribution")),
+            "contribution_space": F.when((F.col("project") == "AFRICA") & (F.col("k") % 2 == 0), "probability").otherwise(
+                F.col("contribution_space"))})
+        second = long.where(F.col("k") % 7 == 0).withColumn("explanation_method", F.lit("other"))
+        again = long.where(churn & (F.col("k") % 19 == 0))
+        return diagnostics.matched_vectors(rows, long.unionByName(second).unionByName(again))
+
+    return stage_once(spark, f"muddled {d}", build)
+
+
+@query
+def muddled_match(spark, d):
+    """Only a unique identity with one context and distinct features carries a vector."""
+    return muddled_of(spark, d).select(
+        "project", "path", F.date_format("at", "yyyy-MM-dd").alias("snapshot_date"), "model", "copies", "high_copies",
+        F.array_size("v.weights").alias("features"), "v.complete", "nonzero")
+
+
+@query
+def muddled_stability(spark, d):
+    return diagnostics.stability(muddled_of(spark, d))
+
+
+@query
+def muddled_alignment(spark, d):
+    """The strength of AFRICA is null, as its contributions are in two spaces."""
+    return diagnostics.alignment(muddled_of(spark, d))
+
+
 RECORD_PAGE = 500
 
 
@@ -820,6 +889,17 @@ def calibration_bins(spark, d):
     return calibration.calibration_bins(ranking_of(spark, d))
 
 
+@query
+def excluded_projects(spark, d):
+    """Rows that a cross-project calibration leaves out, and the bins of the others."""
+    rows = ranking_of(spark, d).withColumn("project", F.when(F.col("rank") % 9 == 0, " ").when(
+        F.col("rank") % 14 == 0, F.lit(None)).otherwise(F.col("project")))
+    bins = calibration.calibration_bins(rows, cross_project=True).agg(
+        F.countDistinct("project").alias("projects"), F.sum("sample_count").alias("calibrated_samples"))
+    one = F.lit(1)  # either side has one row
+    return calibration.excluded_projects(rows).withColumn("_one", one).join(bins.withColumn("_one", one), "_one").drop("_one")
+
+
 @query
 def threshold_sweep(spark, d):
     return calibration.threshold_sweep(ranking_of(spark, d))
