@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.functions.labels import direction, predicted, ratio_or_zero, snap
 from riskloom.functions.text import sample_id
 from riskloom.schemas import EXPLANATION_COLUMNS, SAMPLE_KEYS
+from riskloom.staging import stage
 
 SAMPLE_COLUMNS = ["sample_id", *SAMPLE_KEYS]
 
@@ -172,72 +173,116 @@ def tree_nodes(model, path: str) -> DataFrame:
         (F.element_at(stats, 2) / F.aggregate(stats, F.lit(0.0), lambda a, x: a + x)).alias("p"))
 
 
-FOREST_NODES = 1_000_000
+PAGE_NODES = 4_096
+WALK_ROWS = 100_000
 
 
-def _tree_groups(nodes: DataFrame, most: int) -> list[list[int]]:
-    """Trees in groups of at most ``most`` nodes; a larger tree is a group of its own."""
-    groups: list[list[int]] = []
-    size = 0
-    for row in nodes.groupBy("tree").count().orderBy("tree").collect():  # one row per tree
-        if not groups or size + row["count"] > most:
-            groups.append([])
-            size = 0
-        groups[-1].append(row["tree"])
-        size += row["count"]
-    return groups
+def node_pages(nodes: DataFrame, size: int = PAGE_NODES) -> DataFrame:
+    """Stored pages of a node table: ``size`` successive numbers of one tree a row, in (tree, page) order.
+
+    Nodes are numbered from the root, 0, and a child must have a higher number than its parent, as in the
+    trees Spark fits. A walk therefore only moves on to later pages.
+    """
+    ahead = F.when((F.col("left") >= 0) & (F.least("left", "right") <= F.col("node")),
+                   F.raise_error(F.lit("A child must have a higher number than its parent."))).otherwise(F.col("left"))
+    cells = nodes.select("tree", F.floor(F.col("node") / size).alias("page"),
+                         F.struct("node", ahead.alias("left"), "right", "feature", "threshold", "p").alias("cell"))
+    paged = cells.groupBy("tree", "page").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    return stage(paged.repartitionByRange("tree", "page").sortWithinPartitions("tree", "page"), "nodes")
 
 
 def forest_drivers(df: DataFrame, nodes: DataFrame, features: Sequence[str],
-                   most_nodes: int = FOREST_NODES) -> DataFrame:
+                   page_nodes: int = PAGE_NODES) -> DataFrame:
     """Path contributions of a forest, averaged over its trees.
 
-    Every step from a node to its child adds the change in positive share to the split feature.
-    Trees are taken in groups of at most ``most_nodes`` nodes, each sent to the tasks and walked in one
-    pass over Arrow batches, all rows of a batch one tree level at a time.
+    Every step from a node to its child adds the change in positive share to the split feature. The node
+    table is stored in pages. A task reads them in order from the shared folder, a page at a time for up to
+    WALK_ROWS of its rows, and moves those whose walk has come to the page; a forest of any size passes
+    neither through the driver nor whole through memory, and rows are not shuffled.
     """
     from pyspark.sql import types as T
 
     names = list(features)
-    groups = _tree_groups(nodes, most_nodes)
-    paths = df.withColumn("_paths", F.array(*[F.lit(0.0)] * len(names)))
+    pages = node_pages(nodes, page_nodes)
+    trees = max(pages.select("tree").distinct().count(), 1)
     schema = T.StructType([*df.schema.fields, T.StructField("_paths", T.ArrayType(T.DoubleType()), True)])
-    for group in groups:
-        paths = paths.mapInPandas(_path_walk(nodes.where(F.col("tree").isin(group)), names), schema)
-    count = max(sum(map(len, groups)), 1)
-    entries = [driver(n, F.col(n), F.col(n), F.col("_paths")[i] / count) for i, n in enumerate(names)]
+    files = sorted(pages.inputFiles(), key=lambda name: name.rsplit("/", 1)[-1])
+    paths = df.mapInPandas(_page_walk(files, names, page_nodes), schema)
+    entries = [driver(n, F.col(n), F.col(n), F.col("_paths")[i] / trees) for i, n in enumerate(names)]
     return paths.withColumns({
         "drivers": F.sort_array(F.array(*entries)),
         "explanation_method": F.lit("tree_path_probability"),
         "contribution_space": F.lit("probability_delta")}).drop("_paths")
 
 
-def _path_walk(nodes: DataFrame, names: list[str]):
-    """A batch function that adds the path sums of the trees in ``nodes`` to ``_paths``."""
+def _read_pages(files: Sequence[str]):
+    """(tree, page, columns) of the stored pages, one held at a time."""
+    from pyarrow import fs, parquet
+
+    for name in files:
+        store, path = fs.FileSystem.from_uri(name)
+        with store.open_input_file(path) as source:
+            for batch in parquet.ParquetFile(source).iter_batches(batch_size=8):
+                for tree, page, cells in zip(*(batch.column(c) for c in ("tree", "page", "cells"))):
+                    yield tree.as_py(), page.as_py(), {
+                        c: cells.values.field(c).to_numpy(zero_copy_only=False)
+                        for c in ("node", "left", "right", "feature", "threshold", "p")}
+
+
+def _page_walk(files: Sequence[str], names: list[str], size: int):
+    """A batch function that adds ``_paths``, the path sums of all trees."""
     import numpy as np
     import pandas as pd
 
-    table = nodes.orderBy("tree", "node").toPandas()
-    trees = [tuple(t[c].to_numpy() for c in ("left", "right", "feature", "threshold", "p"))
-             for _, t in table.groupby("tree", sort=True)]
-    shared = nodes.sparkSession.sparkContext.broadcast(trees)
+    def portions(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= WALK_ROWS:
+                yield pd.concat(held, ignore_index=True)
+                held, rows = [], 0
+        if rows:
+            yield pd.concat(held, ignore_index=True)
+
+    def paths(x):
+        out = np.zeros(x.shape)
+        tree, waiting = None, np.empty(0, dtype=int)
+        for number, page, cells in _read_pages(files):
+            low, high = page * size, (page + 1) * size
+            if number != tree:
+                if waiting.size:
+                    raise ValueError(f"Tree {tree} names a node that it does not hold.")
+                tree, waiting = number, np.arange(len(x))
+                at, split, share = np.zeros(len(x), dtype=int), np.full(len(x), -1), np.zeros(len(x))
+            table = {c: np.full(size, -1) for c in ("left", "right", "feature")}
+            table |= {c: np.full(size, np.nan) for c in ("threshold", "p")}
+            for c, column in table.items():
+                column[cells["node"] - low] = cells[c]
+            here = waiting[at[waiting] < high]
+            waiting = waiting[at[waiting] >= high]
+            while here.size:
+                node = at[here] - low
+                if node.min() < 0 or np.isnan(table["p"][node]).any():
+                    raise ValueError(f"Tree {tree} names a node that it does not hold.")
+                moved = split[here] >= 0
+                out[here[moved], split[here[moved]]] += (table["p"][node] - share[here])[moved]
+                inner = table["left"][node] >= 0
+                here, node = here[inner], node[inner]
+                share[here], split[here] = table["p"][node], table["feature"][node]
+                at[here] = np.where(x[here, split[here]] <= table["threshold"][node],
+                                    table["left"][node], table["right"][node])
+                far = at[here] >= high
+                waiting = np.concatenate([waiting, here[far]])
+                here = here[~far]
+        if waiting.size:
+            raise ValueError(f"Tree {tree} names a node that it does not hold.")
+        return out
 
     def walk(batches):
-        for batch in batches:
-            x = batch[names].to_numpy(dtype=float)
-            rows = np.arange(len(x))
-            out = np.stack(batch["_paths"].to_list()).astype(float) if len(x) else np.zeros((0, len(names)))
-            for left, right, feature, threshold, p in shared.value:
-                at = np.zeros(len(x), dtype=int)
-                live = rows[left[at] >= 0]
-                while live.size:
-                    here = at[live]
-                    split = feature[here]
-                    nxt = np.where(x[live, split] <= threshold[here], left[here], right[here])
-                    np.add.at(out, (live, split), p[nxt] - p[here])
-                    at[live] = nxt
-                    live = live[left[nxt] >= 0]
-            yield batch.assign(_paths=pd.Series(list(out), index=batch.index))
+        for rows in portions(batches):
+            out = paths(rows[names].to_numpy(dtype=float))
+            yield rows.assign(_paths=pd.Series(list(out), index=rows.index))
 
     return walk
 

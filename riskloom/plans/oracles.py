@@ -1103,3 +1103,4 @@ ORACLES: dict[str, str] = {
             areas_ AS (SELECT rpt, feature, sum(pos * (tp / CAST(seen AS DOUBLE))) / sum(pos) AS ap FROM w GROUP BY 1, 2)
             SELECT a.feature, b.ap - a.ap AS gap FROM areas_ a, areas_ b WHERE b.rpt = -1 AND a.rpt >= 0) GROUP BY 2"""),
 }
+ORACLES["paged_explanations"] = ORACLES["tree_explanations"]

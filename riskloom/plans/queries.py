@@ -1038,19 +1038,29 @@ def _test_rows(spark, d):
     return parted_of(spark, d).where("partition = 'test'").select(*SNAPSHOT_KEYS, *MODEL_FEATURES)
 
 
-@query
-def tree_explanations(spark, d):
-    """Path contributions of a given forest, per repository and feature."""
+def _tree_summary(spark, d, page_nodes):
     nodes = spark.createDataFrame(
         [(t, n, a, b, -1 if f is None else MODEL_FEATURES.index(f), c, p) for t, n, a, b, f, c, p in FOREST],
         "tree int, node int, left int, right int, feature int, threshold double, p double")
-    rows = explain.forest_drivers(_test_rows(spark, d), nodes, MODEL_FEATURES)
+    rows = explain.forest_drivers(_test_rows(spark, d), nodes, MODEL_FEATURES, page_nodes)
     return rows.select("repository", F.explode("drivers").alias("x")).groupBy(
         F.col("repository").alias("project"), F.col("x.feature").alias("feature")).agg(
         F.avg("x.contribution").alias("mean_contribution"), F.avg(F.abs("x.contribution")).alias("mean_size"),
         F.count_if(F.col("x.contribution") > 0).alias("raised"), F.count(F.lit(1)).alias("samples"))
 
 
+@query
+def tree_explanations(spark, d):
+    """Path contributions of a given forest, per repository and feature."""
+    return _tree_summary(spark, d, explain.PAGE_NODES)
+
+
+@query
+def paged_explanations(spark, d):
+    """The same with trees cut into pages of two nodes, so that walks go from page to page."""
+    return _tree_summary(spark, d, 2)
+
+
 @query
 def median_perturbation(spark, d):
     """Moves of a given linear score to the medians, per repository and feature."""

@@ -83,14 +83,45 @@ def test_tree_paths_rebuild_the_probability(parted, fitted, spark, tmp_path):
     assert gap.agg(F.max("g")).first()[0] < 1e-9
 
 
-def test_tree_groups_give_the_same_paths(parted, fitted, tmp_path):
+def walked(table, x):
+    """Path sums of one row by a plain walk of every tree."""
+    out = dict.fromkeys(MODEL_FEATURES, 0.0)
+    for tree in {t for t, _ in table}:
+        node = table[tree, 0]
+        while node["left"] >= 0:
+            name = MODEL_FEATURES[node["feature"]]
+            child = table[tree, node["left"] if x[name] <= node["threshold"] else node["right"]]
+            out[name] += (child["p"] - node["p"]) / len({t for t, _ in table})
+            node = child
+    return out
+
+
+@pytest.mark.parametrize("size, rows", [(1, 7), (3, 100_000), (4_096, 50)])
+def test_pages_of_any_size_give_the_plain_paths(parted, fitted, tmp_path, monkeypatch, size, rows):
+    monkeypatch.setattr(explain, "WALK_ROWS", rows)
     nodes = explain.tree_nodes(fitted["random_forest"].forest, str(tmp_path / "forest"))
+    table = {(n["tree"], n["node"]): n for n in nodes.collect()}
+    if size == 3:  # walks cross several pages
+        assert max(n for _, n in table) // size >= 2
     test = parted.where("partition = 'test'").select("file_path", *MODEL_FEATURES)
-    whole, parts = (explain.forest_drivers(test, nodes, MODEL_FEATURES, most).select(
-        F.explode("drivers").alias("x")).groupBy("x.feature").agg(F.sum(F.abs("x.contribution")).alias("s")).collect()
-        for most in (10 ** 6, 1))
-    assert len(explain._tree_groups(nodes, 1)) == 4
-    assert {r[0]: round(r[1], 9) for r in whole} == {r[0]: round(r[1], 9) for r in parts}
+    got = explain.forest_drivers(test, nodes, MODEL_FEATURES, size).collect()
+    assert len(got) == test.count() > 0
+    for row in got:
+        want = walked(table, row)
+        assert {d["feature"]: d["contribution"] for d in row["drivers"]} == pytest.approx(want, abs=1e-9)
+
+
+def test_broken_trees_are_refused(spark, parted):
+    columns = "tree int, node int, left int, right int, feature int, threshold double, p double"
+    test = parted.limit(20).select("file_path", *MODEL_FEATURES)
+    lost = spark.createDataFrame([(0, 0, 1, 2, 0, -1.0, 0.5), (0, 1, -1, -1, -1, None, 0.1)], columns)
+    back = spark.createDataFrame([(0, 0, 1, 2, 0, 1.0, 0.5), (0, 1, 0, 2, 0, 1.0, 0.1), (0, 2, -1, -1, -1, None, 0.1)], columns)
+    for nodes, size in ((lost, 1), (lost, 100), (back, 100)):
+        with pytest.raises(Exception, match="names a node|higher number"):
+            explain.forest_drivers(test, nodes, MODEL_FEATURES, size).collect()
+    stump = spark.createDataFrame([(0, 0, -1, -1, -1, None, 0.5)], columns)
+    for nodes in (stump, stump.limit(0)):
+        assert all(d["contribution"] == 0 for r in explain.forest_drivers(test, nodes, MODEL_FEATURES).collect() for d in r["drivers"])
 
 
 def test_median_fallback(parted, fitted):
