@@ -31,8 +31,10 @@ def brute(docs, items, width=13):
     return out
 
 
-@pytest.mark.parametrize("block, chunk", [(phrases.BLOCK_BYTES, phrases.CHUNK_WORDS), (50_000, 300)])
-def test_query_against_sql(spark, monkeypatch, block, chunk):
+@pytest.mark.parametrize("block, chunk, piece", [
+    (phrases.BLOCK_BYTES, phrases.CHUNK_WORDS, phrases.PIECE_WORDS), (50_000, 300, phrases.PIECE_WORDS), (50_000, 300, 5)])
+def test_query_against_sql(spark, monkeypatch, block, chunk, piece):
+    monkeypatch.setattr(phrases, "PIECE_WORDS", piece)
     monkeypatch.setattr(phrases, "BLOCK_BYTES", block)
     monkeypatch.setattr(phrases, "CHUNK_WORDS", chunk)
     sf = "/root/testdata/sf0.001"
@@ -57,6 +59,17 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert len(clean) == odd_docs.count() and not any(r.contaminated or r.n_hit for r in clean)
 
 
+def test_pieces_hold_every_window_once(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "PIECE_WORDS", 4)
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in range(12)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    pieces = phrases.item_pieces(items, 3, "item_id", "text").collect()
+    assert max(len(p["words"]) for p in pieces) <= 6
+    for name, text in enumerate(texts):
+        got = sorted(w for p in pieces if p["item"] == str(name) for w in phrases.windows_of(p["words"], 3))
+        assert [tuple(map(bytes, w)) for w in got] == sorted(phrases.windows_of(phrases.words_of(text), 3))
+
+
 def test_near_matches_in_any_order(spark):
     docs = spark.createDataFrame([(1, "x blue red y green"), (2, "green red"), (3, "blue"), (4, "green a a a a a red blue")],
                                  "doc_id long, text string")
