@@ -31,7 +31,7 @@ from riskloom.staging import stage
 BLOCK_BYTES = 4_000_000
 CHUNK_WORDS = 100_000
 PIECE_WORDS = 2_000
-HELD_BLOCKS = 4
+HELD_BLOCKS = 2
 #: Fixed value of the contract: A-Z becomes a-z; digits, a-z and all bytes from 80 hex on are word bytes.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
