@@ -129,14 +129,20 @@ def interpolated(found: DataFrame, keys: Sequence[str], names: Sequence[str]) ->
     return each.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
 
 
+def images(df: DataFrame, group: Sequence[str], column: str, weight: str | None = None) -> DataFrame:
+    """(group, image, n) of the values of ``column`` that are not null: counted first, so an image is taken per value, not per row."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*group, F.col(column).cast("double").alias("_value")).agg(
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
+    return counts.select(*group, image(F.col("_value")).alias("image"), "n")
+
+
 def quantiles(df: DataFrame, group: Sequence[str], column: str, probabilities: dict[str, float],
               weight: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group, one column per name. Null values are left out, NaN is largest."""
     if not group:
         return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], column, probabilities, weight).drop("_all")
     group = list(group)
-    counts = stage(df.where(F.col(column).isNotNull()).groupBy(*group, image(F.col(column)).alias("image")).agg(
-        (F.sum(weight) if weight else F.count(F.lit(1))).alias("n")), "images")
+    counts = stage(images(df, group, column, weight), "images")
     wanted = counts.groupBy(*group).agg(F.sum("n").alias("_size")).select(
         *group, F.inline(ranks(F.col("_size"), probabilities)))
     return interpolated(order_statistics(counts, wanted, group), group, list(probabilities))

@@ -88,10 +88,9 @@ def dataset_shift(features: DataFrame, ends: DataFrame, calendar: Calendar) -> D
         F.when((label_end < v) | ((d >= v) & (label_end < t)), "training")
         .when((d >= t) & (d <= e) & (label_end <= F.col("observation_end")), "held_out"))
     rows = features.join(lookup(ends), "repository").withColumn("side", side).where("side is not null")
-    counts = stage(rows.select("repository", "side", F.inline(F.array(*[
-        F.struct(F.lit(f).alias("feature"), radix.image(F.col(f)).alias("image"))
-        for f in MODEL_FEATURES]))).where("image IS NOT NULL").groupBy("repository", "side", "feature", "image").agg(
-        F.count(F.lit(1)).alias("n")), "counts")
+    values = rows.select("repository", "side", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in MODEL_FEATURES])))
+    counts = stage(radix.images(values, ["repository", "side", "feature"], "value"), "counts")
     own = counts.groupBy("repository", "side", "feature").agg(F.sum("n").alias("own"))
     pooled = counts.where("side = 'training'").groupBy("feature").agg(F.sum("n").alias("pooled"))
     # Every repository is held out once; without training rows of its own it is left out of nothing.
