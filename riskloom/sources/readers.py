@@ -123,7 +123,7 @@ def read_ranking(spark: SparkSession, path: str, kind: str | None = None) -> Dat
     """A stored ranking for analyses that need no model; scores and thresholds must be in [0, 1]."""
     rows = read_artifact(spark, path, kind)
     require_columns(rows, ["risk_score"])
-    require(violations(rows, [unit_rule("risk_score")]))
+    require(violations(rows, [unit_rule(rows, "risk_score")]))
     return rows
 
 
