@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from riskloom import staging
 from riskloom.operators import explain, guidance, snapshots
 from riskloom.plans import queries
+from riskloom.schemas import MODEL_FEATURES
 from riskloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +54,27 @@ def test_strongest_drivers_and_facts_with_foreign_null_and_equal_drivers(spark):
     assert {i: r["_g"] and tuple(r["_g"]) for i, r in got.items()} == {
         1: ("code_churn", "commit_count", 2, 1), 2: (None, "lines_added", 0, 1), 3: (None, None, 0, 0), 4: None,
         5: (None, None, 0, 0)}
+
+
+def test_rows_between_the_same_thresholds_walk_once(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    nodes = spark.createDataFrame(
+        [(t, n, a, b, -1 if f is None else MODEL_FEATURES.index(f), c, p) for t, n, a, b, f, c, p in queries.FOREST],
+        "tree int, node int, left int, right int, feature int, threshold double, p double")
+    x = np.random.default_rng(1).integers(0, 300, (500, len(MODEL_FEATURES))).astype(float)
+    x[:, 0], x[:, 7], x[3, 0] = x[:, 0] % 9, x[:, 7] % 2, np.nan
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, x.T), pa.array(range(500))], names=[*MODEL_FEATURES, "id"])
+    seen = {}
+    for most in (explain.MOST_CUTS, 0):
+        for size in (2, 4_096):
+            monkeypatch.setattr(explain, "MOST_CUTS", most)
+            files = sorted(explain.node_pages(nodes, size).inputFiles(), key=lambda name: name.rsplit("/", 1)[-1])
+            cells = explain._cuts(files, len(MODEL_FEATURES))
+            assert (cells is None) == (most == 0) and (cells is None or sum(map(len, cells)) == 4)
+            out = list(explain._page_walk(files, MODEL_FEATURES, size)(iter([batch.slice(0, 300), batch.slice(300)])))
+            assert [b.num_rows for b in out] == [300, 200] and out[1].column(8).to_pylist() == list(range(300, 500))
+            seen[most, size] = np.array([r for b in out for r in b.column(9).to_pylist()])
+    first = seen.popitem()[1]
+    assert len({tuple(r) for r in first}) <= 16 and all(np.allclose(first, other, atol=1e-12) for other in seen.values())
