@@ -78,3 +78,11 @@ def test_rows_between_the_same_thresholds_walk_once(spark, monkeypatch):
             seen[most, size] = np.array([r for b in out for r in b.column(9).to_pylist()])
     first = seen.popitem()[1]
     assert len({tuple(r) for r in first}) <= 16 and all(np.allclose(first, other, atol=1e-12) for other in seen.values())
+
+
+def test_numbers_that_land_on_a_row_are_not_walked(spark):
+    from riskloom.operators.shuffles import permuted
+
+    moved = spark.range(103).select(permuted(F.col("id"), 103, F.lit("a")).alias("x"))
+    assert "ELSE aggregate(" in moved._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["x"] for r in moved.collect()) == list(range(103))
