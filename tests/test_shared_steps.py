@@ -86,3 +86,46 @@ def test_numbers_that_land_on_a_row_are_not_walked(spark):
     moved = spark.range(103).select(permuted(F.col("id"), 103, F.lit("a")).alias("x"))
     assert "ELSE aggregate(" in moved._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["x"] for r in moved.collect()) == list(range(103))
+
+
+def test_cleaned_texts_are_those_of_the_expression(spark):
+    from riskloom.functions.text import clean_text, with_clean_texts
+
+    odd = ["", " ", "\x0b", "\x00", "a", " a", "a\t", "\x1fa", "a\x01 ", " a", "é ", " é", "NaN", " Unknown\n", "unKnown", "UNKNOWN",
+           "Kunknown", "not_available", "not_available ", "not_availables", "İ", "none none", "漢 ", "\U0001f600 ", None, "< NA>", "<na>"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "id int, t string").withColumn("n", F.col("id").cast("long"))
+    wanted = rows.select("id", clean_text(F.col("t")).alias("t"), clean_text(F.col("n")).alias("n"))
+    got = with_clean_texts(rows, ["t", "n"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_long_rows_move_once_and_are_cleaned_in_their_place(spark):
+    from riskloom.operators import diagnostics
+
+    long = explain.to_long(tables.scored_table(spark, SF))
+    assert optimized_text(long).count("sort_array(") == 1
+    contexts = diagnostics.explanation_contexts(long)
+    assert contexts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    below = optimized_text(contexts).split("Generate inline")
+    assert len(below) == 2 and "isnotnull(path" in below[0] and "Filter" in below[0] and "isnotnull(trim" not in below[1]
+
+
+def test_long_table_is_not_stored_and_read_once_when_muddled(spark, monkeypatch):
+    plans = {}
+    monkeypatch.setattr(queries, "stage_once", lambda _, name, build: plans.setdefault(name, build()))
+    queries.ranking_of(spark, SF)
+    text = optimized_text(queries.muddled_of(spark, SF))
+    assert f"retained {SF}" not in plans and text.count("posexplode") == 1 and "Union" not in text
+
+
+def test_empty_and_missing_drivers_have_no_long_rows(spark):
+    drivers = "array<struct<k double, feature string, feature_value double, model_input_value double, contribution double>>"
+    rows = spark.createDataFrame([("a", [(-1.0, "f", 1.0, 1.0, 1.0), None]), ("b", []), ("c", None)], f"file_path string, drivers {drivers}")
+    full = rows.select(F.lit("p").alias("project"), "file_path", F.lit("2000-01-31").alias("snapshot_date"), F.lit("m").alias("model"), F.lit(
+        "e").alias("evaluation_mode"), F.lit(0.1).alias("risk_score"), F.lit(0).alias("true_label"), F.lit(0.5).alias("decision_threshold"),
+        "drivers", F.lit("x").alias("explanation_method"), F.lit("y").alias("contribution_space"))
+    assert [(r["file_path"], r["feature"], r["feature_rank"]) for r in explain.to_long(full).collect()] == [("a", "f", 1), ("a", None, 2)]
+
+
+def optimized_text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
