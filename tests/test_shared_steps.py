@@ -129,3 +129,18 @@ def test_empty_and_missing_drivers_have_no_long_rows(spark):
 
 def optimized_text(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_driver_lists_are_taken_once_where_they_are_exploded(spark):
+    from riskloom.operators import intelligence
+
+    scored = tables.scored_table(spark, SF)
+    for rows in (explain.average_magnitudes(scored), explain.common_directions(scored), guidance.common_signals(scored),
+                 intelligence.top_signals(scored, ["project"])):
+        text = optimized_text(rows)
+        assert text.count("array(struct(k, ") == 1 and "size(" not in text
+
+
+def test_driver_rows_keep_empty_entries_and_drop_empty_lists(spark):
+    rows = spark.createDataFrame([(1, ["a", None]), (2, []), (3, None)], "id int, drivers array<string>")
+    assert [tuple(r) for r in explain.driver_rows(rows, "id").collect()] == [(1, 0, "a"), (1, 1, None)]
