@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.text import any_number
-from riskloom.operators import diagnostics, guidance, merkle, quality, radix
+from riskloom.operators import diagnostics, explain, guidance, merkle, quality, radix, ranking
+from riskloom.staging import stage
 
 
 def optimized(df) -> str:
@@ -73,3 +74,34 @@ def test_a_row_moves_once_to_its_bucket(spark, monkeypatch):
     monkeypatch.setattr(merkle, "stage", keep)
     merkle.tree(spark.range(3).select((F.col("id") % 2).cast("string").alias("g"), F.col("id").cast("string").alias("t")), F.col("t"), ["g"], 1)
     assert plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_linear_facts_equal_those_of_the_lists(spark):
+    nan, inf = float("nan"), float("inf")
+    model = {"b": (1.0, 0.0, 1.0), "a": (1.0, 0.0, 1.0), "lines_added": (2.0, 1.0, 4.0), "code_churn": (-1.0, 0.0, 2.0)}
+    values = [0.0, 1.0, -1.0, 2.0, nan, None, inf, -inf, 1e-13]
+    rows = [(i, *(values[(i // 9 ** k) % 9] for k in range(4))) for i in range(0, 9 ** 4, 7)]
+    frame = spark.createDataFrame(rows, "i int, b double, a double, lines_added double, code_churn double")
+    lists = explain.top_drivers_of(explain.plain(explain.linear_drivers(frame, model)))
+    for known in (["lines_added", "code_churn"], list(model), ["b"]):
+        columns = ["i", *explain.DRIVER_COLUMNS, "_g"]
+        want = guidance.guidance_facts_of(lists, {f: None for f in known}).select(*columns)
+        got = explain.linear_facts(frame, model, known).select(*columns)
+        assert {r["i"]: repr(r) for r in got.collect()} == {r["i"]: repr(r) for r in want.collect()}
+        assert "sort_array" in optimized(want) and "sort_array" not in optimized(got)
+
+
+def test_a_ranking_of_linear_facts_is_written_once(spark, monkeypatch):
+    """Neither lists nor a second copy of the rows are stored on the way to the rank."""
+    stored = []
+    monkeypatch.setattr(ranking, "stage", lambda df, name="stage": stored.append(name) or stage(df, name))
+    model = {"code_churn": (1.0, 2.0, 3.0), "commit_count": (-0.5, 1.0, 1.0)}
+    rows = spark.createDataFrame(
+        [("p", f"f{i % 4}", f"2024-0{1 + i // 4}-28", i % 3 / 4, i % 2, "m", "e", "s", 0.5, float(i), 2.0 - i) for i in range(12)],
+        "project string, file_path string, snapshot_date string, risk_score double, true_label int, model string, evaluation_mode string, "
+        "score_method string, decision_threshold double, code_churn double, commit_count double")
+    samples = explain.linear_drivers(rows, model)
+    plain = ranking.build_ranking(samples)
+    assert stored == ["facts"]
+    got = ranking.build_ranking(explain.linear_facts(samples, model, list(model)))
+    assert stored == ["facts"] and got.schema == plain.schema and sorted(got.collect()) == sorted(plain.collect())
