@@ -105,3 +105,14 @@ def test_a_ranking_of_linear_facts_is_written_once(spark, monkeypatch):
     assert stored == ["facts"]
     got = ranking.build_ranking(explain.linear_facts(samples, model, list(model)))
     assert stored == ["facts"] and got.schema == plain.schema and sorted(got.collect()) == sorted(plain.collect())
+
+
+def test_contexts_keep_the_configured_partitions(spark):
+    """Adaptive coalescing, by the compressed rows, would gather them in maps that do not fit in memory."""
+    rows = samples(spark).where("file_path = 'f0'").select("*", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("i"))
+    long = explain.to_long(rows.withColumns({
+        "file_path": F.concat(F.lit("f"), F.col("i").cast("string")), "risk_score": F.lit(0.5), "true_label": F.lit(1),
+        "decision_threshold": F.lit(0.5)}))
+    contexts = diagnostics.explanation_contexts(long).withColumn("part", F.spark_partition_id()).collect()
+    assert len(contexts) == 60 and {(r["size"], r["max_copies"], len(r["weights"])) for r in contexts} == {(4, 1, 4)}
+    assert len({r["part"] for r in contexts}) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
