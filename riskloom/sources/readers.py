@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.functions.text import is_java_path, read_number, strip
+from riskloom.operators.forest import load_forest
 from riskloom.operators.models import FittedModel
 from riskloom.operators.partitions import PartitionError
 from riskloom.operators.provenance import verify_provenance
@@ -149,9 +150,7 @@ def load_model(spark: SparkSession, root: str) -> FittedModel:
     facts = json.loads(spark.read.json(f"{root}/metadata").first()["model"])
     forest = None
     if facts["model_type"] == "random_forest":
-        from pyspark.ml.classification import RandomForestClassificationModel
-
-        forest = RandomForestClassificationModel.load(f"{root}/model")
+        forest = load_forest(spark, f"{root}/model")
     return FittedModel(
         facts["model_type"], prior=facts["prior"], intercept=facts["intercept"], forest=forest,
         linear={k: tuple(v) for k, v in facts["linear_terms"].items()})

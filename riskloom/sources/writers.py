@@ -84,7 +84,7 @@ def save_model(result, root: str, spark, audit: DataFrame, ranges: DataFrame) ->
     """The selected model and one JSON row that documents how it was chosen."""
     best = result.best
     if best.forest is not None:
-        best.forest.write().overwrite().save(f"{root}/model")
+        best.forest.save(f"{root}/model")
     facts = {
         "model_type": best.name, "selection_metric": "validation_pr_auc",
         "feature_columns": MODEL_FEATURES, "target_column": TARGET,
