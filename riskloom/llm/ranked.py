@@ -31,6 +31,9 @@ from riskloom.operators.scan import lookup
 from riskloom.staging import stage
 
 BLOCK_BYTES = 3_000_000
+#: Bytes of a row group of the stored index. Blocks are large rows: a writer that first looks at its size after 100 of them,
+#: and a reader that takes a row group at once, would hold hundreds of MB a task as soon as a task has so many blocks.
+GROUP_BYTES = 4_000_000
 CHUNK_WORDS = 100_000
 #: Cells of a document by term table that an item fills at once, and items whose best are kept at once.
 CELLS, KEPT_ITEMS = 4_000_000, 20_000
@@ -210,8 +213,15 @@ def _rows(best: dict[int, tuple[str | None, list]]) -> pa.RecordBatch:
         names=["row", "item", "doc", "score"])
 
 
+def stage_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The stored index, in row groups of about GROUP_BYTES; the size is looked at after every block."""
+    return stage(build_index(docs, key, text), "ranked", **{
+        "compression": "zstd", "parquet.block.size": str(GROUP_BYTES),
+        "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"})
+
+
 def rank_documents(docs: DataFrame, items: DataFrame, k: int = 20, key: str = "doc_id", text: str = "text",
                    item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Index ``docs`` and search it for every row of ``items``; see ``search``. Null texts hold no terms."""
-    index = stage(build_index(docs, key, text), "ranked", compression="zstd")
+    index = stage_index(docs, key, text)
     return search(index, items, k, item, item_text).withColumnRenamed("doc", key)

@@ -86,3 +86,18 @@ def test_only_masks_that_matter_are_scored(monkeypatch):
     monkeypatch.setattr(ranked.np, "concatenate", lambda parts: seen.append(sum(map(len, parts))) or joined(parts))
     assert sorted(block.best([(b"common", 1), (b"rare", 100)], 20, 6)) == [(905, p) for p in range(400, 430)]
     assert seen and max(seen) == 30
+
+
+def test_the_stored_index_has_small_row_groups(spark, monkeypatch):
+    """A task with many blocks neither writes nor reads them in one piece."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(ranked, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(ranked, "GROUP_BYTES", 20_000)
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{j}" for j in range(100))) for i in range(300)], "doc_id long, text string")
+    index = ranked.stage_index(docs.coalesce(1))
+    groups = []
+    for name in index.inputFiles():
+        found = pq.ParquetFile(name.removeprefix("file://")).metadata
+        groups += [found.row_group(i).num_rows for i in range(found.num_row_groups)]
+    assert sum(groups) == index.count() > 60 and max(groups) < 30
