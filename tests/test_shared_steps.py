@@ -144,3 +144,12 @@ def test_driver_lists_are_taken_once_where_they_are_exploded(spark):
 def test_driver_rows_keep_empty_entries_and_drop_empty_lists(spark):
     rows = spark.createDataFrame([(1, ["a", None]), (2, []), (3, None)], "id int, drivers array<string>")
     assert [tuple(r) for r in explain.driver_rows(rows, "id").collect()] == [(1, 0, "a"), (1, 1, None)]
+
+
+def test_snapshots_are_not_stored_and_training_rows_without_keys(spark):
+    features = tables.feature_table(spark, SF)
+    assert set(features.inputFiles()) == set(tables.span_table(spark, SF).inputFiles())
+    train = queries.train_of(spark, SF)
+    assert train.columns == ["repository", *MODEL_FEATURES, "defect_next_90_days"]
+    parted = queries.parted_of(spark, SF).where("partition = 'train'").select(*train.columns)
+    assert train.exceptAll(parted).isEmpty() and parted.count() == train.count() > 0
